@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairolog.llm import byte_bpe
+from kairolog.llm import byte_bpe, packing
 from kairolog.session import table
 
 
@@ -14,8 +14,12 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.encode(table(spark, d, "documents"))
 
 
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids,)}
+    return {f.__name__: f for f in (p8_ids, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
