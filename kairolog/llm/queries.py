@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairolog.llm import byte_bpe, packing
+from kairolog.llm import byte_bpe, packing, shared_spans
 from kairolog.session import table
 
 
@@ -18,8 +18,12 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_chars(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p8_ids, p9_containers, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
