@@ -17,7 +17,7 @@ Recompression finds the windows worth comparing:
   the phrases that start in the undisturbed part of a window, the one of least name stands for
   the window. It depends on the window's text alone, so two equal windows have the same one.
 
-Spark groups these symbols by name (one for about 50 code points of text). Only windows whose symbol
+Spark groups these symbols by name (one for about 33 code points of text). Only windows whose symbol
 two records share are hashed as a whole and compared; these windows travel as one array for
 each symbol. Nothing is paired: a window's group is reduced to its least and greatest record.
 
@@ -45,7 +45,7 @@ LEAST = 160
 #: Code points at either side of a window that the rounds may name differently: 2 by runs and 2 and 4 by pairs.
 LOSS = 8
 #: Longest token after the rounds, and the stretch in which a phrase's tokens start.
-TOKEN, REACH = 8, 40
+TOKEN, REACH = 8, 72
 #: Positions at which the phrase of a window may start.
 STARTS = LEAST - 2 * LOSS - REACH - TOKEN + 1
 CHUNK_BYTES = 2_000_000
