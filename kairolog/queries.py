@@ -6,10 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kairolog.operators import ledger, sessions, timestamps
+from kairolog.session import table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return timestamps.log_instants(table(spark, d, "sample_log"), table(spark, d, "config_example")).where("utc_us is not null").select("log_id", "utc_us").distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.remaining_lines(table(spark, d, "meta"), table(spark, d, "day_progress"), table(spark, d, "src_progress"), table(spark, d, "index_runs"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.actor_sessions(table(spark, d, "meta")).select("actor", "start_us", "end_us", "n_rows")
+
+
+DATA = [p1_found, p4_found, p6_found]
+
+#: SQL that says the same, for DuckDB.
+DATA_SQL = {
+    "p6_found": r"""
+        WITH d AS (SELECT DISTINCT ts, actor, text, session, src_day, line_no FROM meta WHERE actor IS NOT NULL),
+        e AS (SELECT lower(regexp_replace(actor, '^\s+|\s+$', '', 'g')) AS actor, epoch_us(CASE WHEN regexp_matches(ts, '(Z|[+-]\d\d:\d\d)$') THEN try_cast(ts AS TIMESTAMPTZ) ELSE try_cast(ts || 'Z' AS TIMESTAMPTZ) END) AS t
+              FROM d WHERE regexp_matches(ts, '^\d{4}-\d\d-\d\dT\d\d:\d\d')),
+        g AS (SELECT actor, t, CASE WHEN t - lag(t) OVER w <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM e WHERE t IS NOT NULL WINDOW w AS (PARTITION BY actor ORDER BY t)),
+        s AS (SELECT actor, t, sum(fresh) OVER (PARTITION BY actor ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
+        SELECT actor, min(t) AS start_us, max(t) AS end_us, count(*) AS n_rows FROM s GROUP BY actor, k""",
+    "p4_found": r"""
+        WITH l AS (SELECT src_day, line_no, any_value(coalesce(text, '')) AS text FROM meta GROUP BY ALL),
+        n AS (SELECT src_day, count(*) AS n FROM l GROUP BY ALL),
+        good AS (SELECT run_id FROM index_runs WHERE lower(trim(status)) = 'ok' AND finished_at IS NOT NULL),
+        c AS (SELECT 'day' AS side, day AS src_day, done_lines AS done, sig, run_id FROM day_progress
+              UNION ALL SELECT 'src', CASE WHEN src LIKE 'corpus/%' THEN substr(src, 8) ELSE src END, nlines, sig, run_id FROM src_progress),
+        b AS (SELECT side, src_day, max({'r': run_id, 'd': done, 's': coalesce(sig, '')}) AS m FROM c WHERE run_id IN (FROM good) GROUP BY ALL),
+        k AS (SELECT side, src_day, m.d AS done, m.s AS sig FROM b JOIN n USING (src_day) WHERE m.d BETWEEN 1 AND n AND m.s <> ''),
+        v AS (SELECT k.side, k.src_day, k.done FROM k JOIN l ON l.src_day = k.src_day AND (CASE k.side WHEN 'day' THEN l.line_no < k.done ELSE l.line_no = k.done - 1 END)
+              GROUP BY k.side, k.src_day, k.done, k.sig HAVING substr(sha1(string_agg(l.text, '' ORDER BY l.line_no)), 1, 16) = k.sig)
+        SELECT s.side, l.src_day, l.line_no FROM l CROSS JOIN (VALUES ('day'), ('src')) s(side) LEFT JOIN v ON v.side = s.side AND v.src_day = l.src_day WHERE l.line_no >= coalesce(v.done, 0)""",
+}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in DATA}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(DATA_SQL)
