@@ -244,8 +244,8 @@ def _rows(name: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, hash
     return pa.RecordBatch.from_arrays([pa.array(name), pa.array(doc), pa.array(at), pa.array(n.astype(np.int32)), hashes], ["name", "doc", "at", "n", "hashes"])
 
 
-def shared_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, start, stop``: stretches of code points that stand in another record; they may overlap."""
+def shared_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc, start``: where the windows of LEAST code points start that stand in another record too."""
     slim = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("t")).where(F.col("doc").isNotNull() & (F.length("t") >= LEAST))
     by_name = Window.partitionBy("name")
     seen = symbols(slim).select("name", "doc", "more", F.min("doc").over(by_name).alias("lo"), F.max("doc").over(by_name).alias("hi"))
@@ -257,14 +257,13 @@ def shared_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     by_hash = Window.partitionBy("name", "h")
     each = each.withColumns({"lo": F.min("doc").over(by_hash), "hi": F.max("doc").over(by_hash)})
     known = F.col("h").isNull()
-    each = each.where(known | (F.col("lo") < F.col("hi")))
-    start = F.col("at") + F.coalesce("i", F.lit(0))
-    return each.select("doc", start.alias("start"), F.when(known, F.col("at") + F.col("n") - 1 + LEAST).otherwise(start + LEAST).alias("stop"))
+    starts = F.when(known, F.sequence("at", F.col("at") + F.col("n") - 1)).otherwise(F.array(F.col("at") + F.col("i")))
+    return each.where(known | (F.col("lo") < F.col("hi"))).select("doc", F.explode(starts).alias("start"))
 
 
 def shared_chars(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, shared_chars``: code points of each record that lie in shared runs, for records that have any."""
-    before = Window.partitionBy("doc").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    runs = shared_runs(docs, key, text).withColumn("upto", F.coalesce(F.max("stop").over(before), F.lit(0)))
-    new = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "upto"))
-    return runs.groupBy("doc").agg(F.sum(new).cast("bigint").alias("shared_chars")).withColumnRenamed("doc", key)
+    starts = shared_windows(docs, key, text).groupBy("doc").agg(F.array_sort(F.collect_list("start")).alias("starts"))  # no longer than the text
+    new = lambda have, at: F.struct((have["n"] + F.greatest(F.lit(0), at + LEAST - F.greatest(at, have["upto"]))).alias("n"), (at + LEAST).alias("upto"))
+    covered = F.aggregate("starts", F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), new)
+    return starts.select(F.col("doc").alias(key), covered["n"].cast("bigint").alias("shared_chars"))
