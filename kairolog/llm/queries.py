@@ -5,11 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kairolog.llm import byte_bpe, packing, shared_spans
+from kairolog.llm import byte_bpe, lookalike, packing, personal, shared_spans
 from kairolog.session import table
 
 
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    """``src_table, row_id, text`` of both tables of messages."""
+    meta = table(spark, d, "meta").select(F.lit("meta").alias("src_table"), F.col("rowid").alias("row_id"), "text")
+    return meta.unionByName(table(spark, d, "sample_log").select(F.lit("sample_log").alias("src_table"), F.col("log_id").alias("row_id"), "text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_looking_pairs(table(spark, d, "meta")).select(F.col("a").alias("rowid_a"), F.col("b").alias("rowid_b"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.items(messages(spark, d), ["src_table", "row_id"]).select("src_table", "row_id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every message, with placeholders where it has personal items."""
+    found = personal.items(messages(spark, d), ["src_table", "row_id"]).select("src_table", "row_id", "redacted")
+    return messages(spark, d).join(found, ["src_table", "row_id"], "left").select("src_table", "row_id", F.coalesce("redacted", "text").alias("text"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.encode(table(spark, d, "documents"))
 
@@ -23,7 +44,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_redacted, p8_ids, p9_containers, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
