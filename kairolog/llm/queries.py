@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairolog.llm import byte_bpe, lookalike, packing, personal, shared_spans
+from kairolog.llm import byte_bpe, conversations, lookalike, packing, personal, residue, shared_spans
 from kairolog.session import table
 
 
@@ -31,6 +31,14 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).join(found, ["src_table", "row_id"], "left").select("src_table", "row_id", F.coalesce("redacted", "text").alias("text"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.rebuild(table(spark, d, "sample_log"), table(spark, d, "config_example")).select("session", "pos", "log_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(messages(spark, d), ["src_table", "row_id"])
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.encode(table(spark, d, "documents"))
 
@@ -44,7 +52,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_redacted, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_redacted, p5_found, p7_found, p8_ids, p9_containers, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
