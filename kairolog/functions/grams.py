@@ -8,6 +8,7 @@ Statistics are those of the whole corpus, also when a filter restricts what is r
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -74,6 +75,10 @@ def statistics(records: DataFrame, wanted: list[str], text: str = "text") -> Dat
     return records.select(ts.alias("ts")).agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("mean"), *held)
 
 
+def _equals(gram: str) -> Callable[[Column], Column]:
+    return lambda t: t == gram
+
+
 def bm25(records: DataFrame, groups: list[list[str]], stats: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
     """Records with a score. ``groups`` holds the tokens of each keyword: a record needs one of each group. A repeated token counts as often as it stands."""
     flat = [t for g in groups for t in g]
@@ -84,7 +89,7 @@ def bm25(records: DataFrame, groups: list[list[str]], stats: DataFrame, text: st
     scored = records.withColumn("_ts", tokens(F.col(text)))
     for g in groups:
         scored = scored.where(F.arrays_overlap("_ts", F.array(*map(F.lit, dict.fromkeys(g)))))
-    counted = scored.withColumns({"_len": F.size("_ts"), **{f"_tf{i}": F.size(F.filter("_ts", lambda t, g=g: t == g)) for i, g in enumerate(distinct)}}).drop("_ts").join(one)
+    counted = scored.withColumns({"_len": F.size("_ts"), **{f"_tf{i}": F.size(F.filter("_ts", _equals(g))) for i, g in enumerate(distinct)}}).drop("_ts").join(one)
     terms = []
     for i, g in enumerate(distinct):
         df, tf = F.col(f"df{i}"), F.col(f"_tf{i}")

@@ -131,15 +131,23 @@ def log_instants(log: DataFrame, configs: DataFrame) -> DataFrame:
     return with_instant(declared(log, configs), "ts", F.col("declared_zone")).drop("declared_zone")
 
 
-def estimate_zones(rows: DataFrame, source: str, wall: str, known_us: str, order: str, candidates: list[str], step_minutes: int = 15) -> DataFrame:
-    """For each ``source`` without a declared zone the candidate whose offset history violates its data least: ``source, zone, n, violations``.
+def with_parts(rows: DataFrame, ts: str) -> DataFrame:
+    """``rows`` with ``wall``, the clock as written, and ``known_us``, the instant where the text itself names a zone."""
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    step = _staged(rows, ts)
+    known = F.coalesce("_unix", F.when(F.col("_offset").isNotNull(), ntz_micros(F.col("_wall")) - F.col("_offset").cast("bigint") * 1_000_000))
+    return step.select(*kept, F.col("_wall").alias("wall"), known.alias("known_us"))
+
+
+def estimate_zones(rows: DataFrame, source: str, wall: str, known_us: str, sequence: str, order: str, candidates: list[str], step_minutes: int = 5) -> DataFrame:
+    """For each ``source`` the candidate whose offset history violates its data least: ``source, zone, n, violations``.
 
-    A wall clock is aligned with the nearest instant known before it and after it in ``order`` (an ingestion time, or a row that names its zone).
-    Read in the true zone it lies between the two, give or take ``step_minutes``. Rows are first counted by source, hour
-    and difference, so what each candidate is tried on has no more rows than there are hours, whatever the volume.
+    A wall clock is aligned with the nearest instants known before and after it in its ``sequence`` (an ingestion time, or a row that names its
+    zone). Read in the true zone it lies between the two, give or take ``step_minutes``. Rows are first counted by source, quarter
+    and bounds, so what each candidate is tried on follows the hours that the data span, not their volume.
     Ties go to the first candidate; sources with nothing to align give no row.
     """
-    seen = Window.partitionBy(source).orderBy(order)
+    seen = Window.partitionBy(sequence).orderBy(order)
     before = F.last(known_us, ignorenulls=True).over(seen.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(known_us, ignorenulls=True).over(seen.rowsBetween(0, Window.unboundedFollowing))
     unit = step_minutes * 60 * 1_000_000
@@ -149,7 +157,7 @@ def estimate_zones(rows: DataFrame, source: str, wall: str, known_us: str, order
     wall_q = F.expr(f"timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, cast(_q * {unit // 1_000_000} as decimal(18,6)))")
     trial = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(z).alias("zone")) for i, z in enumerate(candidates)]))
     tried = grouped.withColumn("_c", trial).withColumn("_u", F.floor(wall_to_utc_micros(wall_q, F.col("_c.zone")) / unit))
-    off = F.coalesce((F.col("_u") < F.col("_lo") - 1).cast("int"), F.lit(0)) + F.coalesce((F.col("_u") > F.col("_hi") + 1).cast("int"), F.lit(0))
-    scored = tried.groupBy(source, "_c").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.least(off, F.lit(1))).alias("violations"))
+    off = F.coalesce(F.col("_u") < F.col("_lo") - 1, F.lit(False)) | F.coalesce(F.col("_u") > F.col("_hi") + 1, F.lit(False))
+    scored = tried.groupBy(source, "_c").agg(F.sum("n").alias("n"), F.sum(F.when(off, F.col("n")).otherwise(0)).alias("violations"))
     best = scored.groupBy(source).agg(F.min(F.struct("violations", "_c.i", "_c.zone", "n")).alias("b"))
     return best.select(source, F.col("b.zone").alias("zone"), F.col("b.n").alias("n"), F.col("b.violations").alias("violations"))
