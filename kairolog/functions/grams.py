@@ -7,9 +7,10 @@ Statistics are those of the whole corpus, also when a filter restricts what is r
 
 from __future__ import annotations
 
+import math
 import unicodedata
-from collections.abc import Callable
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +40,45 @@ def bigrams(text: Column) -> Column:
     return F.when(F.length(s) >= 1, many).otherwise(F.array().cast("array<string>"))
 
 
+def fold(text: Column) -> Column:
+    """Without spaces, in lower case, without accents; the table of accents is consulted only where a text has any other than ASCII."""
+    s = F.lower(squeeze(text))
+    return F.when(F.octet_length(s) == F.length(s), s).otherwise(F.translate(s, *accents()))
+
+
+def condensed(text: Column) -> Column:
+    """The folded text with one space for each run of other characters than letters and digits. What BM25 needs can be read off it:
+    a window of two characters has one token if either is a letter or digit, so there are as many tokens as characters here, less one."""
+    return F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " ")
+
+
+def token_count(c: Column) -> Column:
+    return F.when(F.length(c) > 1, F.length(c) - 1).otherwise((F.length(F.trim(c)) == 1).cast("int"))
+
+
+def _occurrences(c: Column, piece: str) -> Column:
+    if piece[0] == piece[-1]:
+        return F.regexp_count(c, F.lit(f"{piece[0]}(?={piece[0]})"))
+    return ((F.length(c) - F.length(F.replace(c, F.lit(piece), F.lit("")))) / 2).cast("int")
+
+
+def times(c: Column, gram: str) -> Column:
+    """How often a token stands in a condensed text: a pair of characters, or one with a space at either side."""
+    if len(gram) == 2:
+        return _occurrences(c, gram)
+    return F.when(c == gram, 1).otherwise(_occurrences(c, f" {gram}") + _occurrences(c, f"{gram} "))
+
+
+def holds(c: Column, gram: str) -> Column:
+    return c.contains(gram) if len(gram) == 2 else (c == gram) | c.contains(f" {gram}") | c.contains(f"{gram} ")
+
+
 def tokens(text: Column) -> Column:
-    """Tokens of all windows of a text, in order."""
-    return F.regexp_extract_all(F.translate(F.lower(F.array_join(bigrams(text), " ")), *accents()), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Tokens of all windows of a text, in no set order: letters and digits with what follows, and those after another character."""
+    c = condensed(text)
+    first = F.regexp_extract_all(c, F.lit(r"(?=[^ ].)(?=([^ ]{1,2}))"), F.lit(1))
+    second = F.regexp_extract_all(c, F.lit(r"(?<= )([^ ])"), F.lit(1))
+    return F.when(F.length(c) > 1, F.concat(first, second)).otherwise(F.regexp_extract_all(c, F.lit("([^ ])"), F.lit(1)))
 
 
 def query_tokens(text: str) -> list[str]:
@@ -64,42 +101,45 @@ def write_index(records: DataFrame, path: str, keys: list[str], text: str = "tex
     """Postings sorted by gram, so that a query reads the row groups of its grams, and lengths of the records."""
     post = postings(records, keys, text)
     post.repartitionByRange(files, "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/postings")
-    records.select(*keys, F.size(tokens(F.col(text))).alias("n")).write.mode("overwrite").parquet(f"{path}/lengths")
+    records.select(*keys, token_count(condensed(F.col(text))).alias("n")).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
-def statistics(records: DataFrame, wanted: list[str], text: str = "text") -> DataFrame:
-    """One row: number of records, mean length, and for each wanted token the records that hold it. One pass, no exchange but of one row a task."""
-    ts = tokens(F.col(text))
-    grams = list(dict.fromkeys(wanted))
-    held = [F.count_if(F.array_contains("ts", g)).alias(f"df{i}") for i, g in enumerate(grams)]
-    return records.select(ts.alias("ts")).agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("mean"), *held)
+@dataclass(frozen=True)
+class Statistics:
+    """Of the whole corpus: records, their mean length in tokens, records that hold a token."""
 
+    n: int
+    mean: float
+    df: dict[str, int]
+
+    def idf(self, gram: str) -> float:
+        df = self.df.get(gram, 0)
+        value = math.log((self.n - df + 0.5) / (df + 0.5))
+        return value if value > 0 else IDF_FLOOR
+
+
+def statistics(records: DataFrame, wanted: list[str], text: str = "text") -> Statistics:
+    """One pass over the corpus; what comes to the driver is one number for each token of the query."""
+    grams = list(dict.fromkeys(wanted))
+    held = [F.count_if(holds(F.col("c"), g)).alias(f"df{i}") for i, g in enumerate(grams)]
+    row = records.select(condensed(F.col(text)).alias("c")).agg(F.count("*").alias("n"), F.avg(token_count(F.col("c"))).alias("mean"), *held).first()
+    return Statistics(row.n, row["mean"] or 1.0, {g: row[f"df{i}"] for i, g in enumerate(grams)})
 
-def _equals(gram: str) -> Callable[[Column], Column]:
-    return lambda t: t == gram
 
+def bm25(records: DataFrame, groups: list[list[str]], stats: Statistics, text: str = "text", out: str = "score") -> DataFrame:
+    """Records with a score. ``groups`` holds the tokens of each keyword: a record needs one of each group. A repeated token counts as often as it stands.
 
-def bm25(records: DataFrame, groups: list[list[str]], stats: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
-    """Records with a score. ``groups`` holds the tokens of each keyword: a record needs one of each group. A repeated token counts as often as it stands."""
+    Weights are literals, so that the compiled stage stays small.
+    """
     flat = [t for g in groups for t in g]
-    distinct = list(dict.fromkeys(flat))
     if not flat or not all(groups):
         return records.where(F.lit(False)).withColumn(out, F.lit(0.0))
-    one = F.broadcast(stats)  # one row
-    scored = records.withColumn("_ts", tokens(F.col(text)))
-    for g in groups:
-        scored = scored.where(F.arrays_overlap("_ts", F.array(*map(F.lit, dict.fromkeys(g)))))
-    counted = scored.withColumns({"_len": F.size("_ts"), **{f"_tf{i}": F.size(F.filter("_ts", _equals(g))) for i, g in enumerate(distinct)}}).drop("_ts").join(one)
-    terms = []
-    for i, g in enumerate(distinct):
-        df, tf = F.col(f"df{i}"), F.col(f"_tf{i}")
-        idf = F.ln((F.col("n") - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
-        terms.append(flat.count(g) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("mean"))))
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return counted.withColumn(out, total).select(*records.columns, out)
+    kept = records.withColumn("_c", condensed(F.col(text)))
+    kept = kept.where(reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (holds(F.col("_c"), t) for t in dict.fromkeys(g))) for g in groups)))
+    part = [F.array(F.lit(float(flat.count(g)) * stats.idf(g) * (K1 + 1)), times(F.col("_c"), g).cast("double")) for g in dict.fromkeys(flat)]
+    kept = kept.withColumns({"_tf": F.array(*part), "_norm": F.lit(K1 * (1 - B)) + F.lit(K1 * B / stats.mean) * token_count(F.col("_c"))}).drop("_c")
+    total = F.aggregate("_tf", F.lit(0.0), lambda s, x: s + x[0] * x[1] / (x[1] + F.col("_norm")))
+    return kept.withColumn(out, total).select(*records.columns, out)
 
 
 def bm25_indexed(path: str, spark: object, groups: list[list[str]], keys: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +92,10 @@ def _staged(rows: DataFrame, ts: str) -> DataFrame:
     exact = c("_s").cast("decimal(16,6)") + (c("_us").cast("decimal(16,6)") / F.lit(1_000_000).cast("decimal(16,0)")).cast("decimal(16,6)")
     step = step.select(*kept, "_z", "_named", "_unix", F.coalesce(F.when((c("_oh") <= 18) & (c("_om") <= 59), sign * (c("_oh") * 3600 + c("_om") * 60)), c("_short") * 60).alias("_offset"), F.try_make_timestamp_ntz(c("_y"), c("_mo"), c("_d"), c("_h"), c("_mi"), exact.cast("decimal(16,6)")).alias("_wall"))
     unknown = (c("_z") != "") & c("_offset").isNull() & c("_named").isNull()  # an abbreviation nobody knows names no instant
-    return step.select(*kept, "_offset", "_named", "_unix", F.when(~F.coalesce(unknown, F.lit(False)), c("_wall")).alias("_wall"))
+    parts = F.struct("_offset", "_named", "_unix", F.when(~F.coalesce(unknown, F.lit(False)), c("_wall")).alias("_wall"))
+    # A condition on the instant pushed below these steps would repeat all of them for each use of each part;
+    # the optimizer pushes none below the elements of an array.
+    return step.select(*kept, F.explode(F.array(parts)).alias("_parts")).select(*kept, "_parts.*")
 
 
 def zone_names(spark: SparkSession) -> DataFrame:
@@ -99,13 +103,20 @@ def zone_names(spark: SparkSession) -> DataFrame:
     import zoneinfo
 
     known = {z.lower(): z for z in zoneinfo.available_timezones() if not z.startswith(("posix", "right")) and z not in ("Factory", "localtime")}
-    return spark.createDataFrame(sorted(known.items()), "zone_key string, zone_id string")
+    return spark.createDataFrame(pa.table({"zone_key": sorted(known), "zone_id": [known[k] for k in sorted(known)]}))
 
 
 def zone_key(zone: Column) -> Column:
     return F.lower(F.regexp_replace(zone, _OUTER, ""))
 
 
+def with_utc_instant(rows: DataFrame, ts: str, out: str = "utc_us") -> DataFrame:
+    """As :func:`with_instant` for texts that name at most an offset or abbreviation; without one the wall clock is UTC. No join."""
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != out]
+    instant = F.coalesce(F.col("_unix"), ntz_micros(F.col("_wall")) - F.coalesce("_offset", F.lit(0)).cast("bigint") * 1_000_000)
+    return _staged(rows, ts).select(*kept, instant.alias(out))
+
+
 def with_instant(rows: DataFrame, ts: str, zone: Column | None = None, out: str = "utc_us") -> DataFrame:
     """``rows`` with the instant of the column ``ts`` in microseconds; ``zone`` is the name of the row's declared zone.
 

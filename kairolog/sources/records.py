@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from kairolog.config import Config
 from kairolog.functions.textprep import is_meta
-from kairolog.operators.timestamps import with_instant
+from kairolog.operators.timestamps import with_utc_instant
 
 RECORD = T.StructType(
     [T.StructField(n, t) for n, t in (("ts_raw", T.StringType()), ("ts", T.TimestampNTZType()), ("actor", T.StringType()), ("role", T.StringType()), ("type", T.StringType()), ("text", T.StringType()), ("model", T.StringType()), ("session", T.StringType()), ("src", T.StringType()), ("line_no", T.IntegerType()))]
@@ -38,7 +38,7 @@ def ntz_from_micros(us: Column) -> Column:
 
 def with_ts(rows: DataFrame, raw: str = "ts_raw") -> DataFrame:
     """``ts`` from the raw timestamp; without zone it is UTC, unreadable it is null."""
-    return with_instant(rows, raw, out="_us").withColumn("ts", ntz_from_micros(F.col("_us"))).drop("_us")
+    return with_utc_instant(rows, raw, out="_us").withColumn("ts", ntz_from_micros(F.col("_us"))).drop("_us")
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
