@@ -163,7 +163,7 @@ def live_tail(fresh: DataFrame, words: Sequence[str], shown: DataFrame | None =
     n = reduce(lambda a, w: a + F.lower("text").contains(w).cast("int"), words, F.lit(0))
     found = fresh.where((F.length("text") >= 10) & ~is_meta(F.col("text"))).withColumn("n_match", n).where(F.col("n_match") >= max(1, len(words) // 3))
     if shown is not None:
-        cut = lambda df: df.select(F.substring("ts_raw", 1, 16).alias("_t"), F.substring("text", 1, 40).alias("_x"))
-        keys = cut(shown).distinct()
-        found = found.withColumns({"_t": F.substring("ts_raw", 1, 16), "_x": F.substring("text", 1, 40)}).join(keys, ["_t", "_x"], "left_anti").drop("_t", "_x")
+        same = {"_t": F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("")), "_x": F.substring("text", 1, 40)}
+        keys = shown.withColumns(same).select("_t", "_x").distinct()
+        found = found.withColumns(same).join(keys, ["_t", "_x"], "left_anti").drop("_t", "_x")
     return found.orderBy(F.col("n_match").desc(), F.col("ts").desc(), *KEY).limit(limit)

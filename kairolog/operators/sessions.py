@@ -32,8 +32,8 @@ def sessionize(events: DataFrame, key: str, at_us: str, gap_us: int) -> DataFram
     cells = events.where(F.col(key).isNotNull() & F.col(at_us).isNotNull()).groupBy(key, cell.alias("_cell")).agg(F.min(at_us).alias("_lo"), F.max(at_us).alias("_hi"), F.count("*").alias("_n"))
     ends = F.explode(F.array(F.struct(F.col("_lo").alias("us"), F.col("_n").alias("n")), F.struct(F.col("_hi").alias("us"), F.lit(0).cast("bigint").alias("n"))))
     opened = cells.select(key, ends.alias("_e")).select(key, "_e.us", "_e.n", F.timestamp_micros("_e.us").alias("_at"))
-    # an interval is open at its end, and events one gap apart must meet
-    merged = opened.groupBy(key, F.session_window("_at", f"{gap_us // 1_000_000} seconds {gap_us % 1_000_000 + 1} microseconds").alias("_w"))
+    # intervals that touch are merged, so events exactly one gap apart meet
+    merged = opened.groupBy(key, F.session_window("_at", f"{gap_us // 1_000_000} seconds {gap_us % 1_000_000} microseconds").alias("_w"))
     out = merged.agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.sum("n").alias("n_rows"))
     return out.select(key, "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"), "n_rows")
 

@@ -99,22 +99,32 @@ def _staged(rows: DataFrame, ts: str) -> DataFrame:
 
 
 def zone_names(spark: SparkSession) -> DataFrame:
-    """``zone_key, zone_id``: every region of the time-zone database by its name in lower case (some 600 rows, fixed)."""
+    """``_zone_key, _zone_id``: every region of the time-zone database by its name in lower case (some 600 rows, fixed)."""
     import zoneinfo
 
     known = {z.lower(): z for z in zoneinfo.available_timezones() if not z.startswith(("posix", "right")) and z not in ("Factory", "localtime")}
-    return spark.createDataFrame(pa.table({"zone_key": sorted(known), "zone_id": [known[k] for k in sorted(known)]}))
+    return spark.createDataFrame(pa.table({"_zone_key": sorted(known), "_zone_id": [known[k] for k in sorted(known)]}))
 
 
 def zone_key(zone: Column) -> Column:
     return F.lower(F.regexp_replace(zone, _OUTER, ""))
 
 
+_INNER = set("_clean _part _y _mon _mo _d _half _h _mi _s _us _z _n _oh _om _short _named _unix _offset _wall _parts _declared _key _zone_key _zone_id _at".split())
+
+
+def _apart(rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``rows`` with columns named like those of the steps here renamed, and how to name them back."""
+    clash = {c: f"_kept_{i}" for i, c in enumerate(rows.columns) if c in _INNER}
+    return (rows.withColumnsRenamed(clash) if clash else rows), {v: k for k, v in clash.items()}
+
+
 def with_utc_instant(rows: DataFrame, ts: str, out: str = "utc_us") -> DataFrame:
     """As :func:`with_instant` for texts that name at most an offset or abbreviation; without one the wall clock is UTC. No join."""
+    rows, back = _apart(rows)
     kept = [F.col(f"`{c}`") for c in rows.columns if c != out]
     instant = F.coalesce(F.col("_unix"), ntz_micros(F.col("_wall")) - F.coalesce("_offset", F.lit(0)).cast("bigint") * 1_000_000)
-    return _staged(rows, ts).select(*kept, instant.alias(out))
+    return _staged(rows, ts).select(*kept, instant.alias(out)).withColumnsRenamed(back)
 
 
 def with_instant(rows: DataFrame, ts: str, zone: Column | None = None, out: str = "utc_us") -> DataFrame:
@@ -123,12 +133,13 @@ def with_instant(rows: DataFrame, ts: str, zone: Column | None = None, out: str
     The only join is a broadcast of the fixed table of zone names. Columns of ``rows`` keep their names; a column named ``out`` is replaced.
     """
     names = F.broadcast(zone_names(rows.sparkSession))
-    kept = [F.col(f"`{c}`") for c in rows.columns if c != out]
-    given = rows.withColumn("_declared", zone if zone is not None else F.lit("utc"))
-    step = _staged(given, ts).withColumn("_key", zone_key(F.coalesce("_named", "_declared"))).join(names, F.col("_key") == F.col("zone_key"), "left")
-    walled = step.select(*kept, "_unix", "_offset", F.when(F.col("_offset").isNotNull(), F.col("_wall")).otherwise(F.convert_timezone(F.coalesce("zone_id", F.lit("UTC")), F.lit("UTC"), F.col("_wall"))).alias("_at"))
+    given, back = _apart(rows.withColumn("__zone", zone if zone is not None else F.lit("utc")))
+    kept = [F.col(f"`{c}`") for c in given.columns if c not in (out, "__zone")]
+    given = given.withColumnRenamed("__zone", "_declared")
+    step = _staged(given, ts).withColumn("_key", zone_key(F.coalesce("_named", "_declared"))).join(names, F.col("_key") == F.col("_zone_key"), "left")
+    walled = step.select(*kept, "_unix", "_offset", F.when(F.col("_offset").isNotNull(), F.col("_wall")).otherwise(F.convert_timezone(F.coalesce("_zone_id", F.lit("UTC")), F.lit("UTC"), F.col("_wall"))).alias("_at"))
     instant = F.coalesce(F.col("_unix"), ntz_micros(F.col("_at")) - F.coalesce("_offset", F.lit(0)).cast("bigint") * 1_000_000)
-    return walled.select(*kept, instant.alias(out))
+    return walled.select(*kept, instant.alias(out)).withColumnsRenamed(back)
 
 
 def declared(rows: DataFrame, configs: DataFrame, key: str = "cfg_id", zone: str = "timezone") -> DataFrame:
