@@ -85,13 +85,13 @@ CUE_BEFORE = 40
 
 _LATIN = r"A-Za-z\u00c0-\u024f"
 _CITY = rf"[A-Z][{_LATIN}'\-]+(?: [A-Z][{_LATIN}'\-]+)?"
-_TAIL = rf"(?:,? (?:apt|apartment|suite|unit|flat|no|#)\.? ?\d+[a-z]?)?(?:,? \d{{1,2}}[oaº°] ?[A-Z]?)?(?:,? \d{{4,6}})?(?:,? {_CITY}(?:,? (?:[A-Z]{{2}} )?\d{{4,6}})?)?"
+_TAIL = rf"(?:,? (?i:apt|apartment|suite|unit|flat|no|#)\.? ?\d+[a-z]?)?(?:,? \d{{1,2}}[oaº°] ?[A-Z]?)?(?:,? \d{{4,6}})?(?:,? {_CITY}(?:,? (?:[A-Z]{{2}} )?\d{{4,6}})?)?"
 _CAP = rf"[A-Z][{_LATIN}'\-]+"
 _EDGE = rf"(?<![{_LATIN}0-9_.,])"
 _END = rf"(?![{_LATIN}0-9_])"
 _NUM = r"\d{1,5} ?[a-zA-Z]?(?: ?(?:bis|ter))?"
 ADDRESSES = [
-    re.compile(rf"(?:(?:flat|apt|apartment|unit|suite)\.? \d+[a-z]?, )?{_EDGE}\d{{1,5}}[a-zA-Z]?,? (?:[NSEW]\.? )?(?:{_CAP} ){{1,3}}(?:St|Street|Road|Rd|Lane|Ln|Avenue|Ave|Blvd|Boulevard|Court|Ct|Drive|Dr|Terrace|Close|Way|Square|Place){_END}\.?{_TAIL}"),
+    re.compile(rf"(?:(?i:flat|apt|apartment|unit|suite)\.? \d+[a-z]?, )?{_EDGE}\d{{1,5}}[a-zA-Z]?,? (?:[NSEW]\.? )?(?:{_CAP} ){{1,3}}(?:St|Street|Road|Rd|Lane|Ln|Avenue|Ave|Blvd|Boulevard|Court|Ct|Drive|Dr|Terrace|Close|Way|Square|Place){_END}\.?{_TAIL}"),
     re.compile(rf"{_EDGE}{_NUM},? (?i:rue|avenue|boulevard|quai|chemin|place|allee|impasse)(?: (?:du|de la|des|de|d'))? ?{_CAP}{_TAIL}"),
     re.compile(rf"{_EDGE}{_CAP}(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer) \d{{1,4}}(?: ?[a-z])?{_END}{_TAIL}"),
     re.compile(rf"{_EDGE}(?i:calle|avenida|plaza|paseo|camino|via|viale|piazza) (?:(?:de|del|la|las|los) ){{0,2}}{_CAP},? (?:n[oº°]\.? ?)?\d{{1,5}}{_TAIL}"),
