@@ -87,6 +87,8 @@ class Versions:
         stream = fs.create(new, True)
         stream.write(bytearray(name.encode()))
         stream.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(new, path)
+        fs_api = self.spark._jvm.org.apache.hadoop.fs
+        rename = getattr(fs_api, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        fs_api.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(new, path, how)

@@ -17,6 +17,7 @@ from kairolog.functions import grams, semantic, textprep
 from kairolog.functions import vocabulary as v
 from kairolog.functions.grammar import QueryPlan, parse
 from kairolog.operators import fuse, ledger, manifest, search, sessions, state, timestamps
+from kairolog.plans import sql
 from kairolog.plans.recall import Corpus, recall
 from kairolog.session import cut, shared_dir, table
 from kairolog.sources import records as r
@@ -28,11 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
+def query(oracle: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if oracle:
+            SQL[f.__name__] = oracle
         return f
 
     return add
@@ -424,6 +425,12 @@ def parsed_queries(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "q string, first_day string, last_day string, h1 int, h2 int, words string")
 
 
+@query("FROM (VALUES ('2024-01-14', '2024-01-14', 17, 21, 'budget')) t(first_day, last_day, hour_from, hour_to, words)")
+def sql_time_query(spark: SparkSession, d: str) -> DataFrame:
+    sql.register(spark)
+    return spark.sql("SELECT first_day, last_day, hour_from, hour_to, array_join(keywords, ' ') AS words FROM time_query('yesterday evening about the budget', '2024-01-15', 'America/New_York')")
+
+
 # --------------------------------------------------------------- state
 
 

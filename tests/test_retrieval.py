@@ -218,3 +218,13 @@ def test_config(tmp_path):
     assert c.user_name == "Sam" and c.timezone == "UTC" and c.warnings and c.topic_words == ("a",)
     (tmp_path / "w.json").write_text(json.dumps({"corrections": {"a": "b", "c": 1}}))
     assert corrections(Config(asr_corrections=str(tmp_path / "w.json"))) == {"a": "b"}
+
+
+def test_time_query_in_sql(spark):
+    from kairolog.plans import sql
+
+    sql.register(spark)
+    row = spark.sql("select * from time_query('yesterday evening about the budget', '2026-09-24', 'Asia/Tokyo')").first()
+    assert (row.first_day, row.last_day, row.hour_from, row.hour_to, row.keywords) == ("2026-09-23", "2026-09-23", 17, 21, ["budget"])
+    assert row.utc_from == datetime(2026, 9, 22, 15)
+    assert spark.sql("select first_day, keywords from time_query('', '2026-09-24', 'UTC')").first() == (None, [])
