@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairolog.operators.timestamps import log_instants
+from kairolog.session import cut
 
 #: Spellings of the roles (fixed values).
 ROLES = {"user": "user", "human": "user", "assistant": "assistant", "ai": "assistant", "system": "system"}
@@ -58,7 +59,7 @@ def accepted(rows: DataFrame) -> DataFrame:
 
 def rebuild(log: DataFrame, configs: DataFrame) -> DataFrame:
     """``session, pos, log_id, utc_us, role, text`` of the conversations to keep, in order from position 0."""
-    rows = turns(log, configs)
+    rows = cut(turns(log, configs))  # read three times below
     kept = rows.where("filled").join(accepted(rows), "session", "left_semi").withColumn("hour", F.floor(F.col("utc_us") / HOUR_US))
     before = Window.partitionBy("session").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     base = kept.groupBy("session", "hour").agg(F.count("*").alias("n")).select("session", "hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
