@@ -272,8 +272,8 @@ def found_in(column: pa.Array, given: tuple[str, ...], chunk_bytes: int = 2_000_
         row, byte = upto, int(ends[upto - 1])
 
 
-def items(rows: DataFrame, keys: list[str], text: str = "text", given: tuple[str, ...] = tuple(GIVEN_NAMES)) -> DataFrame:
-    """``keys``, ``kinds`` (distinct) and the text with placeholders, of the rows that have items. Narrow: no shuffle."""
+def items(rows: DataFrame, keys: list[str], text: str = "text", given: tuple[str, ...] = tuple(GIVEN_NAMES), every: bool = False) -> DataFrame:
+    """``keys``, ``kinds`` (distinct) and the text with placeholders, of the rows that have items or of ``every`` row. Narrow: no shuffle."""
     slim = rows.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).cast("string").alias("t"))
     heads = ", ".join(f"k{i} {slim.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keys)))
 
@@ -284,6 +284,11 @@ def items(rows: DataFrame, keys: list[str], text: str = "text", given: tuple[str
                 at.append(row)
                 kinds.append(sorted({k for *_, k in spans}))
                 texts.append(redact(stored, spans))
+            if every:
+                whole, which = batch.column(len(keys)).to_pylist(), [[] for _ in range(len(batch))]
+                for row, k, t in zip(at, kinds, texts, strict=True):
+                    whole[row], which[row] = t, k
+                at, kinds, texts = list(range(len(batch))), which, whole
             picked = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*picked, pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.string())], [*(f"k{i}" for i in range(len(keys))), "kinds", "redacted"])
 

@@ -27,8 +27,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every message, with placeholders where it has personal items."""
-    found = personal.items(messages(spark, d), ["src_table", "row_id"]).select("src_table", "row_id", "redacted")
-    return messages(spark, d).join(found, ["src_table", "row_id"], "left").select("src_table", "row_id", F.coalesce("redacted", "text").alias("text"))
+    return personal.items(messages(spark, d), ["src_table", "row_id"], every=True).select("src_table", "row_id", F.col("redacted").alias("text"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

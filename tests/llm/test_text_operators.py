@@ -240,6 +240,8 @@ def test_items_of_a_table(spark):
     rows = {r.id: (r.kinds, r.redacted[-30:]) for r in personal.items(df, ["id"]).collect()}
     assert rows[1] == (["EMAIL", "PHONE"], "AIL] and [EMAIL], Tel. [PHONE]") and rows[4][0] == ["EMAIL"] and set(rows) == {1, 4}
     assert personal.items(df.limit(0), ["id"]).count() == 0
+    every = {(r.id, (r.redacted or "")[-7:]) for r in personal.items(df, ["id"], every=True).collect()}
+    assert every == {(1, "[PHONE]"), (2, ""), (3, ""), (4, "[EMAIL]")}
 
 
 # ----------------------------------------------------------------- p5
