@@ -47,6 +47,11 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     return r.from_meta(table(spark, d, "meta"))
 
 
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """Messages as a written table of records, for queries that pass over them several times."""
+    return cut(messages(spark, d))
+
+
 def us(c: str | Column) -> Column:
     return timestamps.ntz_micros(F.col(c) if isinstance(c, str) else c)
 
@@ -266,13 +271,13 @@ def _scored(rows: DataFrame) -> DataFrame:
 
 @query(bm25_sql(_OR, 50))
 def bm25_or(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
+    m = stored(spark, d)
     return _scored(grams.bm25(search.searchable(m), _OR, grams.statistics(m, _OR[0])))
 
 
 @query(bm25_sql(_AND, 50))
 def bm25_and(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
+    m = stored(spark, d)
     return _scored(grams.bm25(search.searchable(m), _AND, grams.statistics(m, _AND[0] + _AND[1])))
 
 
@@ -291,7 +296,7 @@ def recent_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 @query(bm25_sql(_AND, 8))
 def search_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(messages(spark, d), plan("what did we say about the budget Friday"), 8).select("src", "line_no", F.round("score", 6).alias("score"))
+    return search.search(stored(spark, d), plan("what did we say about the budget Friday"), 8).select("src", "line_no", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {MREC}, p AS (SELECT *, row_number() OVER (ORDER BY src, line_no) AS pos FROM mrec), h AS (SELECT pos, session FROM (SELECT *, row_number() OVER (ORDER BY ts_us DESC, src, line_no) AS k FROM mrec WHERE ts_us IS NOT NULL AND type <> 'meta' AND contains(text, 'vector store')) t JOIN p USING (src, line_no, session) WHERE k <= 12)
@@ -409,7 +414,7 @@ def recall_in_time(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def recall_by_words(spark: SparkSession, d: str) -> DataFrame:
     """Words and meaning fused, in order of score."""
-    m, e = messages(spark, d), semantic.HashedNgrams()
+    m, e = stored(spark, d), semantic.HashedNgrams()
     vectors = cut(semantic.context_window(m).select(*search.KEY, semantic.embed_column(F.col("context"), e).alias("embedding")))
     e.near, e.far = 1.1, 1.3
     result = recall(Corpus(m, vectors, None, e), "the heating bill and the garden plan", Config(), META_NOW)
