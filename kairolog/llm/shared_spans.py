@@ -22,7 +22,8 @@ two records share are hashed as a whole and compared; these windows travel as on
 each symbol. Nothing is paired: a window's group is reduced to its least and greatest record.
 
 Skew: within a chunk of some megabytes equal symbols and equal stretches of windows are sent
-once, and the records of the chunk that hold them are marked at once. A boilerplate that a third of
+once, and the records of the chunk that hold them are marked at once. A stretch that repeats within one record goes
+with all its positions, as another chunk may hold it too. A boilerplate that a third of
 all records carry therefore costs one row for each chunk, not for each record.
 
 Defined results: null, empty and short texts and rows with a null key give no row; repeated rows of
@@ -198,10 +199,11 @@ def symbols(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """Windows of the texts whose symbol is in ``names``, as ``name, doc, at, n, hashes``: n windows from position ``at``.
+    """Windows of the texts whose symbol is in ``names``, as ``name, doc, other, at, more, n, hashes``: n windows from position ``at``.
 
-    A stretch that several records of a chunk hold is sent once; for each of these records a row without
-    hashes says that it is shared.
+    A stretch that several records of a chunk hold is sent once, with one of them and another (``doc``, ``other``);
+    for each of these records a row without hashes says that it is shared. A stretch that one record of a chunk holds
+    several times is sent once, with its further positions (``more``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,22 +228,29 @@ def windows(docs: DataFrame) -> DataFrame:
                 own = pd.DataFrame({"a": h[bounds[:-1]], "b": h[bounds[1:] - 1], "n": n, "doc": ids[row + chunk.text[s]]})
                 name, doc = chunk.symbol[s].view(np.int64), own.doc.to_numpy()
                 at = (chunk.at[s] - chunk.begins[chunk.text[s]]).astype(np.int32)
-                sent = np.flatnonzero(~own.duplicated(["a", "b", "n"]).to_numpy())
+                group = own.groupby(["a", "b", "n"], sort=False)
+                of, lo, hi = group.ngroup().to_numpy(), group.doc.transform("min").to_numpy(), group.doc.transform("max").to_numpy()
+                _, sent = np.unique(of, return_index=True)  # groups are numbered by their first row
                 flat = np.repeat(bounds[sent] - np.concatenate([[0], np.cumsum(n[sent])[:-1]]), n[sent]) + np.arange(n[sent].sum())
                 lists = _lists(flat, np.concatenate([[0], np.cumsum(n[sent])]), h)
-                yield _rows(name[sent], doc[sent], at[sent], n[sent], lists)
-                marks = own.groupby(["a", "b", "n"]).doc.agg(["min", "max"])
-                many = marks[marks["min"] != marks["max"]].index
-                if len(many):
-                    shared = np.flatnonzero(pd.MultiIndex.from_frame(own[["a", "b", "n"]]).isin(many))
+                again = lo == hi
+                again[sent] = False
+                again = np.flatnonzero(again)
+                again = again[np.argsort(of[again], kind="stable")]
+                each = np.bincount(of[again], minlength=len(sent))
+                more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32)), pa.array(at[again]), mask=pa.array(each == 0))
+                other = np.where(hi != doc, hi, lo)
+                yield _rows(name[sent], doc[sent], other[sent], at[sent], more, n[sent], lists)
+                shared = np.flatnonzero(lo != hi)
+                if len(shared):
                     spread = mix(doc[shared].astype(np.uint64)).view(np.int64)
-                    yield _rows(spread, doc[shared], at[shared], n[shared], pa.nulls(len(shared), pa.list_(pa.int64())))
+                    yield _rows(spread, doc[shared], doc[shared], at[shared], pa.nulls(len(shared), pa.list_(pa.int32())), n[shared], pa.nulls(len(shared), pa.list_(pa.int64())))
 
-    return docs.mapInArrow(run, "name bigint, doc bigint, at int, n int, hashes array<bigint>")
+    return docs.mapInArrow(run, "name bigint, doc bigint, other bigint, at int, more array<int>, n int, hashes array<bigint>")
 
 
-def _rows(name: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, hashes: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(name), pa.array(doc), pa.array(at), pa.array(n.astype(np.int32)), hashes], ["name", "doc", "at", "n", "hashes"])
+def _rows(name: np.ndarray, doc: np.ndarray, other: np.ndarray, at: np.ndarray, more: pa.Array, n: np.ndarray, hashes: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.array(doc), pa.array(other), pa.array(at), more, pa.array(n.astype(np.int32)), hashes], ["name", "doc", "other", "at", "more", "n", "hashes"])
 
 
 def shared_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,11 +262,12 @@ def shared_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = found.select("name", F.explode(F.coalesce("more", F.array("doc"))).alias("doc"))
     names = found.groupBy("doc").agg(F.collect_set("name").alias("names"))
     sent = windows(slim.join(names, "doc").select("doc", "t", "names")).repartition("name")
-    each = sent.select("name", "doc", "at", "n", F.posexplode_outer("hashes").alias("i", "h"))
+    each = sent.select("name", "doc", "other", "at", "more", "n", F.posexplode_outer("hashes").alias("i", "h"))
     by_hash = Window.partitionBy("name", "h")
-    each = each.withColumns({"lo": F.min("doc").over(by_hash), "hi": F.max("doc").over(by_hash)})
+    each = each.withColumns({"lo": F.min(F.least("doc", "other")).over(by_hash), "hi": F.max(F.greatest("doc", "other")).over(by_hash)})
     known = F.col("h").isNull()
-    starts = F.when(known, F.sequence("at", F.col("at") + F.col("n") - 1)).otherwise(F.array(F.col("at") + F.col("i")))
+    here = F.when(F.col("more").isNull(), F.array("at")).otherwise(F.concat(F.array("at"), "more"))
+    starts = F.when(known, F.sequence("at", F.col("at") + F.col("n") - 1)).otherwise(F.transform(here, lambda x: x + F.col("i")))
     return each.where(known | (F.col("lo") < F.col("hi"))).select("doc", F.explode(starts).alias("start"))
 
 

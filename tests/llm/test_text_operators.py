@@ -150,6 +150,25 @@ def test_spans_of_one_record_alone_and_repeated_rows(spark):
     assert shared_spans.shared_chars(df).count() == 0 and shared_spans.shared_chars(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batch", [1, 2, 10_000])
+def test_spans_repeated_within_a_record(spark, batch):
+    """The other holder stands in another chunk (1: each record is one), or in the same one with other text around it."""
+    random.seed(12)
+    word = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    spans = [word(n) for n in (200, 260, 500, 700)]
+    rows = [(1, spans[2] + word(80) + spans[2]), (2, word(50) + spans[2]), (3, spans[3] + word(9) + spans[3])]
+    rows += [(d, "".join(x for _ in range(random.randrange(1, 5)) for x in (random.choice([word(random.randrange(0, 90)), "-" * 30]), random.choice(spans[:2])))) for d in range(4, 24)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, batch)
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r.shared_chars for r in shared_spans.shared_chars(df).collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert got == plain_shared(rows) and got[1] == 1000 and 3 not in got
+
+
 def test_symbols_of_equal_windows_are_equal():
     random.seed(9)
     for alphabet in ("ab", "abcdefg", "aab"):
