@@ -7,7 +7,8 @@ combine to the number of records and their least and greatest content.
 
 Filler: texts all of whose words are of the filler vocabulary, which is induced: the words that stand mostly in texts with a
 known filler word. Whole-page templates (errors, notices about scripts, cookies, login, waiting) are matched from end to end, numbers left
-open, so a message that talks about such a page is none.
+open, so a message that talks about such a page is none. Longer ones count at any length: error output by its build, HTML by its title
+and headings, a notice if its first sentence is one, its words go on all along and nobody speaks in the first person.
 
 Defined results: null and blank texts are no case; every row stands for itself, repeated ones included; case, full-width forms, invisible characters
 and look-alike letters make no difference.
@@ -22,12 +23,12 @@ from kairolog.llm.lookalike import canonicalize
 
 #: Notations nothing but a template uses (fixed patterns).
 STRONG = [
-    r"\{\{[#/^&]?[^{}\n]{1,60}\}\}", r"<%=?[^%\n]{1,60}%>", r"\{%[^%\n]{1,60}%\}", r"\[\[[^\]\n]{1,60}\]\]", r"<<[A-Za-z_][\w .-]{0,40}>>", r"«[A-Za-z_][\w .-]{0,40}»", r"\*\|[A-Z_0-9:]+\|\*", r"@@\w+@@", r"__[A-Z][A-Z_]*__",
-    r"\$\{[\w.]{1,40}\}", r"#\{[\w.]{1,40}\}", r"\$[A-Z][A-Z_]+\$", r"%\([a-z_]\w*\)[sdif]", r"\bX{2}/X{2}/X{2,4}\b", r"\[(?:YOUR|INSERT|ENTER|ADD|FIRST|LAST|FULL|COMPANY|CUSTOMER|RECIPIENT|NAME|DATE|AMOUNT|ADDRESS|TITLE|PLACEHOLDER)[A-Z _']*\]",
-    r"\[(?:placeholder|insert|your|enter) [^\]\n]{1,60}\]", r"<(?:DATE|NAME|AMOUNT|EMAIL|ADDRESS|TIME|CITY|COMPANY|INSERT [A-Z ]+)>", r"\[object Object\]", r"(?i:\b(?:dear|hello|hi|hallo|bonjour|hola) (?:null|undefined|nan)\b)",
+    r"\{\{[#/^&]?[^{}\n]+\}\}", r"<%=?[^%\n]+%>", r"\{%[^%\n]+%\}", r"\[\[[^\]\n]+\]\]", r"<<[A-Za-z_][\w .-]*>>", r"«[A-Za-z_](?:[\w .-]{0,40}|[\w.-]*)»", r"\*\|[A-Z_0-9:]+\|\*", r"@@\w+@@", r"__[A-Z][A-Z_]*__",
+    r"\$\{[\w.]+\}", r"#\{[\w.]+\}", r"\$[A-Z][A-Z_]+\$", r"%\([a-z_]\w*\)[sdif]", r"\bX{2}/X{2}/X{2,4}\b", r"\[(?:YOUR|INSERT|ENTER|ADD|FIRST|LAST|FULL|COMPANY|CUSTOMER|RECIPIENT|NAME|DATE|AMOUNT|ADDRESS|TITLE|PLACEHOLDER)[A-Z _']*\]",
+    r"\[(?:placeholder|insert|your|enter) [^\]\n]+\]", r"<(?:DATE|NAME|AMOUNT|EMAIL|ADDRESS|TIME|CITY|COMPANY|INSERT [A-Z ]+)>", r"\[object Object\]", r"(?i:\b(?:dear|hello|hi|hallo|bonjour|hola) (?:null|undefined|nan)\b)",
 ]
 #: Notations that also stand in ordinary text.
-WEAK = [r"%[A-Z][A-Z_]{2,30}%", r"\$[A-Z][A-Z_]{2,30}\b", r"\{[A-Za-z_][\w.]{0,30}\}", r"\{\d{1,2}\}"]
+WEAK = [r"%[A-Z][A-Z_]{2,}%", r"\$[A-Z][A-Z_]{2,}\b", r"\{[A-Za-z_][\w.]*\}", r"\{\d{1,2}\}"]
 
 #: Names of the environment, which are no slots even where they stand once (fixed values).
 ENVIRONMENT = "HOME PATH TEMP TMP USER SHELL PWD USERPROFILE APPDATA JAVA_HOME PYTHONPATH LANG EDITOR HOSTNAME SYSTEMROOT PROGRAMFILES WINDIR USERNAME".split()
@@ -60,13 +61,27 @@ PAGES = [
 
 #: Filler and stand-ins as whole texts, in lower case (fixed patterns).
 FILLERS = [
-    r"lorem ipsum\b[^\d]{0,500}",
-    r"(?:(?:test|asdf|qwer|qwerty|foo|bar|baz|foobar|xxx+|blah?|bla|abc|tbd|tba|n/?a|loading|undefined|null|nan|none|dummy|sample|placeholder|untitled)[\s.,…!-]*){3,}\d*(?:[\s.,]*(?:xxx+|test|asdf))*", r"(?:null|undefined|nan|\[object object\]|<null>|\(null\)|none|nil)[.!]?", r"(?:[.…_*=~#-]{3,}\s*)+", r"loading ?(?:\.{3}|…)",
+    r"lorem ipsum\b[^\d]*+",
+    r"(?:(?:test|asdf|qwerty|qwer|foo|bar|baz|xxx+|blah?|abc|tbd|tba|nan(?!a)|n/?a|loading|undefined|null|none|dummy|sample|placeholder|untitled)[\s.,…!-]*+){3,}+\d*(?:[\s.,]*+(?:xxx+|test|asdf))*+", r"(?:null|undefined|nan|\[object object\]|<null>|\(null\)|none|nil)[.!]?", r"(?:[.…_*=~#-]{3,}+\s*+)++", r"loading ?(?:\.{3}|…)",
     r"(?:your|the|enter|insert|add|type)(?: your)? (?:own )?(?:text|content|message|title|description|copy)(?: goes)? here[.!]?", r"(?:dein|ihr) text hier[.!]?", r"(?:votre|insérez votre) texte ici[.!]?", r"(?:tu|su|escriba su) texto aquí[.!]?", r"text goes here[.!]?(?: \S+){0,4}", r"ここに(?:本文|テキスト|文章|内容|タイトル)を(?:入力|挿入|記入)してください[。.]?", r"(?:введите|ваш) текст(?: здесь)?[.!]?",
     r"insert .{1,40} (?:description|text|title|name|here)[.!]?", r"(?:this is (?:a )?)?(?:sample|dummy|placeholder|example|filler) (?:paragraph|text|content|copy|sentence)\b ?\d*[.!]?(?: ?(?:please )?(?:replace|change|edit|overwrite).{0,60})?", r"(?:beispieltext|platzhalter(?:text)?|mustertext|blindtext)[,:. ]*(?:bitte )?(?:ersetzen|hier)?[.!]?.{0,30}", r"texte? (?:d'exemple|de ejemplo|ejemplo|exemple|de remplissage)[,:. ]*.{0,40}",
-    r"(?:todo|tbd|fixme|xxx)\s*[:：-]?\s*(?:write|add|insert|fill|complete|describe|replace|schreiben|écrire|escribir).{0,90}", r"\[(?:placeholder|insert|todo|tbd|your text|content|image|text)[^\]]{0,60}\]", r"(?:undefined|null|nan)(?:[ ,]+(?:undefined|null|nan))+[.!]?",
+    r"(?:todo|tbd|fixme|xxx)\s*[:：-]?\s*(?:write|add|insert|fill|complete|describe|replace|schreiben|écrire|escribir).{0,90}", r"\[(?:placeholder|insert|todo|tbd|your text|content|image|text)[^\]]{0,60}\]", r"(?:undefined|null|nan)(?:[ ,]++(?:undefined|null|nan))++[.!]?",
 ]
 
+#: Outputs and pages of any length, told by how they are built (fixed patterns, lower case).
+OUTPUTS = [
+    r"traceback \(most recent call last\).*", r"<noscript>.*</noscript>", r"<\?xml.{0,2000}error.*", r"\{\s*\"errors?\"\s*:.*\}", rf"\{{\s*\"(?:message|code|status)\"\s*:(?=.*\"(?:errors?|exception|stack\w*|trace\w*)\"\s*:|.*\"(?:code|status\w*)\"\s*:\s*\"?[45]\d\d\b).*\}}",
+    r"exception in thread (?:\"|\S+ \S*(?:exception|error)\b).*", r"(?:fatal error|uncaught \w+|unhandled \w+|segmentation fault|panic)(?::| \(| at ).*", r"(?:uncaught )?[\w.$]*(?:error|exception)\b(?=(?:.*? at [\w.$<>/]++ ?\([^()]++\)){2}).*",
+]
+#: What a title or heading of a long HTML page says if it is an error page; PAGES count too.
+HEADINGS = [rf"(?:error |http )?[45]\d\d(?: error)?(?:[ :–|-]+.{{0,40}}(?:{_REASON}|unavailable|denied|time-?out|error).{{0,60}})?", r"attention required.{0,60}", r"(?:sorry, )?you have been blocked.{0,60}"]
+#: Words of notices; a long notice has one for so many characters.
+NOTICE = r"pages?\b|sites?\b|website|browsers?\b|server|request|\burl|error|java ?script|cookie|reload|refresh|try again|administrator|support|settings|\blog(?:ged)? ?in|\bsign(?:ed)? ?in|password|session|enable|access|permission|security|connection|maintenance|unavailable|available|verif|seite|anmeld|serveur|navigateur|página|navegador|сайт|страниц|браузер|ページ|サイト|ブラウザ"
+NOTICE_EVERY = 200
+#: The writer speaks, so the text is about a page; headings of pages that ask for the visitor are taken out first.
+ASKED = r"(?:why|what|how|when) (?:have|has|did|do|can|should|am|was) i\b[^?]{0,80}\?"
+SPEAKER = r"(?U)(?<![\w'])(?:i|i'm|i've|i'll|i'd|me|my|mine|ich|mir|mich|mein\w{0,2}|je|moi|mon|j'\w+|yo|mi|я|мне|меня|мой|моя)(?![\w'-])|私|僕|俺"
+
 MASK = "(?U)\\d+"
 
 
@@ -90,15 +105,21 @@ def unfilled(forms: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def whole_page(form: Column) -> Column:
+    """Short pages match from end to end. A long one is told by its build, an HTML page by its title and headings, and a long
+    notice by an opening sentence that is a page of its own, the words of notices all along and nobody who speaks."""
     low = F.lower(F.regexp_replace(F.regexp_replace(form, r"(?U)\s+", " "), "^ | $", ""))
-    pages = "(?s)^(?:" + "|".join(f"(?:{p})" for p in PAGES) + ")$"
-    fillers = "(?s)^(?:" + "|".join(f"(?:{p})" for p in FILLERS) + ")$"
-    return (F.length(low) <= 600) & (low.rlike(pages) | low.rlike(fillers))
+    any_of = lambda patterns: "(?s)^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
+    headings = F.regexp_extract_all(low, F.lit(r"<(title|h[1-3])\b[^>]*+> ?([^<]*[^< ]) ?</"), F.lit(2))
+    html = low.rlike("^<(?:!doctype )?html") & F.exists(headings, lambda h: h.rlike(any_of([*PAGES, *HEADINGS]) + "$"))
+    opening = low.rlike(any_of(PAGES) + r"(?<=[.!?。！…])(?<!\d\.)[ \p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
+    notice = opening & (F.regexp_count(low, F.lit(NOTICE)) * NOTICE_EVERY >= F.length(low)) & ~F.regexp_replace(low, ASKED, "").rlike(SPEAKER)
+    begins = any_of([*PAGES, *FILLERS, *OUTPUTS])  # most texts begin like no page, so one pattern is tried on them
+    return low.rlike(begins) & (low.rlike(begins + "$") | html | notice)
 
 
 def filler_texts(forms: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` of texts that are filler by the induced vocabulary. Only texts of plain lower-case words and stops, the few that can be, are split."""
-    plain = forms.where(F.col("canonical").rlike(r"^[A-Z]?[a-z]+(?:[ ,.;\n]+[A-Z]?[a-z]+){3,}[ .\n]*$"))
+    plain = forms.where(F.col("canonical").rlike(r"^[A-Z]?[a-z]++(?:[ ,.;\n]++[A-Z]?[a-z]++){3,}+[ .\n]*$"))
     words = plain.select(*keys, F.array_distinct(F.filter(F.split(F.lower("canonical"), "[^a-z]+"), lambda w: w != "")).alias("ws"))
     seeded = F.arrays_overlap("ws", F.array(*map(F.lit, FILLER_SEEDS)))
     each = words.select(*keys, seeded.alias("seeded"), F.size("ws").alias("of"), F.explode("ws").alias("w"))

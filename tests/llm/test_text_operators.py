@@ -308,6 +308,28 @@ def test_residue(spark):
     assert [x for i, x in rows if (i in got) != (i < len(CASES))] == []
 
 
+def test_residue_of_any_length(spark):
+    css = "body{margin:0}" * 150
+    cases = [
+        f"<!DOCTYPE html><html><head><style>{css}</style><title>503 Service Temporarily Unavailable</title></head><body><h1>503</h1><p>{'nginx ' * 400}</p></body></html>",
+        f"<html><head><title>shop</title><script>{css}</script></head><body><h1>Access denied</h1></body></html>",
+        "Traceback (most recent call last):\n" + "".join(f'  File "/srv/app/part{i}.py", line {i}, in call\n    for i in run(x{i}):\n' for i in range(90)) + "KeyError: 'x'",
+        "java.lang.IllegalStateException: closed\n" + "".join(f"\tat org.app.Part{i}.run(Part{i}.java:{i})\n" for i in range(200)),
+        '{"error": {"code": 500, "stack": "' + "frame, " * 900 + '"}}', '{"message": "no", "trace": "' + "frame, " * 900 + '"}',
+        "Please enable JavaScript to view this page. " + "Open the settings of your browser, allow scripts for this site and reload the page. Why have I been blocked? The website needs cookies. " * 30,
+        "Lorem ipsum dolor sit amet, " * 200, "test " * 9000, "---- " * 3000, "Hello {{ customer.address.street | default('the street that we have on file for you today') | upper }}!",
+    ]
+    talk = [
+        "Access denied. That is what my browser said when I opened the page, and the site did not say why. " * 20,
+        "Session expired. " + "Then Renate went to the market, bought bread and cheese, and came home late in the rain. " * 20,
+        f"<html><head><style>{css}</style><title>Bread of the valley</title></head><body><h1>Bread</h1>{'flour and water ' * 200}</body></html>",
+        "Plain words of a long letter, " * 9000, '{"message": "' + "see you tomorrow, " * 200 + '"}', "-" * 3000 + "x",
+    ]
+    rows = list(enumerate([*cases, *talk]))
+    got = {r.i for r in residue.residue(spark.createDataFrame(rows, "i int, text string"), ["i"]).collect()}
+    assert [x[:60] for i, x in rows if (i in got) != (i < len(cases))] == []
+
+
 def test_slots_are_told_from_literals_by_alignment(spark):
     names = ["{name}", "{first}", "%FNAME%", "{0}"]
     rows = [(i, f"You owe {n} the sum of {i} coins") for i, n in enumerate(names)] + [(10 + i, f"run it with $HOME as folder {i}") for i in range(4)]
