@@ -1,12 +1,12 @@
 """Template residue, filler and error pages instead of content (problem 7).
 
-Residue: placeholders are found by their notations, and records that share what stands around a placeholder are aligned: that place is
-a slot. A slot that holds different names, or one in a notation nothing else uses, was left unfilled. What a weak notation
-(``$HOME``, ``%TEMP%``, ``{k: v}``) holds, the same in every record, is part of the text, not a slot. Slots are grouped with map-side
-combine to the number of records and their least and greatest content.
+Residue: placeholders are found by fixed patterns of their notations, which replace the induction of slots from templates. A weak notation,
+one that ordinary text may use too (``$HOME``, ``%TEMP%``, ``{name}``), counts as well, unless it holds a name of the environment. Only for
+these names does alignment decide: if records that share what stands around the place hold different contents there, it is a slot.
+Places are grouped with map-side combine to their least and greatest content. Slots left blank or at a default are not found.
 
 Filler: texts all of whose words are of the filler vocabulary, which is induced: the words that stand mostly in texts with a
-known filler word. Whole-page templates (errors, notices about scripts, cookies, login, waiting) are matched from end to end, numbers left
+known filler word. Whole-page templates (errors, notices about scripts, cookies, login, waiting) are a fixed list, repetition is not counted; they are matched from end to end, numbers left
 open, so a message that talks about such a page is none. Longer ones count at any length: error output by its build, HTML by its title
 and headings, a notice if its first sentence is one, its words go on all along and nobody speaks in the first person.
 
@@ -86,13 +86,14 @@ MASK = "(?U)\\d+"
 
 
 def slots(forms: DataFrame, keys: list[str], weak_only: bool = True) -> DataFrame:
-    """``keys, around, held`` of each place in a weak notation: two words on either side, and what it holds."""
+    """``keys, around, held`` of each place in a weak notation: two words on either side, and what it holds. Places may share words."""
     whole = "|".join(WEAK)
-    place = F.explode(F.regexp_extract_all("canonical", F.lit(rf"((?:\S+\s+){{0,2}}\S*?(?:{whole})\S*(?:\s+\S+){{0,2}})"), F.lit(1)))
-    step = forms.where(F.col("canonical").rlike(whole)).select(*keys, place.alias("stretch"))
-    held = F.regexp_extract("stretch", f"({whole})", 1)
-    around = F.regexp_replace(F.replace(F.col("stretch"), held, F.lit("\u25c7")), MASK, "9")
-    return step.select(*keys, F.regexp_replace(around, r"\S*[A-Z]\S*", "N").alias("around"), held.alias("held"))
+    step = forms.where(F.col("canonical").rlike(whole)).select(*keys, F.split("canonical", whole).alias("_parts"), F.posexplode(F.regexp_extract_all("canonical", F.lit(f"({whole})"), F.lit(1))).alias("_i", "held"))
+    side = lambda start, size: F.array_join(F.slice("_parts", start, size), "\u25c7")
+    left = F.regexp_extract(side(F.lit(1), F.col("_i") + 1), r"(?:\S+\s+){0,2}\S*$", 0)
+    right = F.regexp_extract(side(F.col("_i") + 2, F.size("_parts")), r"^\S*(?:\s+\S+){0,2}", 0)
+    around = F.regexp_replace(F.concat(left, F.lit("\u25c7"), right), MASK, "9")
+    return step.select(*keys, F.regexp_replace(around, r"\S*[A-Z]\S*", "N").alias("around"), "held")
 
 
 def unfilled(forms: DataFrame, keys: list[str]) -> DataFrame:

@@ -338,6 +338,14 @@ def test_slots_are_told_from_literals_by_alignment(spark):
     assert residue.without_residue(df, ["i"]).count() == 4 and residue.residue(df.limit(0), ["i"]).count() == 0
 
 
+def test_slots_that_share_their_surroundings(spark):
+    rows = [(1, "Set $HOME and {name} now"), (2, "{a} {b} $HOME"), (3, "Put $HOME or %TEMP% here")]
+    df = spark.createDataFrame(rows, "i int, text string")
+    assert {r.i for r in residue.residue(df, ["i"]).collect()} == {1, 2}
+    held = residue.slots(df.withColumnRenamed("text", "canonical"), ["i"]).where("i = 2").collect()
+    assert sorted(r.held for r in held) == ["$HOME", "{a}", "{b}"]
+
+
 def test_filler_vocabulary_is_induced(spark):
     rows = [(i, f"Lorem {a} ipsum {b} {a} {b}.") for i, (a, b) in enumerate([("vexil", "tarsum"), ("quorin", "vexil"), ("tarsum", "quorin")])] + [(7, "Vexil tarsum quorin vexil tarsum."), (8, "please send the notes to me today"), (9, "we said lorem once in the notes today")]
     got = {r.i for r in residue.filler_texts(lookalike.canonicalize(spark.createDataFrame(rows, "i int, text string"), "i"), ["i"]).collect()}
