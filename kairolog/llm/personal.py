@@ -15,7 +15,7 @@ a given name alone is no NAME; numbers of orders, shipments, builds and versions
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -53,17 +53,24 @@ ID_CUES = [
     "numéro de sécu", "sécurité sociale", "national id", "national insurance", "nino", "tax id", "tax number", "tin", "itin", "マイナンバー", "個人番号", "パスポート番号", "旅券番号", "ИНН", "СНИЛС", "паспорт", "cpf", "ahv", "codice fiscale", "identity card", "id card",
 ]
 PHONE_CUES = ["tel", "téléphone", "telefon", "teléfono", "phone", "call", "text", "rang", "ring me", "number is", "numéro", "mobile", "handy", "rückruf", "電話", "携帯", "телефон", "звони", "позвони", "whatsapp", "fax", "móvil", "llama", "appel", "sms"]
-STREETS = [
-    " street", " st", " road", " rd", " lane", " avenue", " ave", "avenue ", " blvd", " boulevard", "boulevard ", " court", " drive", " terrace", " close", " way", " square", "straße", "strasse", "str.", "weg ", "gasse ", "allee ", "platz ",
-    "rue ", "calle ", "avenida ", "plaza ", "paseo ", "quai ", "chemin ", "via ", "piazza ", "po box", "p.o. box", "postfach ", "apartado ", "boîte postale", "〒", "丁目", "番地", "ул.", "улица ", "проспект ", "переулок ",
-]
+#: Words of addresses by where they stand; parsers and anchors are made from the same lists (fixed values).
+AFTER_NAME = "St Street Road Rd Lane Ln Avenue Ave Blvd Boulevard Court Ct Drive Dr Terrace Close Way Square Place".split()
+BEFORE_NAME = "rue avenue boulevard quai chemin place allee impasse".split()
+ENDINGS = "straße strasse str. weg gasse allee platz ring damm ufer".split()
+BEFORE_NUMBER = "calle avenida plaza paseo camino via viale piazza".split()
+BOXES = {"P\\.? ?O\\.? ?Box": "box ", "Postfach": "postfach ", "Apartado(?: de correos)?": "apartado", "BP": "bp ", "boite postale": "boite postale "}
+DISTRICTS = "市区町村県都府郡"
+RUSSIAN = ["улица", "ул.", "проспект", "просп.", "пр-т", "переулок", "пер.", "площадь", "пл.", "бульвар", "набережная", "наб.", "шоссе", "проезд"]
+STREETS = [f" {w}" for w in (*AFTER_NAME, *BEFORE_NAME)] + [f"{w} " for w in (*ENDINGS, *BEFORE_NUMBER)] + [*BOXES.values(), "〒", *DISTRICTS, *RUSSIAN]
+#: Spellings of an at-sign, and those of a dot that go with each where no brackets stand.
+ATS = {"at": "dot|punkt", "arroba": "dot|punto", "arobase": "dot|point", "chez": "dot|point"}
 
 _LOCAL = r"[\w.%+\-]*[\w%+\-]"
 _DOT = r"(?:\.|\s*[\[({]\s*(?:dot|punkt|point|punto)\s*[\])}]\s*|\s+(?:dot|punkt|point|punto)\s+)"
 _HOST = rf"[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?(?:{_DOT}[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?)*{_DOT}[a-z][a-z]+"
 _SPELLED = r"(?:\.|\s*[\[({]\s*(?:dot|punkt|point|punto)\s*[\])}]\s*|\s+(?:dot|punkt|point|punto)\s+)"
-EMAIL = re.compile(rf"(?:mailto:)?(?<![\w.%+\-])[a-z0-9_](?:[a-z0-9_.%+\-]*[a-z0-9_%+\-])?(?:\s?@\s?|\s*[\[({{<]\s*(?:at|arroba|chez)\s*[\])}}>]\s*){_HOST}(?![\w@])", re.I | re.A)
-EMAIL_AT = re.compile(r"(?<![\w.%+\-])[a-z0-9_][a-z0-9_.%+\-]*\s+at\s+[a-z0-9\-]+(?:\s+dot\s+[a-z0-9\-]+)*\s+dot\s+[a-z]{2,}(?!\w)", re.I | re.A)
+EMAIL = re.compile(rf"(?:mailto:)?(?<![\w.%+\-])[a-z0-9_](?:[a-z0-9_.%+\-]*[a-z0-9_%+\-])?(?:\s?@\s?|\s*[\[({{<]\s*(?:{"|".join(ATS)})\s*[\])}}>]\s*){_HOST}(?![\w@])", re.I | re.A)
+EMAIL_AT = [re.compile(rf"(?<![\w.%+\-])[a-z0-9_][a-z0-9_.%+\-]*\s+{at}\s+[a-z0-9\-]+(?:\s+(?:{dot})\s+[a-z0-9\-]+)*\s+(?:{dot})\s+[a-z]{{2,}}(?!\w)", re.I | re.A) for at, dot in ATS.items()]
 
 _CODE = r"[A-Z]{0,3}[ \-]?\d(?:[ \-/.]?[0-9A-Z]){5,17}(?![0-9])"
 _LINK = r"(?:\s*(?:number|numero|nummer|no|nr|n[o°º]|is|was|ist|est|es|lautet|:|#|=|は|が|番号|номер)\.?)*[\s:#]*"
@@ -89,13 +96,14 @@ _TAIL = rf"(?:,? (?i:apt|apartment|suite|unit|flat|no|#)\.? ?\d+[a-z]?)?(?:,? \d
 _CAP = rf"[A-Z][{_LATIN}'\-]+"
 _EDGE = rf"(?<![{_LATIN}0-9_.,])"
 _END = rf"(?![{_LATIN}0-9_])"
+_DIGIT = re.compile(r"\d")
 _NUM = r"\d{1,5} ?[a-zA-Z]?(?: ?(?:bis|ter))?"
 ADDRESSES = [
-    re.compile(rf"(?:(?i:flat|apt|apartment|unit|suite)\.? \d+[a-z]?, )?{_EDGE}\d{{1,5}}[a-zA-Z]?,? (?:[NSEW]\.? )?(?:{_CAP} ){{1,3}}(?:St|Street|Road|Rd|Lane|Ln|Avenue|Ave|Blvd|Boulevard|Court|Ct|Drive|Dr|Terrace|Close|Way|Square|Place){_END}\.?{_TAIL}"),
-    re.compile(rf"{_EDGE}{_NUM},? (?i:rue|avenue|boulevard|quai|chemin|place|allee|impasse)(?: (?:du|de la|des|de|d'))? ?{_CAP}{_TAIL}"),
-    re.compile(rf"{_EDGE}{_CAP}(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer) \d{{1,4}}(?: ?[a-z])?{_END}{_TAIL}"),
-    re.compile(rf"{_EDGE}(?i:calle|avenida|plaza|paseo|camino|via|viale|piazza) (?:(?:de|del|la|las|los) ){{0,2}}{_CAP},? (?:n[oº°]\.? ?)?\d{{1,5}}{_TAIL}"),
-    re.compile(rf"{_EDGE}(?:P\.? ?O\.? ?Box|Postfach|Apartado(?: de correos)?|BP|boite postale) \d{{1,6}}(?!\d)(?:,? (?:\d{{4,6}} )?{_CITY}(?:,? \d{{4,6}})?)?", re.I),
+    re.compile(rf"(?:(?i:flat|apt|apartment|unit|suite)\.? \d+[a-z]?, )?{_EDGE}\d{{1,5}}[a-zA-Z]?,? (?:[NSEW]\.? )?(?:{_CAP} ){{1,3}}(?:{"|".join(AFTER_NAME)}){_END}\.?{_TAIL}"),
+    re.compile(rf"{_EDGE}{_NUM},? (?i:{"|".join(BEFORE_NAME)})(?: (?:du|de la|des|de|d'))? ?{_CAP}{_TAIL}"),
+    re.compile(rf"{_EDGE}{_CAP}(?:{"|".join(map(re.escape, ENDINGS))}) \d{{1,4}}(?: ?[a-z])?{_END}{_TAIL}"),
+    re.compile(rf"{_EDGE}(?i:{"|".join(BEFORE_NUMBER)}) (?:(?:de|del|la|las|los) ){{0,2}}{_CAP},? (?:n[oº°]\.? ?)?\d{{1,5}}{_TAIL}"),
+    re.compile(rf"{_EDGE}(?:{"|".join(BOXES)}) \d{{1,6}}(?!\d)(?:,? (?:\d{{4,6}} )?{_CITY}(?:,? \d{{4,6}})?)?", re.I),
     re.compile(r"〒 ?\d{3}-?\d{4}(?:[\s、,]*[ぁ-ヿ一-鿿々]+[市区町村県都府郡][ぁ-ヿ一-鿿々]*\d*(?:丁目)?[\d\-番地号]*)?"),
     re.compile(r"[一-鿿々]{1,8}[市区町村県都府郡][ぁ-ヿ一-鿿々]{0,8}?\d{1,3}(?:丁目\d{1,3}(?:-\d{1,3})?(?:番地?)?(?:\d{1,3}号)?|番地?(?:\d{1,3}号?)?|(?:-\d{1,3}){1,2})"),
 ]
@@ -130,6 +138,18 @@ def fold_chunk(data: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.
     return out.astype("<u4").tobytes().decode("utf-32-le"), back, starts, np.concatenate([[0], cp_ends])
 
 
+def russian_addresses(fold: Callable[[str], str]) -> list[re.Pattern[str]]:
+    """Parsers of Russian addresses over folded text, in which letters that Latin has too are Latin."""
+    low = lambda words: "|".join(re.escape(fold(w)) for w in words)
+    word = r"[^\W\d_](?:[^\W\d_]|-(?=[^\W\d_]))*"
+    name = rf"(?-i:(?=[A-ZА-ЯЁ])){word}(?: (?-i:(?=[A-ZА-ЯЁ])){word})?"
+    number = rf"\d{{1,4}}(?:/\d{{1,4}})?(?: ?[^\W\d_](?![\w]))?(?:,? (?:{low(['корп.', 'корпус', 'к.', 'стр.', 'строение'])}) ?\d{{1,3}})?(?:,? (?:{low(['кв.', 'квартира', 'оф.', 'офис'])}) ?\d{{1,5}})?(?![\w])"
+    house = rf",? (?:(?:{low(['дом', 'д.'])}) ?)?{number}(?:,? \d{{6}}(?!\d))?"
+    kind = rf"(?:{low(RUSSIAN)})"
+    before = rf"(?:\d{{6}}, ?)?(?:(?:{low(['г.'])}) ?)?(?:(?-i:(?=[A-ZА-ЯЁ])){word}, )?"
+    return [re.compile(rf"(?<![\w]){before}{kind} ?{name}{house}", re.I), re.compile(rf"(?<![\w]){before}{name} {kind}{house}", re.I)]
+
+
 class Finder:
     """The automaton and the parsers that need the given names."""
 
@@ -139,7 +159,7 @@ class Finder:
         f = lambda s: _fold_string(s)[:-1].lower()
         self.auto = ahocorasick.Automaton()
         words: dict[str, set[str]] = {}
-        for kind, cues in (("EMAIL", ["@", " at ", "[at]", "(at)", "{at}", "mailto:", "arroba"]), ("ID", ID_CUES), ("ADDRESS", STREETS)):
+        for kind, cues in (("EMAIL", ["@", " at ", *(f"{x}at" for x in "[({<"), *(f"at{x}" for x in "])}>"), *(w for w in ATS if w != "at")]), ("ID", ID_CUES), ("ADDRESS", STREETS)):
             for c in cues:
                 words.setdefault(f(c) if c.strip() == c else f"{' ' * c.startswith(' ')}{f(c.strip())}{' ' * c.endswith(' ')}", set()).add(kind)
         for c in given:
@@ -155,7 +175,7 @@ class Finder:
         cues = "|".join(sorted((re.escape(f(c)) for c in ID_CUES), key=len, reverse=True))
         self.id_ = re.compile(rf"(?<![a-z0-9])(?:{cues}){_LINK}({_CODE})", re.I)
         self.phone_cue = re.compile("|".join(re.escape(f(c)) for c in PHONE_CUES), re.I)
-        self.street = [re.compile(p.pattern, p.flags) for p in ADDRESSES]
+        self.street = [*ADDRESSES, *russian_addresses(f)]
         names = "|".join(sorted(map(re.escape, map(f, given)), key=len, reverse=True))
         sur = r"[^\W\d_](?:[^\W\d_]|['\-](?=[^\W\d_]))+"
         self.given_first = re.compile(rf"(?<![\w@.\-])((?:{names})(?:-(?:{names}))?)((?: [a-z]\.)?) ({sur})(?![\w@\-])(?!\.\w)(?: (\w+))?", re.I)
@@ -182,10 +202,10 @@ class Finder:
         """Items of one folded text that do not overlap, in order."""
         found: list[tuple[int, int, str]] = []
         if "EMAIL" in kinds:
-            found += [(m.start(), m.end(), "EMAIL") for p in (EMAIL, EMAIL_AT) for m in p.finditer(text)]
+            found += [(m.start(), m.end(), "EMAIL") for p in (EMAIL, *EMAIL_AT) for m in p.finditer(text)]
         if "ID" in kinds:
             found += [(*m.span(1), "ID") for m in self.id_.finditer(text) if sum(c.isdigit() for c in m[1]) >= 6]
-        if "ADDRESS" in kinds:
+        if "ADDRESS" in kinds and _DIGIT.search(text):
             found += [(m.start(), m.end(), "ADDRESS") for p in self.street for m in p.finditer(text)]
         if "PHONE" in kinds:
             found += self._phones(text)
