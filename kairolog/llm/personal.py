@@ -3,7 +3,7 @@
 Anchor expansion. Texts are folded first (full-width forms, look-alike letters, marks and invisible characters are undone, with a map
 back to the stored code points), a whole chunk at once. One Aho-Corasick automaton then runs over the chunk and finds
 anchors: at-signs and their spellings, cues of identity numbers, words of streets, titles, given names, cues of
-telephones. Only a row with an anchor (or a run of digits shaped like a telephone number) reaches the local parsers, which
+telephones, cues of signatures and forms, endings of Russian surnames. Only a row with an anchor (or a run of digits shaped like a telephone number) reaches the local parsers, which
 expand from the anchor and check the boundaries of the item.
 
 Kinds: EMAIL, PHONE, ID, ADDRESS, NAME. Where two overlap, the one named first in ORDER wins.
@@ -15,7 +15,7 @@ a given name alone is no NAME; numbers of orders, shipments, builds and versions
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -48,6 +48,22 @@ COMMON = set("""about above after again ahora also antes aqui archivo avec bien
 first from gestern hacer have heute hier into jetzt just later lista maintenant mais make maybe morgen note nicht notes oder other para pero please plus pour pues quand
 really said says shall should since some soon sure tambien than that their then there these they this those today tomorrow under until update using want were what when where which while will with would yesterday your""".split())
 
+#: After these two or three capitalised words are a name, whatever they are; a colon, comma or dash may stand between. In ``FORM_CUES`` a colon must.
+NAME_CUES = [
+    "signed", "signed by", "regards", "sincerely", "yours", "cheers", "my name is", "name is", "i am", "attn", "attention of", "full name", "first and last name", "contact person", "emergency contact",
+    "mit freundlichen grüßen", "viele grüße", "gruß", "gez.", "mein name ist", "ich heiße", "ich bin", "ansprechpartner", "ansprechpartnerin", "cordialement", "je m'appelle", "je suis", "signé", "saludos", "atentamente", "me llamo", "mi nombre es", "firmado", "с уважением", "меня зовут", "подпись",
+]
+FORM_CUES = ["name", "contact", "customer", "client", "patient", "employee", "recipient", "sender", "author", "from", "to", "cc", "kunde", "patientin", "empfänger", "absender", "nom", "nom complet", "destinataire", "expéditeur", "nombre", "destinatario", "remitente", "фио", "имя", "контакт", "получатель", "отправитель"]
+#: Japanese names without a form of address: after a word of a form, or before words of introduction.
+KANJI_CUES = ["氏名", "お名前", "名前", "担当者", "担当", "署名", "差出人", "宛名", "連絡先", "申込者"]
+KANJI_AFTER = ["と申します", "と言います", "といいます", "より"]
+#: Endings of Russian surnames and patronymics, and first words that make no name with them (fixed values).
+SURNAMES = "ов ова ову овым овой ев ева еву евым евой ёв ёва ин ина ину иным иной ский ская ского скому ским ской цкий цкая енко чук".split()
+PATRONYMICS = "ович овича овичу евич евича евичу ьич ьича ьичу овна овны овне евна евны евне ична ичны ичне".split()
+NOT_GIVEN = "проект команда город улица площадь проспект переулок бульвар станция система компания архив отдел фонд парк банк завод институт театр музей мост дом отчёт отчет заказ это как что для или если когда где от для у про сегодня вчера завтра здравствуйте господин госпожа товарищ доктор мистер".split()
+#: Verbs that begin a sentence before a surname.
+VERB = "звонил|писал|сказал|просил|ответил|спросил|передал|отправил|получил|пришёл|пришел|был|стал|дал|взял|ушёл|ушел"
+
 ID_CUES = [
     "ssn", "social security number", "social security", "my social", "dni", "nie", "nif", "passport", "reisepass", "pasaporte", "passeport", "steuer-id", "steuerid", "steuernummer", "steueridentifikationsnummer", "personalausweis",
     "numéro de sécu", "sécurité sociale", "national id", "national insurance", "nino", "tax id", "tax number", "tin", "itin", "マイナンバー", "個人番号", "パスポート番号", "旅券番号", "ИНН", "СНИЛС", "паспорт", "cpf", "ahv", "codice fiscale", "identity card", "id card",
@@ -138,9 +154,14 @@ def fold_chunk(data: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.
     return out.astype("<u4").tobytes().decode("utf-32-le"), back, starts, np.concatenate([[0], cp_ends])
 
 
-def russian_addresses(fold: Callable[[str], str]) -> list[re.Pattern[str]]:
+def cased(w: str) -> list[str]:
+    """Spellings of a word that fold differently: a capital may look like a Latin one where its small letter does not."""
+    return list(dict.fromkeys(_fold_string(x)[:-1] for x in (w, w.capitalize(), w.upper())))
+
+
+def russian_addresses() -> list[re.Pattern[str]]:
     """Parsers of Russian addresses over folded text, in which letters that Latin has too are Latin."""
-    low = lambda words: "|".join(re.escape(fold(w)) for w in words)
+    low = lambda words: "|".join(re.escape(x) for w in words for x in cased(w))
     word = r"[^\W\d_](?:[^\W\d_]|-(?=[^\W\d_]))*"
     name = rf"(?-i:(?=[A-ZА-ЯЁ])){word}(?: (?-i:(?=[A-ZА-ЯЁ])){word})?"
     number = rf"\d{{1,4}}(?:/\d{{1,4}})?(?: ?[^\W\d_](?![\w]))?(?:,? (?:{low(['корп.', 'корпус', 'к.', 'стр.', 'строение'])}) ?\d{{1,3}})?(?:,? (?:{low(['кв.', 'квартира', 'оф.', 'офис'])}) ?\d{{1,5}})?(?![\w])"
@@ -167,6 +188,9 @@ class Finder:
         for c in (*TITLES.replace("?", "").split("|"), "mr", "herr", "senor", "signor"):
             words.setdefault(f"{f(c)} ", set()).add("NAME")
             words.setdefault(f"{f(c)}. ", set()).add("NAME")
+        for kind, cues in (("CUED", (*NAME_CUES, *(f"{c}{x}" for c in FORM_CUES for x in (":", " :")), *KANJI_CUES, *KANJI_AFTER)), ("RUSSIAN", (*SURNAMES, *PATRONYMICS)), ("ADDRESS", RUSSIAN)):
+            for w in {x.lower() for c in cues for x in cased(c)}:
+                words.setdefault(w, set()).add(kind)
         for c in ("さん", "様", "先生"):
             words.setdefault(c, set()).add("NAME")
         for w, kinds in words.items():
@@ -175,12 +199,19 @@ class Finder:
         cues = "|".join(sorted((re.escape(f(c)) for c in ID_CUES), key=len, reverse=True))
         self.id_ = re.compile(rf"(?<![a-z0-9])(?:{cues}){_LINK}({_CODE})", re.I)
         self.phone_cue = re.compile("|".join(re.escape(f(c)) for c in PHONE_CUES), re.I)
-        self.street = [*ADDRESSES, *russian_addresses(f)]
+        self.street = [*ADDRESSES, *russian_addresses()]
         names = "|".join(sorted(map(re.escape, map(f, given)), key=len, reverse=True))
         sur = r"[^\W\d_](?:[^\W\d_]|['\-](?=[^\W\d_]))+"
         self.given_first = re.compile(rf"(?<![\w@.\-])((?:{names})(?:-(?:{names}))?)((?: [a-z]\.)?) ({sur})(?![\w@\-])(?!\.\w)(?: (\w+))?", re.I)
         self.given_last = re.compile(rf"(?<![\w@])({sur}), ((?:{names}))(?: [a-z]\.)?(?![\w@])", re.I)
         self.titled = re.compile(rf"(?<![\w])(?:{TITLES})\.? (?:(?:{TITLES})\.? )?(?:(?:{names}) (?:[a-z]\. )?)?([A-Z](?:[^\W\d_]|['\-])+)(?![\w@])", re.I)
+        cap = r"(?-i:(?=[A-ZА-ЯЁ]))[^\W\d_](?:[^\W\d_]|['\-](?=[^\W\d_]))+"
+        either = lambda words: "|".join(re.escape(x) for w in words for x in cased(w))
+        self.cued = re.compile(rf"(?<![\w])(?:(?:{either(NAME_CUES)})(?:\s*[:,–-]\s*|\s+)|(?:{either(FORM_CUES)}) ?:\s*)({cap}(?: [A-Z]\.)?(?: {cap}){{1,2}})(?![\w@])(?: (\w+))?", re.I)
+        self.russian = re.compile(rf"(?<![\w@.\-])({cap}) (?:(?=[^\W\d_]+(?:{either(PATRONYMICS)})(?![\w])){cap}(?: (?=[^\W\d_]+(?:{either(SURNAMES)})(?![\w])){cap})?|(?=[^\W\d_]+(?:{either(SURNAMES)})(?![\w])){cap})(?![\w@])", re.I)
+        self.not_given = re.compile(rf"(?:{either([*NOT_GIVEN, *RUSSIAN, *VERB.split('|')])})", re.I)
+        spaced = r"[一-鿿々]{1,4}[ \u3000][一-鿿々ァ-ヺ]{1,4}"
+        self.kanji = re.compile(rf"(?:{'|'.join(map(f, KANJI_CUES))})(?:\s*[::は]\s*|\s+)({spaced}|[一-鿿々]{{3,6}})(?![一-鿿々])|(?<![一-鿿々])({spaced}|[一-鿿々]{{3,5}})(?=と申します|と言います|といいます)|(?<![一-鿿々])({spaced})(?=より)")
         self.polite = re.compile(r"(?:[一-鿿]{2,4}|[ァ-ヺ]{2,8}|[A-Z][a-z]{2,})(?: ?[一-鿿ァ-ヺ]{1,4})?(?:さん|様|先生)")
 
     def rows(self, folded: str, starts: np.ndarray) -> dict[int, set[str]]:
@@ -211,6 +242,10 @@ class Finder:
             found += self._phones(text)
         if "NAME" in kinds:
             found += self._names(text)
+        if "CUED" in kinds:
+            found += self._cued(text)
+        if "RUSSIAN" in kinds:
+            found += [(m.start(), m.end(), "NAME") for m in self.russian.finditer(text) if not self.not_given.fullmatch(m[1])]
         out: list[tuple[int, int, str]] = []
         for kind in ORDER:
             for a, b, k in sorted(x for x in found if x[2] == kind):
@@ -250,6 +285,18 @@ class Finder:
         return out
 
 
+    def _cued(self, text: str) -> list[tuple[int, int, str]]:
+        """Names that a signature, a form or an introduction shows, whatever the given name."""
+        out = []
+        for m in self.cued.finditer(text):
+            words = m[1].lower().split(" ")
+            if not PLACES.intersection([*words, (m[2] or "").lower()]) and not COMMON.intersection(words):
+                out.append((*m.span(1), "NAME"))
+        for m in self.kanji.finditer(text):
+            out.append((*m.span(m.lastindex), "NAME"))
+        return out
+
+
 GREETINGS = set("hello thanks thank dear okay ok yes no sure hola hallo bonjour salut merci danke gracias well anyway signed done right".split())
 
 

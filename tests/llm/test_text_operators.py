@@ -257,7 +257,7 @@ def test_no_personal_items():
 def test_every_spelling_has_its_anchor():
     texts = [f"12 Oakhill {w}" for w in personal.AFTER_NAME] + [f"7 {w} Bellecour" for w in personal.BEFORE_NAME] + [f"Wren{w} 34" for w in personal.ENDINGS] + [f"{w} Larga, 5" for w in personal.BEFORE_NUMBER]
     texts += ["12 allée Verte", "P.O. Box 80", "P O Box 80", "POBox 80", "P. O. Box 80", "Postfach 12", "Apartado 31", "Apartado de correos 31", "BP 77", "boîte postale 9", *(f"北浜{c}東12番地" for c in personal.DISTRICTS), "渋谷区神南1-2-3", "〒123-4567"]
-    texts += [f"{w} Тверская, д. 12" for w in personal.RUSSIAN] + ["Ленинский проспект, 30, кв. 4", "г. Москва, ул. Большая Ордынка, дом 5", "ул. Мира 7"]
+    texts += [f"{x} Тверская, д. 12" for w in personal.RUSSIAN for x in (w, w.capitalize(), w.upper())] + ["Ленинский проспект, 30, кв. 4", "г. Москва, ул. Большая Ордынка, дом 5", "ул. Мира 7"]
     assert [a for a, b in zip(texts, replaced(texts), strict=True) if b not in ("[ADDRESS]", "[ADDRESS].")] == []
     texts = ["juan arroba correo punto es", "x at firma punkt de", "x at firma dot de", "jean arobase exemple point fr", "jean chez exemple point fr"]
     texts += [f"x{s}{a}{i}{at}{i}{b}{s}firma.de" for at in personal.ATS for a, b in ("[]", "()", "{}", "<>") for i in ("", " ") for s in ("", " ")]
@@ -266,6 +266,16 @@ def test_every_spelling_has_its_anchor():
     assert replaced(clean) == clean
 
 
+def test_names_outside_the_list():
+    found = [
+        ("Signed, James Miller", "Signed, [NAME]"), ("Best regards, Mary Oldenham", "Best regards, [NAME]"), ("Hello, my name is George Brown.", "Hello, my name is [NAME]."), ("Name: Elizabeth Harrow", "Name: [NAME]"), ("From: Richard T. Oakes", "From: [NAME]"), ("Mit freundlichen Grüßen\nUwe Brandt", "Mit freundlichen Grüßen\n[NAME]"),
+        ("Cordialement, Thibault Moreau", "Cordialement, [NAME]"), ("Иван Петров просил счёт", "[NAME] просил счёт"), ("звонила Мария Ивановна Кузнецова", "звонила [NAME]"), ("АННА СМИРНОВА", "[NAME]"), ("Передайте Ивану Петрову", "Передайте [NAME]"), ("Меня зовут Олег Ким", "Меня зовут [NAME]"), ("氏名: 山田太郎", "氏名: [NAME]"), ("山田 太郎と申します", "[NAME]と申します"), ("担当者は佐藤 花子", "担当者は[NAME]"),
+    ]
+    assert replaced([a for a, _ in found]) == [b for _, b in found]
+    clean = ["From: Atlas Project Desk", "I am Here Today", "Улица Пушкина пуста", "Звонил Петров", "Город Иваново", "Contact the Green Party", "name is too long", "Kind regards from all of us", "Проект Гагарина"]
+    assert replaced(clean) == clean
+
+
 def test_items_of_a_table(spark):
     df = spark.createDataFrame([(1, "a@b.org and c@d.org, Tel. 555-0134"), (2, None), (3, ""), (1, "a@b.org and c@d.org, Tel. 555-0134"), (4, "x" * 100_000 + " a@b.org")], "id int, text string")
     rows = {r.id: (r.kinds, r.redacted[-30:]) for r in personal.items(df, ["id"]).collect()}
