@@ -74,19 +74,21 @@ def _staged(rows: DataFrame, ts: str) -> DataFrame:
     step = step.select(
         *kept, "_clean", at(0).try_cast("int").alias("_y"), F.lower(F.substring(at(1), 1, 3)).alias("_mon"), at(1).try_cast("int").alias("_mo"), at(2).try_cast("int").alias("_d"), F.lower(at(3)).alias("_half"),
         at(4).try_cast("int").alias("_h"), at(5).try_cast("int").alias("_mi"), F.coalesce(at(6).try_cast("int"), F.lit(0)).alias("_s"), F.rpad(F.coalesce(at(7), F.lit("")), 6, "0").try_cast("int").alias("_us"), at(8).alias("_z"),
-        F.when(c("_clean").rlike(r"^-?\d{9,19}$"), c("_clean")).try_cast("bigint").alias("_n"),
+        F.when(c("_clean").rlike(r"^-?\d{1,19}(?:\.\d+)?$"), F.regexp_extract("_clean", r"^-?(\d+)", 1)).try_cast("bigint").alias("_n"),
     )
     known = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
     half, hour = c("_half"), c("_h")
     fits = F.when(half.isin("am", "pm"), hour.between(1, 12)).when(half.isin("午前", "午後"), hour.between(0, 12)).otherwise(hour.between(0, 23))
-    size = F.length(F.replace(c("_clean"), F.lit("-"), F.lit("")))
-    whole = F.when(size <= 11, c("_n") * 1_000_000).when(size <= 14, c("_n") * 1000).when(size <= 17, c("_n")).otherwise(F.floor(c("_n") / 1000).cast("bigint"))
-    point = F.when(c("_clean").rlike(r"^-?\d{9,11}\.\d+$"), F.regexp_extract("_clean", r"^(-?\d+)\.", 1).try_cast("bigint") * 1_000_000 + F.rpad(F.regexp_extract("_clean", r"\.(\d+)$", 1), 6, "0").try_cast("bigint"))
+    size = F.length(F.regexp_extract("_clean", r"^-?(\d+)", 1))
+    part = lambda n: F.rpad(F.regexp_extract("_clean", r"\.(\d+)$", 1), n, "0").try_cast("bigint")
+    below = F.when(c("_clean").startswith("-"), -1).otherwise(1)
+    # Nanoseconds are cut downwards, also before 1970.
+    unix = F.when(size <= 11, below * (c("_n") * 1_000_000 + part(6))).when(size <= 14, below * (c("_n") * 1000 + part(3))).when(size <= 17, below * c("_n")).otherwise(below * F.expr("_n div 1000") - F.when((below < 0) & (c("_n") % 1000 > 0), 1).otherwise(0))
     step = step.select(
         *kept, "_y", "_d", "_mi", "_us", "_s", "_z", F.coalesce("_mo", F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), c("_mon")).cast("int"), F.lit(0))).alias("_mo"),
         F.when(fits & (c("_s") <= 59), F.when(half == "", hour).otherwise(hour % 12 + F.when(half.isin("pm", "午後"), 12).otherwise(0))).alias("_h"),
         F.regexp_extract("_z", digits, 1).try_cast("int").alias("_oh"), F.coalesce(F.regexp_extract("_z", digits, 2).try_cast("int"), F.lit(0)).alias("_om"),
-        F.try_element_at(known, F.upper(F.regexp_extract("_z", r"^([A-Za-z]{1,5})(?:\[|$)", 1))).alias("_short"), F.nullif(F.regexp_extract("_z", r"\[(.+)\]$", 1), F.lit("")).alias("_named"), F.coalesce(whole, point).alias("_unix"),
+        F.try_element_at(known, F.upper(F.regexp_extract("_z", r"^([A-Za-z]{1,5})(?:\[|$)", 1))).alias("_short"), F.nullif(F.regexp_extract("_z", r"\[(.+)\]$", 1), F.lit("")).alias("_named"), unix.alias("_unix"),
     )
     sign = F.when(c("_z").rlike("^(?:UTC|GMT)?-"), -1).otherwise(1)
     exact = c("_s").cast("decimal(16,6)") + (c("_us").cast("decimal(16,6)") / F.lit(1_000_000).cast("decimal(16,0)")).cast("decimal(16,6)")

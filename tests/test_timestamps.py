@@ -39,6 +39,11 @@ def test_no_instant(spark, text):
     assert instants(spark, [(text, "Asia/Tokyo")]) == [None]
 
 
+def test_plain_numbers_of_any_length(spark):
+    rows = [("86400", 86_400_000_000), ("0", 0), ("7", 7_000_000), ("-5", -5_000_000), ("-1.5", -1_500_000), ("86400.25", 86_400_250_000), ("1726000000123.5", 1_726_000_000_123_500), ("1726000000.1234567", 1_726_000_000_123_456), ("1726000000123456.9", 1_726_000_000_123_456), ("1726000000123456789.5", 1_726_000_000_123_456), ("1726000000123", 1_726_000_000_123_000), ("1726000000123456999", 1_726_000_000_123_456), ("-100000000000001001", -100_000_000_000_002), ("9223372036854775807", 9_223_372_036_854_775), ("-1726000000", -1_726_000_000_000_000), ("9" * 25, None), ("1.", None), (".5", None), ("12:", None)]
+    assert instants(spark, [(a, "Asia/Tokyo") for a, _ in rows]) == [e for _, e in rows]
+
+
 def test_clock_changes(spark):
     rows = [("2026-03-29 02:30:00", "Europe/Berlin"), ("2025-10-26 02:30:00", "Europe/Berlin"), ("2026-10-04 02:15:00", "Australia/Lord_Howe"), ("2026-04-05 01:45:00", "Australia/Lord_Howe")]
     expected = [datetime.fromisoformat(s).replace(tzinfo=ZoneInfo(z), fold=0) for s, z in rows]
