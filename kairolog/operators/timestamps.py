@@ -15,7 +15,8 @@ Digits past microseconds are cut off. Null gives null, an unknown zone name mean
 
 from __future__ import annotations
 
-from functools import reduce
+from datetime import UTC, datetime, timedelta
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -108,6 +109,19 @@ def zone_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(pa.table({"_zone_key": sorted(known), "_zone_id": [known[k] for k in sorted(known)]}))
 
 
+@lru_cache(maxsize=4)
+def regions(first: tuple[str, ...] = ()) -> list[str]:
+    """One region for each offset history from 2000 to 2037, looked at every week (some 185, fixed); those in ``first`` lead and stand for their like."""
+    import zoneinfo
+
+    weeks = [datetime(2000, 1, 1, tzinfo=UTC) + timedelta(weeks=i) for i in range(38 * 52)]
+    known = sorted(z for z in zoneinfo.available_timezones() if not z.startswith(("posix", "right")) and z not in ("Factory", "localtime"))
+    seen: dict[tuple, str] = {}
+    for z in (*first, *known):
+        seen.setdefault(tuple(w.astimezone(zoneinfo.ZoneInfo(z)).utcoffset() for w in weeks), z)
+    return list(seen.values())
+
+
 def zone_key(zone: Column) -> Column:
     return F.lower(F.regexp_replace(zone, _OUTER, ""))
 

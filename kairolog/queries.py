@@ -143,8 +143,8 @@ def p1_estimated_zones(spark: SparkSession, d: str) -> DataFrame:
     """For each configuration the zone that its logs themselves speak for, from wall clocks between rows that name their zone."""
     log = timestamps.declared(table(spark, d, "sample_log"), table(spark, d, "config_example"))
     rows = timestamps.with_parts(log, "ts").select("cfg_id", "src_file", "line_no", F.when(F.col("known_us").isNull(), F.col("wall")).alias("wall"), "known_us")
-    candidates = ["UTC", "Europe/Berlin", "Europe/London", "America/New_York", "America/Chicago", "America/Los_Angeles", "America/Phoenix", "America/Sao_Paulo", "America/St_Johns", "Asia/Tokyo", "Asia/Kolkata", "Asia/Kathmandu", "Australia/Sydney", "Australia/Lord_Howe", "Pacific/Auckland"]
-    return timestamps.estimate_zones(rows, "cfg_id", "wall", "known_us", "src_file", "line_no", candidates)
+    common = ("UTC", "Europe/Berlin", "Europe/London", "America/New_York", "America/Chicago", "America/Los_Angeles", "America/Phoenix", "America/Sao_Paulo", "America/St_Johns", "Asia/Tokyo", "Asia/Kolkata", "Asia/Kathmandu", "Australia/Sydney", "Australia/Lord_Howe", "Pacific/Auckland")
+    return timestamps.estimate_zones(rows, "cfg_id", "wall", "known_us", "src_file", "line_no", timestamps.regions(common))
 
 
 # --------------------------------------------------------------- sources

@@ -73,3 +73,19 @@ def test_zone_is_estimated_from_neighbours(spark):
     df = df.selectExpr("cfg", "file", "line", "case when known_us is null then wall end as wall", "known_us")
     best = t.estimate_zones(df, "cfg", "wall", "known_us", "file", "line", ["UTC", "America/Phoenix", "America/Chicago", "America/New_York", "Europe/Berlin"]).collect()
     assert [(r.cfg, r.zone, r.n, r.violations) for r in best] == [(1, "America/New_York", 20, 0)]
+
+
+def test_any_region_can_be_estimated(spark):
+    all_ = t.regions(("UTC", "Europe/Berlin", "Asia/Tokyo"))
+    assert all_[:3] == ["UTC", "Europe/Berlin", "Asia/Tokyo"] and not {"Europe/Paris", "Asia/Seoul"} & set(all_)
+    rows = []
+    for cfg, zone in enumerate(["America/Halifax", "Asia/Tehran"]):
+        for i in range(240):
+            at = datetime(2026, 3, 7, 12, tzinfo=UTC) + timedelta(minutes=10 * i)
+            rows.append((cfg, str(cfg), i, at.astimezone(ZoneInfo(zone)).replace(tzinfo=None).isoformat(sep=" ") if i % 2 else at.isoformat()))
+    df = t.with_parts(spark.createDataFrame(rows, "cfg int, file string, line int, ts string"), "ts")
+    df = df.selectExpr("cfg", "file", "line", "case when known_us is null then wall end as wall", "known_us")
+    best = {r.cfg: r for r in t.estimate_zones(df, "cfg", "wall", "known_us", "file", "line", all_).collect()}
+    at = lambda z, m: datetime(2026, m, 8, 12, tzinfo=UTC).astimezone(ZoneInfo(z)).utcoffset()
+    assert [best[i].violations for i in (0, 1)] == [0, 0]
+    assert at(best[0].zone, 3) == at("America/Halifax", 3) and at(best[1].zone, 3) == at("Asia/Tehran", 3)
