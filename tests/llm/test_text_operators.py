@@ -169,6 +169,45 @@ def test_spans_repeated_within_a_record(spark, batch):
     assert got == plain_shared(rows) and got[1] == 1000 and 3 not in got
 
 
+def test_spans_of_rulers(spark):
+    """Stretches whose ends agree and whose middles differ, as rulers and frames have them."""
+    ruler = lambda g: "a" * 200 + "|" + "|".join("a" * n for n in g) + "|" + "a" * 200
+    frame = lambda w: "\n".join("+" + "+".join("-" * n for n in w) + "+" for _ in range(9))
+    pairs = [([51, 56, 50], [56, 51, 50]), ([60, 60, 61], [60, 61, 60]), ([40, 41, 42, 43], [40, 42, 41, 43])]
+    rows = [(i, t) for i, t in enumerate([*(ruler(g) for p in pairs for g in p), frame([9, 12, 7]), frame([12, 9, 7]), frame([9, 12, 8])])]
+    got = {r.doc_id: r.shared_chars for r in shared_spans.shared_chars(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == plain_shared(rows)
+    assert {r.shared_chars for r in shared_spans.shared_chars(spark.createDataFrame(rows[:2], "doc_id long, text string").coalesce(1)).collect()} == {555}
+
+
+@pytest.mark.parametrize("batch,hot", [(10_000, 3), (1, 3), (2, 20_000)])
+def test_spans_with_a_hot_symbol(spark, monkeypatch, batch, hot):
+    """A heading before ever different text, and a boilerplate; groups that go on over many blocks."""
+    random.seed(4)
+    word = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    head, long = word(110), word(300)
+    rows = [(i, (head if i % 3 else "") + word(120) + (long if i % 4 == 0 else "")) for i in range(40)] + [(7, head + word(100))]
+    monkeypatch.setattr(shared_spans, "HOT", hot)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, batch)
+    try:
+        for least in (60, 160):
+            df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+            assert {r.doc_id: r.shared_chars for r in shared_spans.shared_chars(df, least=least).collect()} == plain_shared(rows, least)
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_pieces_of_one_hash_are_compared_verbatim(monkeypatch):
+    monkeypatch.setattr(shared_spans, "mix", lambda x: x & np.uint64(0))
+    random.seed(8)
+    a, b = ("".join(random.choice("ab") for _ in range(90)) for _ in range(2))
+    rows = shared_spans._rows(np.array([5, 5, 5]), np.array([1, 2, 3]), np.array([1, 2, 3]), np.zeros(3), None, np.array([31, 31, 31]), pa.array([a, b, "b" + a[:89]]))
+    row, first, n = shared_spans.shared_in(rows, 60)
+    assert [(int(r), int(f), int(k)) for r, f, k in zip(row, first, n)] == [(0, 0, 30), (2, 1, 30)]
+
+
 def test_symbols_of_equal_windows_are_equal():
     random.seed(9)
     for alphabet in ("ab", "abcdefg", "aab"):
