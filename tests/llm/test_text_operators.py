@@ -417,3 +417,19 @@ def test_keys_keep_their_types(spark):
     df = spark.createDataFrame([("meta", 1 << 40, "404 Not Found")], "src_table string, row_id long, text string")
     assert residue.residue(df, ["src_table", "row_id"]).first() == ("meta", 1 << 40)
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_slots_aligned_with_filled_records(spark):
+    """Blanks and defaults are told by what records of the same template hold; marked names that never change are none."""
+    filled = [f"The parcel for {a} {b} left on {d} May." for (a, b), d in zip([("Anna", "Smith"), ("Bo", "Lund"), ("Kwame", "Mensah")], (3, 4, 5), strict=True)]
+    cases = ["The parcel for Firstname Lastname left on 7 May.", "The parcel for ________ left on 9 May.", "The parcel for $CLIENT left on 9 May.", "Dear ______, your invoice of ____ is due", "Hello Firstname Lastname, your order Ordernumber shipped", "Erreur interne du serveur", "Erreur interne du serveur"]
+    cases += ["Fehler im Modul 7: abgebrochen"] * 3 + ["503 Service Unavailable: the upstream of this site did not answer the request in time, please reload the page or contact the administrator of the server. " * 6]
+    talk = ["we set $LAYOUT in the build script", "we set $LAYOUT in the build script today", "Run it with $HOME as folder", "def __init__(self): pass", "She waited... and left", "Fehler im Modul 8, das ärgert mich sehr", "User name rules were discussed", *filled]
+    rows = list(enumerate([*cases, *talk]))
+    got = {r.i for r in residue.residue(spark.createDataFrame(rows, "i int, text string"), ["i"]).collect()}
+    assert [x[:70] for i, x in rows if (i in got) != (i < len(cases))] == []
+
+
+def test_residue_of_null_keys_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "404 Not Found", "a", 1), (None, "404 Not Found", "b", 2), (3, None, "c", 3), (1, "404 Not Found", "a", 1)], "what int, text string, held string, around int")
+    assert [r.what for r in residue.residue(df, ["what"]).collect()] == [1]
