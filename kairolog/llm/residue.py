@@ -114,8 +114,10 @@ ASKED = r"(?:why|what|how|when) (?:have|has|did|do|can|should|am|was) i\b[^?]{0,
 SPEAKER = r"(?<![\w'])(?:i|i'm|i've|i'll|i'd|me|my|mine|ich|mir|mich|mein\w{0,2}|je|moi|mon|j'\w+|yo|mi|я|мне|меня|мой|моя)(?![\w'-])|私|僕|俺"
 
 HAN = r"[\u3040-\u30ff\u3400-\u9fff]"
-#: A text without one of these holds no notation, blank or default.
-HINT = re.compile(r"[{}<«$%#\[@]|__|\*\||X/X|\.{4}|\( {2}|[Nn]ull|undefined|NaN|N/A|TBD|[Nn]am|[Nn]um|Doe|MM|TT|00|[Oo]rder|[Cc]ity|[Ii]nvoice|[Aa]ccount|[Pp]roduct|[Cc]lient|[Ss]treet|[Ss]ender|betrag|datum|nummer")
+#: A text with neither of these holds no notation, blank or default. Both are quick to look for.
+HINT = re.compile(r"[{}«$%<_*\[@X.(](?:(?<=[{}«$%])|(?<=<)[%<A-Z]|(?<=_)_|(?<=\*)\||(?<=\[)[\[A-Zpiyeo ]|(?<=@)@|(?<=X)X/|(?<=\.)\.\.\.|(?<=\() )")
+HINT_WORDS = tuple("null undefined NaN nan N/A TBD Doe Mustermann /YY -YY .YY JJJJ AAAA 00/ 00- 00. First Last Middle Full Given Family Surn User Customer Client Company Recipient Sender Product Order Invoice Account Street City Vorn Nachn Kunden Firmen Empf Bestell Rechnungs".split())
+SALUTED = [x for x in STRONG if "dear" in x]
 #: What stands for a notation while a text is split, and the tokens of a text.
 HOLE, STOP = "\ue000", frozenset(".!?。！？\n")
 TOKEN = re.compile(rf"{HOLE}|[A-Za-z\u00c0-\u024f\u0400-\u04ff][\w'’-]*|\d[\d.,:/-]*\d|\d|[\u3040-\u309f]+|[\u30a0-\u30ff]+|[\u3400-\u9fff]+|[^\w\s]|\n|\w+")
@@ -128,7 +130,8 @@ class Patterns:
     def __init__(self) -> None:
         either = lambda patterns: "|".join(f"(?:{p})" for p in patterns)
         self.strong = re.compile(either([*STRONG, *BRACES]))
-        self.mark = re.compile(either([*STRONG, *BRACES, *MARKED, *BLANKS, *DEFAULTS]))
+        signs = either([*(x for x in STRONG if x not in SALUTED), *BRACES, *MARKED, *BLANKS])
+        self.mark = re.compile(rf"(?=[{{<«$%#\[@_*X.(])(?:{signs})|(?=[A-Zbdhnu0])(?:{either([*SALUTED, *DEFAULTS])})|(?i:(?=[dhb])(?:{either(SALUTED)}))")
         self.marked = re.compile(either(MARKED))
         begins = f"(?:{either([*PAGES, *FILLERS, *OUTPUTS])})"
         self.begins, self.page = re.compile(begins, re.S), re.compile(begins + r"\Z", re.S)
@@ -159,7 +162,7 @@ def places(text: str, p: Patterns) -> tuple[list[tuple[str, str, int]], list[tup
     salutation or form of address), and surroundings and content of each name and number. Places may share words."""
     held: list[str] = []
     cues: list[bool] = []
-    if HINT.search(text):
+    if HINT.search(text) or any(w in text for w in HINT_WORDS):
         def hole(m: re.Match) -> str:
             held.append(m[0])
             cues.append(bool(SALUTATION.search(text, max(0, m.start() - 40), m.start()) or HONORIFIC.match(text, m.end())))
