@@ -2,19 +2,23 @@
 
 Anchor expansion. Texts are folded first (full-width forms, look-alike letters, marks and invisible characters are undone, with a map
 back to the stored code points), a whole chunk at once. One Aho-Corasick automaton then runs over the chunk and finds
-anchors: at-signs and their spellings, cues of identity numbers, words of streets, titles, given names, cues of
-telephones, cues of signatures and forms, endings of Russian surnames. Only a row with an anchor (or a run of digits shaped like a telephone number) reaches the local parsers, which
-expand from the anchor and check the boundaries of the item.
+anchors: at-signs and their spellings, cues of identity numbers, words of streets, titles, given names,
+cues of signatures and forms, verbs of what people do, endings of Russian surnames; runs of digits, counted over the whole chunk, anchor telephones
+and numbers with check digits. The local parser of an anchor's kind looks at the stretch around it (``REACH``, more than an
+item of that kind is long), expands and checks the boundaries of the item. Stretches of one kind that meet are
+parsed once, so the work is linear in the text.
 
 Kinds: EMAIL, PHONE, ID, ADDRESS, NAME. Where two overlap, the one named first in ORDER wins.
 
 Defined results: null and empty texts have no items and stay as they are; text outside the items is kept to the last code point;
-a given name alone is no NAME; numbers of orders, shipments, builds and versions are no PHONE or ID.
+a given name alone is no NAME; numbers of orders, shipments, builds and versions are no PHONE or ID; a number without a cue is an ID only
+if its check digits are right.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,6 +58,11 @@ NAME_CUES = [
     "mit freundlichen grüßen", "viele grüße", "gruß", "gez.", "mein name ist", "ich heiße", "ich bin", "ansprechpartner", "ansprechpartnerin", "cordialement", "je m'appelle", "je suis", "signé", "saludos", "atentamente", "me llamo", "mi nombre es", "firmado", "с уважением", "меня зовут", "подпись",
 ]
 FORM_CUES = ["name", "contact", "customer", "client", "patient", "employee", "recipient", "sender", "author", "from", "to", "cc", "kunde", "patientin", "empfänger", "absender", "nom", "nom complet", "destinataire", "expéditeur", "nombre", "destinatario", "remitente", "фио", "имя", "контакт", "получатель", "отправитель"]
+#: What is done to people and what people do: capitalised words after or before are a name (fixed values).
+DONE_TO = "met|meet|ask|asked|told|tell|invite|invited|thank|thanked|emailed|phoned|contact|contacted|spoke to|spoke with|talked to|talk to|meeting with|lunch with|introduced by|written by|reviewed by|hired|trifft|traf|fragte|frag bitte|sprach mit|rencontré|demande à|demandé à|parlé avec|pregunta a|pregunté a|hablé con|conocí a|встретил|спроси у".split("|")
+DONE_BY = "called|rang|phoned|said|says|wrote|asked|replied|answered|thinks|confirmed|complained|will call|will join|has called|has written|left a message|rief an|hat angerufen|sagte|schrieb|meinte|a appelé|a écrit|a dit|a répondu|llamó|dijo|escribió|respondió".split("|")
+#: First words of names that are no person's (fixed values).
+NO_PERSON = set("project team company build version port room lake mount new san santa saint sankt north south east west upper lower great the our my your this that monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december montag dienstag mittwoch donnerstag freitag samstag sonntag".split())
 #: Japanese names without a form of address: after a word of a form, or before words of introduction.
 KANJI_CUES = ["氏名", "お名前", "名前", "担当者", "担当", "署名", "差出人", "宛名", "連絡先", "申込者"]
 KANJI_AFTER = ["と申します", "と言います", "といいます", "より"]
@@ -105,6 +114,10 @@ PHONE = re.compile(
 SURE = re.compile(r"(?:\+|00 )|\(\d{2,5}\) ?\d{3,4}[ \-.]?\d{3,4}|\d{3}([\-.])\d{3}\1\d{4}(?!\d)|\d{3} \d{3} \d{4}|0\d(?:[ .\-]\d\d){4}|0\d{1,4}-\d{1,4}-\d{4}|0\d{2,4}[ /]\d{3,5} \d{3,5}")
 NOT_PHONE = re.compile(r"(?<![a-z])(?:track(?:ing|ed)?|parcel|shipment|order|invoice|bestell\w*|sendung\w*|commande|pedido|build|version|ran|ping|isbn|issn|serial|lot|batch|part|item|case|ref(?:erence)?|account|iban|ticket|release|range|rows?|id|〒|号)\b[\s:#]*(?:no|nr|number|numero|nummer)?[.:#\s]*$", re.I)
 CUE_BEFORE = 40
+#: Code points before and after an anchor that its parser looks at.
+REACH = {"EMAIL": (330, 330), "ID": (60, 120), "NUMBER": (30, 60), "ADDRESS": (160, 260), "PHONE": (80, 80), "NAME": (160, 160), "CUED": (60, 200), "PEOPLE": (160, 200), "RUSSIAN": (160, 160)}
+#: A telephone number or a number with check digits has so many digits within so many code points.
+DIGITS, DIGITS_WITHIN = 7, 26
 
 _LATIN = r"A-Za-z\u00c0-\u024f"
 _CITY = rf"[A-Z][{_LATIN}'\-]+(?: [A-Z][{_LATIN}'\-]+)?"
@@ -125,6 +138,24 @@ ADDRESSES = [
 ]
 
 
+#: Identity numbers that can be told without a cue (fixed patterns).
+CHECKED = re.compile(r"(?<![\w.,/+\-#])(?:(?P<dni>(?:\d{8}|[XYZ]-?\d{7})-?[A-Z])|(?P<nir>[12] ?\d\d ?(?:0[1-9]|1[0-2]) ?\d[\dAB] ?\d{3} ?\d{3} ?\d\d)|(?P<cpf>\d{3}\.\d{3}\.\d{3}-\d\d))(?![\w])(?![.,/\-]\d)")
+
+
+def check_digits(m: re.Match[str]) -> bool:
+    """Whether the check digits of a match of CHECKED are right."""
+    x = re.sub(r"[ .\-]", "", m[0])
+    if m["dni"]:
+        return "TRWAGMYFPDXBNJZSQVHLCKE"[int(x[:-1].translate(str.maketrans("XYZ", "012"))) % 23] == x[-1]
+    if m["nir"]:
+        body = x[:13].replace("2A", "19").replace("2B", "18")
+        return body.isdigit() and 97 - int(body) % 97 == int(x[13:])
+    d = list(map(int, x))
+    one = sum(a * b for a, b in zip(d[:9], range(10, 1, -1), strict=True)) * 10 % 11 % 10
+    two = sum(a * b for a, b in zip(d[:10], range(11, 1, -1), strict=True)) * 10 % 11 % 10
+    return d[9:] == [one, two] and len(set(d)) > 1
+
+
 @lru_cache(maxsize=4)
 def _fold_string(s: str) -> str:
     data = np.frombuffer(s.encode(), np.uint8)
@@ -188,13 +219,15 @@ class Finder:
         for c in (*TITLES.replace("?", "").split("|"), "mr", "herr", "senor", "signor"):
             words.setdefault(f"{f(c)} ", set()).add("NAME")
             words.setdefault(f"{f(c)}. ", set()).add("NAME")
-        for kind, cues in (("CUED", (*NAME_CUES, *(f"{c}{x}" for c in FORM_CUES for x in (":", " :")), *KANJI_CUES, *KANJI_AFTER)), ("RUSSIAN", (*SURNAMES, *PATRONYMICS)), ("ADDRESS", RUSSIAN)):
+        for kind, cues in (("PEOPLE", (*(f"{c} " for c in DONE_TO), *(f" {c}" for c in DONE_BY))), ("CUED", (*NAME_CUES, *(f"{c}{x}" for c in FORM_CUES for x in (":", " :")), *KANJI_CUES, *KANJI_AFTER)), ("RUSSIAN", (*SURNAMES, *PATRONYMICS)), ("ADDRESS", RUSSIAN)):
             for w in {x.lower() for c in cues for x in cased(c)}:
                 words.setdefault(w, set()).add(kind)
         for c in ("さん", "様", "先生"):
             words.setdefault(c, set()).add("NAME")
+        whole = {f(c) for c in given}
+        ending = {x.lower() for c in (*SURNAMES, *PATRONYMICS) for x in cased(c)}
         for w, kinds in words.items():
-            self.auto.add_word(w, kinds)
+            self.auto.add_word(w, (kinds, len(w), w in whole and kinds == {"NAME"}, w in ending and kinds == {"RUSSIAN"}))
         self.auto.make_automaton()
         cues = "|".join(sorted((re.escape(f(c)) for c in ID_CUES), key=len, reverse=True))
         self.id_ = re.compile(rf"(?<![a-z0-9])(?:{cues}){_LINK}({_CODE})", re.I)
@@ -208,54 +241,110 @@ class Finder:
         cap = r"(?-i:(?=[A-ZА-ЯЁ]))[^\W\d_](?:[^\W\d_]|['\-](?=[^\W\d_]))+"
         either = lambda words: "|".join(re.escape(x) for w in words for x in cased(w))
         self.cued = re.compile(rf"(?<![\w])(?:(?:{either(NAME_CUES)})(?:\s*[:,–-]\s*|\s+)|(?:{either(FORM_CUES)}) ?:\s*)({cap}(?: [A-Z]\.)?(?: {cap}){{1,2}})(?![\w@])(?: (\w+))?", re.I)
+        self.done_to = re.compile(rf"(?<![\w])(?:{either(DONE_TO)}) ({cap}(?: [A-Z]\.)?(?: {cap}){{1,2}})(?![\w@])(?: (\w+))?", re.I)
+        self.done_by = re.compile(rf"(?<![\w@.\-])({cap}(?: [A-Z]\.)? {cap})()(?= (?:{either(DONE_BY)})(?![\w]))", re.I)
         self.russian = re.compile(rf"(?<![\w@.\-])({cap}) (?:(?=[^\W\d_]+(?:{either(PATRONYMICS)})(?![\w])){cap}(?: (?=[^\W\d_]+(?:{either(SURNAMES)})(?![\w])){cap})?|(?=[^\W\d_]+(?:{either(SURNAMES)})(?![\w])){cap})(?![\w@])", re.I)
         self.not_given = re.compile(rf"(?:{either([*NOT_GIVEN, *RUSSIAN, *VERB.split('|')])})", re.I)
         spaced = r"[一-鿿々]{1,4}[ \u3000][一-鿿々ァ-ヺ]{1,4}"
         self.kanji = re.compile(rf"(?:{'|'.join(map(f, KANJI_CUES))})(?:\s*[::は]\s*|\s+)({spaced}|[一-鿿々]{{3,6}})(?![一-鿿々])|(?<![一-鿿々])({spaced}|[一-鿿々]{{3,5}})(?=と申します|と言います|といいます)|(?<![一-鿿々])({spaced})(?=より)")
         self.polite = re.compile(r"(?:[一-鿿]{2,4}|[ァ-ヺ]{2,8}|[A-Z][a-z]{2,})(?: ?[一-鿿ァ-ヺ]{1,4})?(?:さん|様|先生)")
 
-    def rows(self, folded: str, starts: np.ndarray) -> dict[int, set[str]]:
-        """Rows with anchors, and the kinds these are of."""
+    def anchors(self, folded: str, starts: np.ndarray) -> dict[int, dict[str, list[int]]]:
+        """Rows with anchors, and where in the row the anchors of each kind stand."""
+        low = folded.lower()
+        low = low if len(low) == len(folded) else "".join(c.lower() if len(c.lower()) == 1 else c for c in folded)
         at: list[int] = []
-        kinds: list[set[str]] = []
-        for end, found in self.auto.iter(folded.lower() if len(folded.lower()) == len(folded) else "".join(c.lower() if len(c.lower()) == 1 else c for c in folded)):
+        kinds: list[set[str] | tuple[str, ...]] = []
+        letter = str.isalpha
+        for end, (found, n, whole, ending) in self.auto.iter(low):
+            if (whole or ending) and letter(low[end + 1]):  # inside a longer word
+                continue
+            if whole and letter(low[end - n]) and end >= n:
+                continue
             at.append(end)
             kinds.append(found)
-        for m in PHONE.finditer(folded):
-            at.append(m.start())
-            kinds.append({"PHONE"})
-        out: dict[int, set[str]] = {}
-        for row, found in zip((np.searchsorted(starts, np.array(at, np.int64), side="right") - 1).tolist(), kinds, strict=True):
-            out.setdefault(row, set()).update(found)
+        points = np.frombuffer(folded.encode("utf-32-le"), np.uint32)
+        digit = (points >= 48) & (points <= 57)
+        count = np.zeros(len(points) + DIGITS_WITHIN + 1, np.int32)
+        np.cumsum(digit, out=count[1 : len(points) + 1])
+        count[len(points) + 1 :] = count[len(points)]
+        first = digit.copy()
+        first[1:] &= ~digit[:-1]
+        first = np.flatnonzero(first)
+        first = first[count[first + DIGITS_WITHIN] - count[first] >= DIGITS]
+        at += first.tolist()
+        kinds += [("PHONE", "NUMBER")] * len(first)
+        out: dict[int, dict[str, list[int]]] = {}
+        where = np.array(at, np.int64)
+        rows = np.searchsorted(starts, where, side="right") - 1
+        for row, pos, found in zip(rows.tolist(), (where - starts[rows]).tolist(), kinds, strict=True):
+            of = out.setdefault(row, {})
+            for kind in found:
+                of.setdefault(kind, []).append(pos)
+        return out
+
+    @staticmethod
+    def stretches(text: str, kind: str, at: list[int]) -> list[tuple[int, int]]:
+        """What the parser of a kind looks at: around each anchor, ended where a word ends; stretches that meet are one."""
+        left, right = REACH[kind]
+        if len(text) <= left:
+            return [(0, len(text))]
+        out: list[tuple[int, int]] = []
+        for p in sorted(at):
+            a, b = max(0, p - left), min(len(text), p + right)
+            while b < len(text) and (text[b].isalnum() or text[b] in "-.@_"):
+                b += 1
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
         return out
 
-    def spans(self, text: str, kinds: set[str]) -> list[tuple[int, int, str]]:
+    def spans(self, text: str, anchors: dict[str, list[int]]) -> list[tuple[int, int, str]]:
         """Items of one folded text that do not overlap, in order."""
         found: list[tuple[int, int, str]] = []
-        if "EMAIL" in kinds:
-            found += [(m.start(), m.end(), "EMAIL") for p in (EMAIL, *EMAIL_AT) for m in p.finditer(text)]
-        if "ID" in kinds:
-            found += [(*m.span(1), "ID") for m in self.id_.finditer(text) if sum(c.isdigit() for c in m[1]) >= 6]
-        if "ADDRESS" in kinds and _DIGIT.search(text):
-            found += [(m.start(), m.end(), "ADDRESS") for p in self.street for m in p.finditer(text)]
-        if "PHONE" in kinds:
-            found += self._phones(text)
-        if "NAME" in kinds:
-            found += self._names(text)
-        if "CUED" in kinds:
-            found += self._cued(text)
-        if "RUSSIAN" in kinds:
-            found += [(m.start(), m.end(), "NAME") for m in self.russian.finditer(text) if not self.not_given.fullmatch(m[1])]
+        for kind, at in anchors.items():
+            for a, b in self.stretches(text, kind, at):
+                found += self.parsed(text, kind, a, b)
+        rank = {k: i for i, k in enumerate(ORDER)}
+        starts: list[int] = []
         out: list[tuple[int, int, str]] = []
-        for kind in ORDER:
-            for a, b, k in sorted(x for x in found if x[2] == kind):
-                if all(b <= c or a >= d for c, d, _ in out):
-                    out.append((a, b, k))
-        return sorted(out)
+        for a, b, k in sorted(set(found), key=lambda x: (rank[x[2]], x)):
+            i = bisect_left(starts, a)
+            if (i == 0 or out[i - 1][1] <= a) and (i == len(out) or b <= out[i][0]):
+                starts.insert(i, a)
+                out.insert(i, (a, b, k))
+        return out
 
-    def _phones(self, text: str) -> list[tuple[int, int, str]]:
+    def parsed(self, text: str, kind: str, a: int, b: int) -> list[tuple[int, int, str]]:
+        """Items that the parsers of a kind of anchor find between two positions."""
+        if kind == "EMAIL":
+            return [(m.start(), m.end(), "EMAIL") for p in (EMAIL, *EMAIL_AT) for m in p.finditer(text, a, b)]
+        if kind == "ID":
+            return [(*m.span(1), "ID") for m in self.id_.finditer(text, a, b) if sum(c.isdigit() for c in m[1]) >= 6]
+        if kind == "NUMBER":
+            return [(m.start(), m.end(), "ID") for m in CHECKED.finditer(text, a, b) if check_digits(m) and not NOT_PHONE.search(text[max(0, m.start() - CUE_BEFORE) : m.start()])]
+        if kind == "ADDRESS":
+            return [(m.start(), m.end(), "ADDRESS") for p in self.street for m in p.finditer(text, a, b)] if _DIGIT.search(text, a, b) else []
+        if kind == "PHONE":
+            return self._phones(text, a, b)
+        if kind == "NAME":
+            return self._names(text, a, b)
+        if kind == "CUED":
+            return self._cued(text, a, b)
+        if kind == "PEOPLE":
+            return [(*m.span(1), "NAME") for p in (self.done_to, self.done_by) for m in p.finditer(text, a, b) if self._person(m[1], m[2] or "")]
+        return [(m.start(), m.end(), "NAME") for m in self.russian.finditer(text, a, b) if not self.not_given.fullmatch(m[1])]
+
+    @staticmethod
+    def _person(name: str, after: str) -> bool:
+        """Whether no word of a name or after it says that it is that of a place, product or team."""
+        words = name.lower().split(" ")
+        return not PLACES.intersection([*words, after.lower()]) and not COMMON.intersection(words) and words[0] not in NO_PERSON
+
+    def _phones(self, text: str, a: int, b: int) -> list[tuple[int, int, str]]:
         out = []
-        for m in PHONE.finditer(text):
+        for m in PHONE.finditer(text, a, b):
             digits = sum(c.isdigit() for c in re.split(r",? ?(?:ext|x|durchwahl|poste)", m[0], flags=re.I)[0])
             before = text[max(0, m.start() - CUE_BEFORE) : m.start()]
             if NOT_PHONE.search(before) or not 7 <= digits <= 15:
@@ -265,34 +354,33 @@ class Finder:
                 out.append((m.start(), m.end(), "PHONE"))
         return out
 
-    def _names(self, text: str) -> list[tuple[int, int, str]]:
+    def _names(self, text: str, a: int, b: int) -> list[tuple[int, int, str]]:
         out = []
-        for m in self.given_first.finditer(text):
+        for m in self.given_first.finditer(text, a, b):
             given, sur, after = m[1], m[3], m[4] or ""
             low = sur.lower()
             if low in COMMON or low in PLACES or (after[:1].isupper() and after.lower() in PLACES):
                 continue
             if given[:1].isupper() and sur[:1].isupper() or (given.islower() and sur.islower() and len(sur) >= 5):
                 out.append((m.start(), m.end(3), "NAME"))
-        for m in self.given_last.finditer(text):
+        for m in self.given_last.finditer(text, a, b):
             sur = m[1]
             if (sur[:1].isupper() == m[2][:1].isupper()) and len(sur) >= 4 and sur.lower() not in COMMON and sur.lower() not in GREETINGS:
                 out.append((m.start(), m.end(), "NAME"))
-        for m in self.titled.finditer(text):
+        for m in self.titled.finditer(text, a, b):
             if m[1].lower() not in PLACES and m[1].lower() not in COMMON and m[1][:1].isupper():
                 out.append((m.start(), m.end(), "NAME"))
-        out += [(m.start(), m.end(), "NAME") for m in self.polite.finditer(text) if not re.match(r"皆|奥|お客|神|王|同|多|一|各|仕", m[0])]
+        out += [(m.start(), m.end(), "NAME") for m in self.polite.finditer(text, a, b) if not re.match(r"皆|奥|お客|神|王|同|多|一|各|仕", m[0])]
         return out
 
-
-    def _cued(self, text: str) -> list[tuple[int, int, str]]:
+    def _cued(self, text: str, a: int, b: int) -> list[tuple[int, int, str]]:
         """Names that a signature, a form or an introduction shows, whatever the given name."""
         out = []
-        for m in self.cued.finditer(text):
+        for m in self.cued.finditer(text, a, b):
             words = m[1].lower().split(" ")
             if not PLACES.intersection([*words, (m[2] or "").lower()]) and not COMMON.intersection(words):
                 out.append((*m.span(1), "NAME"))
-        for m in self.kanji.finditer(text):
+        for m in self.kanji.finditer(text, a, b):
             out.append((*m.span(m.lastindex), "NAME"))
         return out
 
@@ -330,9 +418,9 @@ def found_in(column: pa.Array, given: tuple[str, ...], chunk_bytes: int = 2_000_
     while row < len(ends):
         upto = max(row + 1, int(np.searchsorted(ends, byte + chunk_bytes, side="right")))
         folded, back, starts, source = fold_chunk(data[byte : ends[upto - 1]], ends[row:upto] - byte)
-        for i, kinds in sorted(f.rows(folded, starts).items()):
+        for i, anchors in sorted(f.anchors(folded, starts).items()):
             a, b = int(starts[i]), int(starts[i + 1]) - 1
-            spans = f.spans(folded[a:b], kinds)
+            spans = f.spans(folded[a:b], anchors)
             if spans:
                 text = column[row + i].as_py()
                 yield row + i, text, [(*_stored_span(a + x, a + y, back, text, int(source[i]), marks), k) for x, y, k in spans]

@@ -433,3 +433,46 @@ def test_slots_aligned_with_filled_records(spark):
 def test_residue_of_null_keys_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "404 Not Found", "a", 1), (None, "404 Not Found", "b", 2), (3, None, "c", 3), (1, "404 Not Found", "a", 1)], "what int, text string, held string, around int")
     assert [r.what for r in residue.residue(df, ["what"]).collect()] == [1]
+
+
+# ----------------------------------------------------------------- p3: anchors
+
+
+def kinds_in(texts):
+    out = [set() for _ in texts]
+    for row, _, spans in personal.found_in(pa.array(texts, pa.string()), tuple(personal.GIVEN_NAMES)):
+        out[row] = {k for *_, k in spans}
+    return out
+
+
+def test_names_outside_the_list():
+    texts = ["I met Wendell Okafor yesterday", "please ask Tiago Moreira about it", "Signed, Kwame Mensah", "Bjorn Halvorsen called about the lease", "Ich sprach mit Gunhild Aasen", "On a demandé à Thibault Lemoine", "Hablé con Xiomara Quintana", "Meine Kollegin: Frau Oduya kommt", "Signé: Solveig Dahl", "Wilhelmina Vanderberg wrote to us", "Меня зовут Радомир Соколов", "氏名：鳴瀬 美緒"]
+    assert [t for t, k in zip(texts, kinds_in(texts), strict=True) if k != {"NAME"}] == []
+    none = ["I asked Project Harrow Ledger", "we met Monday Morning Team", "ask Harrow Works about it", "Wren Suite called", "She said Maybe Later", "They told Quilmark Depot"]
+    assert [t for t, k in zip(none, kinds_in(none), strict=True) if k] == []
+
+
+def test_numbers_with_check_digits_need_no_cue():
+    texts = ["mine is 12345678Z ok", "use X1234567L", "le 1 85 05 78 006 084 91 est faux ou vrai", "meu 529.982.247-25"]
+    wrong = ["mine is 12345678A ok", "use X1234567A", "meu 529.982.247-26", "order 12345678Z"]
+    key = 97 - int("1850578006084") % 97
+    texts[2] = f"le 1 85 05 78 006 084 {key:02d} suffit"
+    assert [t for t, k in zip(texts, kinds_in(texts), strict=True) if k != {"ID"}] == []
+    assert [t for t, k in zip(wrong, kinds_in(wrong), strict=True) if "ID" in k] == []
+
+
+def test_items_of_long_texts_are_found_in_linear_time():
+    import time
+
+    item = "mail ana.kovac@example.org, call +49 151 2345678, SSN: 123-45-6789, 12 Oak Street, signed Emma Brown. "
+    filler = "words that say nothing at all and go on for a while " * 20
+
+    def took(n):
+        text = (filler + item) * n
+        began = time.perf_counter()
+        (_, _, spans), = personal.found_in(pa.array([text]), tuple(personal.GIVEN_NAMES))
+        assert len(spans) == 5 * n and all(a < b for a, b, _ in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+        return time.perf_counter() - began
+
+    took(2)
+    assert took(160) < 14 * max(took(20), 0.05)
