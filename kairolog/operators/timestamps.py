@@ -5,8 +5,9 @@ Everything stays in the JVM: one regular expression decides a notation and rewri
 is applied by its offset history.
 
 Zones: an offset, abbreviation or zone named by the text decides; else the wall clock is that of the row's declared zone.
-Where a declared zone is missing, `estimate_zones` can supply one: it aligns wall clocks with instants of the same
-sequence and takes, of the candidate offset histories, the one with the fewest violations.
+Where the declared zone is missing or unknown, `estimate_zones` looks for one: it aligns wall clocks with instants of the same
+sequence and takes, of the candidate offset histories, the one with the fewest violations. UTC is its prior: another zone is taken only where the
+data contradict UTC and agree with that zone (`settled`). Then instants are converted.
 
 Defined results: text that names no date or no time of day, or one that does not exist, gives null. Wall-clock time that
 occurs twice means the earlier instant; skipped wall-clock time is read with the offset in force before the change.
@@ -159,14 +160,26 @@ def with_instant(rows: DataFrame, ts: str, zone: Column | None = None, out: str
 
 
 def declared(rows: DataFrame, configs: DataFrame, key: str = "cfg_id", zone: str = "timezone") -> DataFrame:
-    """``rows`` with ``declared_zone``, the zone of their configuration; one row per configuration, whatever is repeated there."""
-    one = configs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_cfg")).agg(F.max(zone).alias("declared_zone"))
+    """``rows`` with ``declared_zone``, the zone of their configuration, null if that is missing or unknown; one row per configuration, whatever is repeated there."""
+    one = configs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_cfg")).agg(F.max(zone).alias("_declared"))
+    names = F.broadcast(zone_names(rows.sparkSession))
+    one = one.join(names, zone_key(F.col("_declared")) == F.col("_zone_key"), "left").select("_cfg", F.col("_zone_id").alias("declared_zone"))
     return rows.join(one, rows[key] == F.col("_cfg"), "left").drop("_cfg")
 
 
+def settled(estimates: DataFrame, source: str, least: int = 20) -> DataFrame:
+    """``source, zone`` of the estimates to go by: at least ``least`` clocks were aligned, more than half of them violate the prior, and the zone found leaves at most a tenth of these violations."""
+    return estimates.where((F.col("n") >= least) & (2 * F.col("prior_violations") > F.col("n")) & (10 * F.col("violations") <= F.col("prior_violations"))).select(source, "zone")
+
+
 def log_instants(log: DataFrame, configs: DataFrame) -> DataFrame:
-    """Rows of a raw log with ``utc_us``, null where the text names no instant."""
-    return with_instant(declared(log, configs), "ts", F.col("declared_zone")).drop("declared_zone")
+    """Rows of a raw log with ``utc_us``, null where the text names no instant. Configurations without a zone of their own get the one their logs speak for, or else UTC."""
+    rows = declared(log, configs)
+    open_ = with_parts(rows.where("declared_zone is null and cfg_id is not null").select("cfg_id", "src_file", "line_no", "ts"), "ts")
+    open_ = open_.select("cfg_id", "src_file", "line_no", F.when(F.col("known_us").isNull(), F.col("wall")).alias("wall"), "known_us")
+    found = settled(estimate_zones(open_, "cfg_id", "wall", "known_us", "src_file", "line_no", regions(("UTC",))), "cfg_id")
+    both = rows.join(found.select(F.col("cfg_id").alias("_cfg"), F.col("zone").alias("_found")), F.col("cfg_id") == F.col("_cfg"), "left").withColumn("declared_zone", F.coalesce("declared_zone", "_found")).drop("_cfg", "_found")
+    return with_instant(both, "ts", F.col("declared_zone")).drop("declared_zone")
 
 
 def with_parts(rows: DataFrame, ts: str) -> DataFrame:
@@ -177,19 +190,26 @@ def with_parts(rows: DataFrame, ts: str) -> DataFrame:
     return step.select(*kept, F.col("_wall").alias("wall"), known.alias("known_us"))
 
 
-def estimate_zones(rows: DataFrame, source: str, wall: str, known_us: str, sequence: str, order: str, candidates: list[str], step_minutes: int = 5) -> DataFrame:
-    """For each ``source`` the candidate whose offset history violates its data least: ``source, zone, n, violations``.
+def estimate_zones(rows: DataFrame, source: str, wall: str, known_us: str, sequence: str, order: str, candidates: list[str], step_minutes: int = 5, block: int = 4096) -> DataFrame:
+    """For each ``source`` the candidate whose offset history violates its data least: ``source, zone, n, violations, prior_violations``.
 
     A wall clock is aligned with the nearest instants known before and after it in its ``sequence`` (an ingestion time, or a row that names its
     zone). Read in the true zone it lies between the two, give or take ``step_minutes``. Rows are first counted by source, quarter
     and bounds, so what each candidate is tried on follows the hours that the data span, not their volume.
-    Ties go to the first candidate; sources with nothing to align give no row.
+    Ties go to the first candidate, which is also the prior: ``prior_violations`` are its own. Sources with nothing to align give no row, rows without
+    sequence or order are not aligned. A long sequence is aligned in blocks of ``block`` places, each of which gets the nearest instants outside from
+    one row per block.
     """
-    seen = Window.partitionBy(sequence).orderBy(order)
-    before = F.last(known_us, ignorenulls=True).over(seen.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known_us, ignorenulls=True).over(seen.rowsBetween(0, Window.unboundedFollowing))
+    placed = rows.where(F.col(sequence).isNotNull() & F.col(order).isNotNull()).select(source, sequence, order, F.col(wall).alias("_w"), F.col(known_us).alias("_k"), F.floor(F.col(order) / block).alias("_b"))
+    at = F.when(F.col("_k").isNotNull(), F.col(order))
+    blocks = Window.partitionBy(sequence).orderBy("_b")
+    ends = placed.groupBy(sequence, "_b").agg(F.max_by("_k", at).alias("_last"), F.min_by("_k", at).alias("_first"))
+    ends = ends.select(sequence, "_b", F.last("_last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), F.first("_first", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    seen = Window.partitionBy(sequence, "_b").orderBy(order)
+    before = F.coalesce(F.last("_k", ignorenulls=True).over(seen.rowsBetween(Window.unboundedPreceding, 0)), "_earlier")
+    after = F.coalesce(F.first("_k", ignorenulls=True).over(seen.rowsBetween(0, Window.unboundedFollowing)), "_later")
     unit = step_minutes * 60 * 1_000_000
-    aligned = rows.select(source, F.col(wall).alias("_w"), before.alias("_lo"), after.alias("_hi")).where(F.col("_w").isNotNull() & (F.col("_lo").isNotNull() | F.col("_hi").isNotNull()))
+    aligned = placed.join(ends, [sequence, "_b"]).select(source, "_w", before.alias("_lo"), after.alias("_hi")).where(F.col("_w").isNotNull() & (F.col("_lo").isNotNull() | F.col("_hi").isNotNull()))
     quarter = F.floor(ntz_micros(F.col("_w")) / unit)
     grouped = aligned.groupBy(source, quarter.alias("_q"), F.floor(F.col("_lo") / unit).alias("_lo"), F.floor(F.col("_hi") / unit).alias("_hi")).agg(F.count("*").alias("n"))
     wall_q = F.expr(f"timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, cast(_q * {unit // 1_000_000} as decimal(18,6)))")
@@ -197,5 +217,5 @@ def estimate_zones(rows: DataFrame, source: str, wall: str, known_us: str, seque
     tried = grouped.withColumn("_c", trial).withColumn("_u", F.floor(wall_to_utc_micros(wall_q, F.col("_c.zone")) / unit))
     off = F.coalesce(F.col("_u") < F.col("_lo") - 1, F.lit(False)) | F.coalesce(F.col("_u") > F.col("_hi") + 1, F.lit(False))
     scored = tried.groupBy(source, "_c").agg(F.sum("n").alias("n"), F.sum(F.when(off, F.col("n")).otherwise(0)).alias("violations"))
-    best = scored.groupBy(source).agg(F.min(F.struct("violations", "_c.i", "_c.zone", "n")).alias("b"))
-    return best.select(source, F.col("b.zone").alias("zone"), F.col("b.n").alias("n"), F.col("b.violations").alias("violations"))
+    best = scored.groupBy(source).agg(F.min(F.struct("violations", "_c.i", "_c.zone", "n")).alias("b"), F.max(F.when(F.col("_c.i") == 0, F.col("violations"))).alias("prior_violations"))
+    return best.select(source, F.col("b.zone").alias("zone"), F.col("b.n").alias("n"), F.col("b.violations").alias("violations"), "prior_violations")

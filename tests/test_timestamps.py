@@ -89,3 +89,28 @@ def test_any_region_can_be_estimated(spark):
     at = lambda z, m: datetime(2026, m, 8, 12, tzinfo=UTC).astimezone(ZoneInfo(z)).utcoffset()
     assert [best[i].violations for i in (0, 1)] == [0, 0]
     assert at(best[0].zone, 3) == at("America/Halifax", 3) and at(best[1].zone, 3) == at("Asia/Tehran", 3)
+
+
+def test_a_missing_zone_is_estimated_and_used(spark):
+    """A configuration without zone whose logs contradict UTC gets the zone they speak for; one that agrees with UTC stays there."""
+    rows, truth = [], {}
+    for cfg, zone in ((1, "America/New_York"), (2, "UTC"), (3, "Asia/Tokyo"), (4, "America/New_York")):
+        for i in range(80):
+            at = datetime(2026, 3, 7, 12, tzinfo=UTC) + timedelta(minutes=37 * i)
+            rows.append((100 * cfg + i, f"f{cfg}", i, at.astimezone(ZoneInfo(zone)).replace(tzinfo=None).isoformat(sep=" ") if i % 2 else at.isoformat(), cfg if cfg < 4 else None))
+            truth[100 * cfg + i] = int(at.timestamp()) * 1_000_000
+    log = spark.createDataFrame(rows, "log_id long, src_file string, line_no int, ts string, cfg_id int")
+    configs = spark.createDataFrame([(1, None), (2, " "), (3, "asia/tokyo ")], "cfg_id int, timezone string")
+    got = {r.log_id: r.utc_us for r in t.log_instants(log, configs).collect()}
+    assert all(got[k] == truth[k] for k in truth if k < 400)
+    assert [got[400 + i] == truth[400 + i] for i in (0, 1)] == [True, False]  # without configuration: UTC
+
+
+def test_long_sequences_are_aligned_in_blocks(spark):
+    zone, rows = ZoneInfo("Asia/Tokyo"), []
+    for i in range(200):
+        at = datetime(2026, 3, 7, 12, tzinfo=UTC) + timedelta(minutes=7 * i)
+        rows.append((1, "f", i, None if i % 9 == 0 else at.astimezone(zone).replace(tzinfo=None), int(at.timestamp()) * 1_000_000 if i % 9 == 0 else None))
+    df = spark.createDataFrame([*rows, (1, None, 3, datetime(2026, 1, 1), None)], "cfg int, file string, line int, wall timestamp_ntz, known_us long")
+    some = [tuple(r) for b in (1, 4, 4096) for r in t.estimate_zones(df, "cfg", "wall", "known_us", "file", "line", ["UTC", "Asia/Tokyo", "Europe/Berlin"], block=b).collect()]
+    assert len(set(some)) == 1 and some[0][:4] == (1, "Asia/Tokyo", 177, 0) and some[0][4] > 150
