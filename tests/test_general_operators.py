@@ -112,3 +112,41 @@ def test_damaged_and_versions(spark, tmp_path):
     v.publish(lines, "one")
     v.publish(lines.where("src = 'b'"), "two")
     assert v.current() == "two" and v.read().count() == 1
+
+
+def test_ledger_refuses_stale_tokens_and_survives_compaction(spark, tmp_path):
+    import pytest
+
+    book = ledger.Ledger(spark, f"file://{tmp_path}/book", lease_seconds=600)
+    at = lambda minutes: F.lit(datetime(2026, 1, 1) + timedelta(minutes=minutes)).cast("timestamp")
+    view = lambda m: sorted(tuple(r) for r in book.state(at(m)).select("item", "state", "token").collect())
+    items = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "item string")
+    book.add(items, at(0))
+    assert {r.item for r in book.lease(5, at(1)).collect()} == {"a", "b", "c"}
+    for token in (4, 5):
+        with pytest.raises(ledger.StaleToken):
+            book.lease(token, at(2))
+    assert book.lease(6, at(3)).count() == 0  # nothing is pending
+    book.complete(items.where("item = 'a'"), 5, at(4))
+    book.fail(items.where("item = 'b'"), 5, at(4))
+    assert view(5) == [("a", "done", 5), ("b", "pending", 0), ("c", "leased", 5)]
+    before = book.events().count()
+    book.compact("one")
+    assert view(5) == [("a", "done", 5), ("b", "pending", 0), ("c", "leased", 5)] and book.events().count() <= before and not book._files()
+    assert {r.item for r in book.lease(7, at(20)).collect()} == {"b", "c"}  # the lease of c ran out
+    book.complete(items, 5, at(21))  # a stale writer
+    book.complete(items.where("item = 'c'"), 7, at(22))
+    book.compact("two")
+    assert view(23) == [("a", "done", 5), ("b", "leased", 7), ("c", "done", 7)]
+    assert book.events().count() == 8  # three items added, three leases and two completions that count
+    done = [r.detail for r in book.state(at(23)).where("item = 'c'").collect()]
+    assert done[0].startswith(f"file://{tmp_path}/book/data/") and done[0].endswith("/7")
+
+
+def test_progress_of_failed_runs_does_not_count(spark):
+    lines = spark.createDataFrame([("main/x", i, f"t{i}") for i in range(8)], "src_day string, line_no int, text string")
+    days = spark.createDataFrame([("main/x", 3, _sig(["t0", "t1", "t2"]), 1), ("main/x", 5, _sig([f"t{i}" for i in range(5)]), 2), ("main/x", 3, _sig(["t0", "t1", "t2"]), 1), ("main/x", 7, "x", None)], "day string, done_lines int, sig string, run_id int")
+    runs = spark.createDataFrame([(1, datetime(2026, 1, 1), datetime(2026, 1, 9), "ok"), (2, datetime(2026, 1, 2), None, None)], "run_id int, started_at timestamp_ntz, finished_at timestamp_ntz, status string")
+    srcs = spark.createDataFrame([], "src string, nlines int, sig string, run_id int")
+    got = ledger.remaining_lines(lines, days, srcs, runs)
+    assert sorted((r.side, r.line_no) for r in got.collect()) == [*(("day", i) for i in range(3, 8)), *(("src", i) for i in range(8))]
