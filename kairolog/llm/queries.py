@@ -31,7 +31,7 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.rebuild(table(spark, d, "sample_log"), table(spark, d, "config_example")).select("session", "pos", "log_id")
+    return conversations.positions(table(spark, d, "sample_log"), table(spark, d, "config_example"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -476,3 +476,64 @@ def test_items_of_long_texts_are_found_in_linear_time():
 
     took(2)
     assert took(160) < 14 * max(took(20), 0.05)
+
+
+# ----------------------------------------------------------------- p5: the automaton
+
+
+def test_functions_compose_as_the_automaton_runs():
+    rng = np.random.default_rng(3)
+    moves = rng.integers(0, 4, 500)
+    piece = np.sort(rng.integers(0, 60, 500))
+    first, ends = conversations.composed(conversations.NEXT[:, moves].T.copy(), piece)
+    for k, a in enumerate(first):
+        b = first[k + 1] if k + 1 < len(first) else 500
+        for state in range(4):
+            s = state
+            for m in moves[a:b]:
+                s = conversations.NEXT[s, m]
+            assert ends[k, state] == s
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_conversations_against_a_plain_version(spark, batch):
+    random.seed(batch)
+    rows, key = [], 0
+    for c in range(60):
+        n = random.randrange(1, 9)
+        for line in range(n):
+            if random.random() < 0.03:
+                continue
+            day = random.randrange(1, 4)
+            ts = f"2026-05-0{day}T{random.randrange(0, 3):02d}:00:00Z" if random.random() > 0.02 else "soon"
+            row = (f"raw/c{c}.jsonl", line, ts, random.choice(["user", "Human ", "assistant", "ai", "AI", "system"] + ["bot"] * (random.random() < 0.1)), random.choice(["hello", "x", " ", None, "y"]), 1)
+            for _ in range(2 if random.random() < 0.2 else 1):
+                key += 1
+                rows.append((key, *row))
+            if random.random() < 0.1:
+                key += 1
+                rows.append((key, *row[:4], "other", 1))
+    expected = []
+    for c in range(60):
+        once = {}
+        for k, *row in rows:
+            if row[0] == f"raw/c{c}.jsonl":
+                once.setdefault(tuple(row), k)
+        own = [(r[2], r[1], k, conversations.ROLES.get(r[3].strip().lower()), bool((r[4] or "").strip())) for r, k in once.items()]
+        lines = {r[1] for r in own}
+        if not own or lines != set(range(len(lines))) or any(r[0] == "soon" or r[3] is None for r in own):
+            continue
+        own.sort()
+        spoken = [r[3] for r in own if r[4] and r[3] != "system"]
+        if spoken and spoken[0] == "user" and spoken[-1] == "assistant":
+            expected += [(f"c{c}", i, r[2]) for i, r in enumerate(r for r in own if r[4])]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, batch)
+    try:
+        log = spark.createDataFrame(rows, "log_id long, src_file string, line_no int, ts string, role string, text string, cfg_id int")
+        cfg = spark.createDataFrame([(1, "UTC")], "cfg_id int, timezone string")
+        got = sorted(tuple(r) for r in conversations.positions(log, cfg).collect())
+    finally:
+        spark.conf.set(size, before)
+    assert got == sorted(expected) and len(expected) > 10
