@@ -134,10 +134,11 @@ def _compose(cp: np.ndarray, text: np.ndarray, t: Tables) -> np.ndarray:
     follow, base = follow[ok], base[ok]
     turn = follow - base
     highest = np.zeros(len(cp), np.int16)  # class of the last mark kept after a base; -1: blocked
-    for k in range(1, int(turn.max(initial=0)) + 1):
-        f, b = follow[turn == k], base[turn == k]
-        if not len(f):
-            continue
+    order = np.argsort(turn, kind="stable")
+    follow, base, turn = follow[order], base[order], turn[order]
+    edges = np.append(np.flatnonzero(np.append(True, turn[1:] != turn[:-1])), len(turn)) if len(turn) else np.zeros(1, np.int64)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):  # the first mark of all letters, then the second, ...
+        f, b = follow[lo:hi], base[lo:hi]
         free = np.where(combining[f] > 0, (highest[b] >= 0) & (highest[b] < combining[f]), highest[b] == 0)
         key = cp[b].astype(np.int64) << 21 | cp[f]
         at = np.minimum(np.searchsorted(t.pair_key, key), len(t.pair_key) - 1)
@@ -238,15 +239,33 @@ def canonicalize(rows: DataFrame, key: str, text: str = "text", out: str = "cano
     return slim.mapInArrow(run, f"k {kind}, t string, c string").select(F.col("k").alias(key), F.col("t").alias(text), F.col("c").alias(out))
 
 
-def same_looking_pairs(rows: DataFrame, key: str = "rowid", text: str = "text", least: int = 20) -> DataFrame:
-    """``a, b``: keys of rows whose texts of at least ``least`` characters are stored differently but look the same, smaller key first.
+def _members(rows: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """``c, k, t``: class (digest of the form), key and digest of the stored text of the rows of mixed classes; ``n`` rows are in the class.
 
-    Texts are told apart by 128-bit digests of text and form. Classes stored in one way alone, nearly all, drop out in an
-    aggregation with map-side combine; only the others are joined, so each row of the join is a row of the result.
+    Texts are told apart by 128-bit digests. Classes stored in one way alone, nearly all, drop out in an aggregation with map-side combine.
     """
     long = rows.where((F.length(text) >= least) & F.col(key).isNotNull())
     forms = canonicalize(long, key, text).select(F.col(key).alias("k"), F.unhex(F.md5(F.col("canonical").cast("binary"))).alias("c"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("t"))
-    mixed = forms.groupBy("c").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("c")
-    members = forms.join(mixed, "c", "left_semi").distinct()
-    other = members.select("c", F.col("k").alias("b"), F.col("t").alias("u"))
-    return members.join(other, "c").where((F.col("k") < F.col("b")) & (F.col("t") != F.col("u"))).select(F.col("k").alias("a"), "b").distinct()
+    mixed = forms.groupBy("c").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("c", "n")
+    return forms.join(mixed, "c").groupBy("c", "k", "t").agg(F.max("n").alias("n"))
+
+
+def same_looking_pairs(rows: DataFrame, key: str = "rowid", text: str = "text", least: int = 20, per_group: int = 2_000) -> DataFrame:
+    """``a, b``: keys of rows whose texts of at least ``least`` characters are stored differently but look the same, smaller key first.
+
+    Each row of the join is a row of the result. One side of a class is spread over groups of about ``per_group`` rows and the other goes
+    to each of them, so that no task makes all pairs of a large class.
+    """
+    members = _members(rows, key, text, least)
+    groups = F.ceil(F.col("n") / per_group).cast("int")
+    one = members.withColumn("g", F.pmod(F.xxhash64("k"), groups).cast("int"))
+    other = members.select("c", F.col("k").alias("b"), F.col("t").alias("u"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("g"))
+    return one.join(other, ["c", "g"]).where((F.col("k") < F.col("b")) & (F.col("t") != F.col("u"))).select(F.col("k").alias("a"), "b").distinct()
+
+
+def same_looking_classes(rows: DataFrame, key: str = "rowid", text: str = "text", least: int = 20) -> DataFrame:
+    """``key, class, links``: the rows of :func:`same_looking_pairs` with the smallest key of their class and in how many pairs they are. As many rows as keys, however large a class is."""
+    members = _members(rows, key, text, least)
+    heads = members.groupBy("c").agg(F.min("k").alias("class"), F.count_distinct("k").alias("keys"))
+    alike = members.groupBy("c", "t").agg(F.count_distinct("k").alias("alike"))
+    return members.join(alike, ["c", "t"]).join(heads, "c").groupBy(F.col("k").alias(key), "class").agg((F.max("keys") - F.min("alike")).alias("links"))

@@ -21,6 +21,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_looking_pairs(table(spark, d, "meta")).select(F.col("a").alias("rowid_a"), F.col("b").alias("rowid_b"))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same as classes: as many rows as keys, however large a class is."""
+    return lookalike.same_looking_classes(table(spark, d, "meta"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return personal.items(messages(spark, d), ["src_table", "row_id"]).select("src_table", "row_id", F.explode("kinds").alias("kind")).distinct()
 
@@ -51,7 +56,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_redacted, p5_found, p7_found, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_redacted, p5_found, p7_found, p8_ids, p9_containers, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

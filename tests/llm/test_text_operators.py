@@ -537,3 +537,36 @@ def test_conversations_against_a_plain_version(spark, batch):
     finally:
         spark.conf.set(size, before)
     assert got == sorted(expected) and len(expected) > 10
+
+
+# ----------------------------------------------------------------- p2: many marks, large classes
+
+
+def test_many_marks_compose_in_linear_time():
+    import time
+
+    def took(n):
+        data = ("e" + "̣́" * n).encode()
+        began = time.perf_counter()
+        lookalike.canonical_chunk(np.frombuffer(data, np.uint8), np.array([len(data)]))
+        return time.perf_counter() - began
+
+    took(10)
+    assert took(16_000) < 14 * max(took(2_000), 0.02)
+    text = "e" + "̣́̈" * 40
+    data = text.encode()
+    assert lookalike.canonical_chunk(np.frombuffer(data, np.uint8), np.array([len(data)]))[0].as_py() == unicodedata.normalize("NFC", text)
+
+
+def test_classes_and_pairs_of_a_large_class(spark):
+    plain = "a boilerplate that many rows carry"
+    wide = plain.replace(" ", "\u00a0")
+    rows = [(i, plain if i % 3 else wide) for i in range(90)] + [(7, plain), (200, "another text of some length"), (None, plain), (201, None)]
+    df = spark.createDataFrame(rows, "rowid long, text string")
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if (i % 3 == 0) != (j % 3 == 0)}
+    for per_group in (10, 2000):
+        got = [tuple(r) for r in lookalike.same_looking_pairs(df, per_group=per_group).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    classes = {r.rowid: (r["class"], r.links) for r in lookalike.same_looking_classes(df).collect()}
+    assert classes == {i: (0, 60 if i % 3 == 0 else 30) for i in range(90)}
+    assert lookalike.same_looking_classes(df.limit(0)).count() == 0
