@@ -5,7 +5,6 @@ Instants come out as microseconds, scores and distances rounded to six digits. `
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -19,7 +18,7 @@ from kairolog.functions.grammar import QueryPlan, parse
 from kairolog.operators import fuse, ledger, manifest, search, sessions, state, timestamps
 from kairolog.plans import sql
 from kairolog.plans.recall import Corpus, recall
-from kairolog.session import cut, shared_dir, table
+from kairolog.session import cut, scratch, table
 from kairolog.sources import records as r
 
 TZ, TODAY, NOW = "America/New_York", date(2024, 1, 15), datetime(2024, 1, 31)
@@ -284,7 +283,7 @@ def bm25_and(spark: SparkSession, d: str) -> DataFrame:
 @query(bm25_sql(_AND, 50).replace("r.type <> 'meta' AND ", ""))
 def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
     """The same from a written index, of which only the row groups of the query's grams are read."""
-    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     grams.write_index(messages(spark, d), path, search.KEY, files=8)
     return _scored(grams.bm25_indexed(path, spark, _AND, search.KEY))
 
@@ -516,7 +515,7 @@ def compaction_ranges(spark: SparkSession, d: str) -> DataFrame:
         SELECT u AS user_id, min(t) AS start_us, max(t) AS end_us, count(*) AS n_rows FROM s GROUP BY u, k""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of a stream with a watermark, all that are open or closed when what is there has been read."""
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     static = table(spark, d, "events")
     source = spark.readStream.schema(static.schema).parquet(f"{d}/events.parquet" if _is_dir(spark, f"{d}/events.parquet") else f"{d}/events.parque[t]")
     found = sessions.session_stream(source.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", "2 hours", "1 hour")
