@@ -8,6 +8,9 @@ from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 from zoneinfo import ZoneInfo
 
+from kairolog.functions.grammar import Vocabulary
+from kairolog.functions.textprep import merged_words
+
 
 @dataclass(frozen=True)
 class Config:
@@ -71,3 +74,12 @@ def corrections(config: Config) -> dict[str, str]:
         return {}
     inner = raw.get("corrections")
     return {k: v for k, v in (inner if isinstance(inner, dict) else raw).items() if isinstance(v, str)}
+
+
+def vocabulary(config: Config) -> Vocabulary:
+    """The words of ``rag_filters.json`` in the data folder, each list given by ``include`` and ``exclude``, over the fixed ones; protected names also from the settings."""
+    raw = read_json(Path(config.data_dir) / "rag_filters.json")
+    rules = raw if isinstance(raw, dict) else {}
+    base = Vocabulary()
+    lists = {name: tuple(merged_words(default, rules.get(key))) for name, key, default in (("fillers", "fillers", base.fillers), ("tails", "tail_fillers", base.tails), ("stopwords", "stopwords", base.stopwords), ("protected", "protected_names", config.protected_names))}
+    return Vocabulary(**lists)

@@ -41,6 +41,16 @@ class QueryPlan:
         return day_start(self.days[0], self.tz), day_start(self.days[1] + timedelta(days=1), self.tz)
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """Words that carry nothing in a query, and names that always do."""
+
+    fillers: tuple[str, ...] = tuple(v.FILLERS)
+    tails: tuple[str, ...] = tuple(v.TAIL_FILLERS)
+    stopwords: tuple[str, ...] = tuple(v.STOPWORDS)
+    protected: tuple[str, ...] = ()
+
+
 def day_start(day: date, tz: str) -> datetime:
     return datetime.combine(day, time(), ZoneInfo(tz)).astimezone(UTC).replace(tzinfo=None)
 
@@ -344,13 +354,20 @@ def names_occurrence(text: str, modifiers: Sequence[str] = tuple(v.TEMPORAL_MODI
     return any(m.lower() in low for m in modifiers)
 
 
-def parse(text: str, today: date, tz: str = "UTC", corrections: dict[str, str] | None = None, modifiers: Sequence[str] = tuple(v.TEMPORAL_MODIFIERS)) -> QueryPlan:
-    """The one place where a query is read."""
+def parse(text: str, today: date, tz: str = "UTC", corrections: dict[str, str] | None = None, modifiers: Sequence[str] = tuple(v.TEMPORAL_MODIFIERS), words_of: Vocabulary | None = None) -> QueryPlan:
+    """The one place where a query is read. Words that a user has named protected are no filler, and stay whole."""
     from kairolog.functions.textprep import expand, keywords, strip_query
 
+    own = words_of or Vocabulary()
+
     text = text or ""
     days, hours = read_days(text, today), read_hours(text)
     rest = mask_time(text, hours is not None)
-    words = keywords(strip_query(rest)) if rest.strip() else []
+    hidden = rest
+    for i, name in enumerate(own.protected):
+        hidden = hidden.replace(name, chr(0xF000 + i))
+    left = strip_query(hidden, own.fillers, own.tails, own.stopwords) if rest.strip() else ""
+    left = "".join(own.protected[ord(c) - 0xF000] if 0xF000 <= ord(c) < 0xF000 + len(own.protected) else c for c in left)
+    words = keywords(left, own.stopwords, own.protected)
     widened = days is not None and names_occurrence(text, modifiers)
     return QueryPlan(text, tz, today, None if names_occurrence(text, modifiers) else days, hours, tuple(expand(w, corrections or {}) for w in words), widened)

@@ -29,11 +29,14 @@ def strip_query(text: str, fillers: Sequence[str] = v.FILLERS, tails: Sequence[s
     return " ".join(left.split()) or "".join(text.split())
 
 
-def keywords(text: str, stopwords: Sequence[str] = v.STOPWORDS) -> list[str]:
-    """Up to five chunks: runs of katakana, of kanji, kanji with an ending, words of letters and digits."""
+def keywords(text: str, stopwords: Sequence[str] = v.STOPWORDS, protected: Sequence[str] = ()) -> list[str]:
+    """Up to five chunks: runs of katakana, of kanji, kanji with an ending, words of letters and digits. Protected names stay whole and come first."""
+    names = [n for n in _longest_first([p for p in protected if p]) if n in text]
+    for n in names:
+        text = text.replace(n, " ")
     stop = {w.lower() for w in (*stopwords, *v.EN_STOPWORDS)}
     found = dict.fromkeys(w for w in re.findall(_WORD, text) if w.lower() not in stop and not (len(w) == 2 and w[0] >= "一" and w[1] in v.PARTICLES))
-    return list(found)[:MAX_KEYWORDS]
+    return list(dict.fromkeys([*names, *found]))[:MAX_KEYWORDS]
 
 
 def expand(word: str, corrections: dict[str, str]) -> tuple[str, ...]:
@@ -53,6 +56,19 @@ def any_of(text: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(w) for w in words), F.lit(False))
 
 
+def corrected(text: Column, fixes: dict[str, str]) -> Column:
+    """A text with wrong spellings replaced by the right ones."""
+    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), fixes.items(), text)
+
+
+def merged_words(default: Sequence[str], more: object) -> list[str]:
+    """A list of words with those of ``include`` added and those of ``exclude`` taken out; anything else in ``more`` changes nothing."""
+    rules = more if isinstance(more, dict) else {}
+    words = lambda name: [w for w in rules.get(name, []) if isinstance(w, str) and w.strip()] if isinstance(rules.get(name), list) else []
+    out = set(words("exclude"))
+    return [w for w in dict.fromkeys([*default, *words("include")]) if w not in out]
+
+
 def is_meta(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [text.startswith(h) for h in v.META_HEADS]) | any_of(text, v.META_MARKS)
 

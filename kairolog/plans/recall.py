@@ -16,7 +16,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairolog.config import Config, corrections, load, read_json
+from kairolog.config import Config, corrections, load, read_json, vocabulary
 from kairolog.functions.grammar import QueryPlan, parse
 from kairolog.functions.semantic import Embedder, knn
 from kairolog.functions.textprep import query_variants
@@ -62,7 +62,7 @@ def nearest(corpus: Corpus, text: str, k: int) -> DataFrame | None:
 def recall(corpus: Corpus, text: str, config: Config, now: datetime, limit: int = 6, actor: str | None = None, around: int = 0, exact_only: bool = False, recency: bool = True, tail: bool = True) -> RecallResult:
     """The router. A date means search in time, with neighbours by meaning if next to nothing is there; else words and meaning are fused."""
     today = now.replace(tzinfo=UTC).astimezone(ZoneInfo(config.timezone)).date()
-    plan = parse(text, today, config.timezone, corrections(config))
+    plan = parse(text, today, config.timezone, corrections(config), words_of=vocabulary(config))
     result = RecallResult(plan, None, "", notes=list(config.warnings))
     if plan.widened:
         result.notes.append("asked for an occurrence: all dates searched")

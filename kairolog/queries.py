@@ -16,9 +16,11 @@ from kairolog.functions import grams, semantic, textprep
 from kairolog.functions import vocabulary as v
 from kairolog.functions.grammar import QueryPlan, parse
 from kairolog.operators import fuse, ledger, manifest, search, sessions, state, timestamps
-from kairolog.plans import sql
-from kairolog.plans.recall import Corpus, recall
+from kairolog.plans import current, sql
+from kairolog.plans.recall import Corpus, compacted, format_lines, recall
+from kairolog.plans.upkeep import Indexes
 from kairolog.session import cut, scratch, table
+from kairolog.sources import ingest
 from kairolog.sources import records as r
 
 TZ, TODAY, NOW = "America/New_York", date(2024, 1, 15), datetime(2024, 1, 31)
@@ -435,6 +437,122 @@ def sql_time_query(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT first_day, last_day, hour_from, hour_to, array_join(keywords, ' ') AS words FROM time_query('yesterday evening about the budget', '2024-01-15', 'America/New_York')")
 
 
+
+#: Phrases for every rule of the grammar, with the days they mean on Monday, 2024-01-15, as SQL, and hours (-1: none).
+PHRASES = [
+    ("2023-09-02 budget", "DATE '2023-09-02'", "DATE '2023-09-02'", -1, -1), ("2023/9/2", "DATE '2023-09-02'", "DATE '2023-09-02'", -1, -1), ("7月19日の話", "DATE '2024-07-19'", "DATE '2024-07-19'", -1, -1), ("2022年7月19日", "DATE '2022-07-19'", "DATE '2022-07-19'", -1, -1),
+    ("2022年7月", "DATE '2022-07-01'", "last_day(DATE '2022-07-01')", -1, -1), ("12月の夜", "DATE '2023-12-01'", "last_day(DATE '2023-12-01')", 18, 24), ("1月", "DATE '2024-01-01'", "last_day(DATE '2024-01-01')", -1, -1), ("3日前", "d - 3", "d - 3", -1, -1), ("2週間前", "d - 17", "d - 11", -1, -1),
+    ("2年前", "DATE '2022-01-01'", "DATE '2022-12-31'", -1, -1), ("3ヶ月前", "DATE '2023-10-01'", "last_day(DATE '2023-10-01')", -1, -1), ("一昨日の朝", "d - 2", "d - 2", 5, 11), ("おととい", "d - 2", "d - 2", -1, -1), ("昨夜", "d - 1", "d - 1", 18, 24), ("今朝", "d", "d", 5, 11), ("昨日の夕食", "d - 1", "d - 1", -1, -1),
+    ("今日", "d", "d", -1, -1), ("先週", "d - 7", "d - 1", -1, -1), ("先々月", "DATE '2023-11-01'", "last_day(DATE '2023-11-01')", -1, -1), ("先月", "DATE '2023-12-01'", "last_day(DATE '2023-12-01')", -1, -1), ("一昨年", "DATE '2022-01-01'", "DATE '2022-12-31'", -1, -1), ("去年", "DATE '2023-01-01'", "DATE '2023-12-31'", -1, -1),
+    ("July 19th", "DATE '2024-07-19'", "DATE '2024-07-19'", -1, -1), ("jul. 19", "DATE '2024-07-19'", "DATE '2024-07-19'", -1, -1), ("19th of July", "DATE '2024-07-19'", "DATE '2024-07-19'", -1, -1), ("in March", "DATE '2023-03-01'", "last_day(DATE '2023-03-01')", -1, -1), ("during January", "DATE '2024-01-01'", "last_day(DATE '2024-01-01')", -1, -1),
+    ("three days ago", "d - 3", "d - 3", -1, -1), ("a week ago", "d - 10", "d - 4", -1, -1), ("2 months ago", "DATE '2023-11-01'", "last_day(DATE '2023-11-01')", -1, -1), ("one year ago", "DATE '2023-01-01'", "DATE '2023-12-31'", -1, -1), ("the day before yesterday", "d - 2", "d - 2", -1, -1), ("yesterday's notes", "d - 1", "d - 1", -1, -1),
+    ("last night", "d - 1", "d - 1", 18, 24), ("tonight", "d", "d", 18, 24), ("this afternoon", "d", "d", 12, 18), ("last week in the evening", "d - 7", "d - 1", 17, 21), ("the month before last", "DATE '2023-11-01'", "last_day(DATE '2023-11-01')", -1, -1), ("last month", "DATE '2023-12-01'", "last_day(DATE '2023-12-01')", -1, -1),
+    ("year before last", "DATE '2022-01-01'", "DATE '2022-12-31'", -1, -1), ("last year", "DATE '2023-01-01'", "DATE '2023-12-31'", -1, -1), ("9/2", "DATE '2024-09-02'", "DATE '2024-09-02'", -1, -1), ("may I ask", "NULL", "NULL", -1, -1), ("2023-02-30", "NULL", "NULL", -1, -1), ("99/99", "NULL", "NULL", -1, -1),
+    ("夜勤の朝", "NULL", "NULL", 5, 11), ("3時頃", "NULL", "NULL", 2, 5), ("15時", "NULL", "NULL", 15, 16), ("3時間", "NULL", "NULL", -1, -1), ("深夜", "NULL", "NULL", 0, 5), ("夕方", "NULL", "NULL", 16, 19), ("good night", "NULL", "NULL", -1, -1), ("overnight", "NULL", "NULL", -1, -1), ("goodnight", "NULL", "NULL", -1, -1), ("at 3pm", "NULL", "NULL", 15, 16),
+    ("around 3 p.m.", "NULL", "NULL", 14, 17), ("9:30 am", "NULL", "NULL", 9, 10), ("12 am", "NULL", "NULL", 0, 1), ("13 pm", "NULL", "NULL", -1, -1), ("early morning", "NULL", "NULL", 4, 7), ("late at night", "NULL", "NULL", 22, 24), ("at noon", "NULL", "NULL", 11, 13),
+]
+
+
+@query("WITH t(q, a, b, h1, h2) AS (VALUES " + ", ".join(f"('{q.replace(chr(39), chr(39) * 2)}', {a.replace('d ', 'd0 ') if a != 'd' else 'd0'}, {b.replace('d ', 'd0 ') if b != 'd' else 'd0'}, {h1}, {h2})" for q, a, b, h1, h2 in PHRASES).replace("d0", "DATE '2024-01-15'") + ") SELECT q, strftime(CAST(a AS DATE), '%Y-%m-%d') AS first_day, strftime(CAST(b AS DATE), '%Y-%m-%d') AS last_day, h1, h2 FROM t")
+def time_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule of the grammar."""
+    plans = [parse(q, TODAY, "UTC") for q, *_ in PHRASES]
+    rows = [(p.text, *(map(str, p.days) if p.days else (None, None)), *(p.hours or (-1, -1))) for p in plans]
+    return spark.createDataFrame(rows, "q string, first_day string, last_day string, h1 int, h2 int")
+
+
+@query("FROM (VALUES ('budget', 'budget'), ('buget', 'buget, budget'), ('the grocry buget', 'grocery, grocry, grocrybuget')) t(q, spellings) WHERE q <> 'the grocry buget' UNION ALL SELECT 'the bill', 'the invoice, the receipt'")
+def spellings_and_synonyms(spark: SparkSession, d: str) -> DataFrame:
+    """A keyword with the right spelling beside the one that was heard, and a query with synonyms in place of a word."""
+    rows = [(q, ", ".join(textprep.expand(q, {"buget": "budget"}))) for q in ("budget", "buget")]
+    rows.append(("the bill", ", ".join(textprep.query_variants("the bill", {"bill": ["invoice", "receipt", "note"]}))))
+    return spark.createDataFrame(rows, "q string, spellings string")
+
+
+@query(rf"WITH {MREC}, f AS (SELECT *, " + " + ".join(f"contains(lower(text), '{w.lower()}')::INT" for w in _TAIL) + r""" AS n_match FROM mrec WHERE ts_us >= epoch_us(TIMESTAMP '2026-09-20') AND length(text) >= 10 AND type <> 'meta'),
+        g AS (SELECT *, coalesce(strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M'), '') AS t, substr(text, 1, 40) AS x FROM f WHERE n_match >= 2), shown AS (SELECT t, x FROM g WHERE line_no % 2 = 0)
+        SELECT src, line_no, n_match FROM (SELECT *, row_number() OVER (ORDER BY n_match DESC, ts_us DESC, src, line_no) AS k FROM g WHERE (t, x) NOT IN (SELECT (t, x) FROM shown)) WHERE k <= 30""")
+def live_tail_unseen(spark: SparkSession, d: str) -> DataFrame:
+    """What the tail adds to hits that are shown already."""
+    fresh = messages(spark, d).where(us("ts") >= 1_789_862_400_000_000)
+    shown = fresh.where("line_no % 2 = 0")
+    n = sum((F.lower("text").contains(w.lower()).cast("int") for w in _TAIL), F.lit(0))
+    return search.live_tail(fresh, _TAIL, shown.where((F.length("text") >= 10) & (n >= 2) & (F.col("type") != "meta")), 30).select("src", "line_no", "n_match")
+
+
+@query(f"""WITH {REC}, m AS (SELECT DISTINCT session, ts FROM rec WHERE type = 'meta' AND session = '7'), f AS (SELECT min(ts) AS a FROM rec WHERE session = '7'), w AS (SELECT coalesce(lead(ts) OVER o, a) AS lo, ts AS hi, row_number() OVER o AS n FROM m, f WINDOW o AS (ORDER BY ts DESC))
+        SELECT line_no, session FROM rec, w WHERE n = 2 AND ts BETWEEN lo AND hi AND type NOT IN ('meta', 'doc')""")
+def compacted_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of all sessions in the time of the second stretch before a compaction of one."""
+    e = events(spark, d).withColumn("text", F.when(F.col("type") == "meta", F.concat(F.lit(v.META_HEADS[0]), F.lit(" "), "text")).otherwise(F.col("text")))
+    return compacted(e, "7", 2).select("line_no", "session")
+
+
+@query(time_sql(DAY_15, ["purchase"], "line_no, ts, actor, text").replace("SELECT line_no, ts, actor, text, CASE", "SELECT '[' || strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%Y-%m-%d %H:%M') || '] ' || actor || ': ' || text AS line, CASE").replace(", CASE WHEN enough THEN 'L1' ELSE 'L2' END AS level", ""))
+def recall_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines to read of an answer, in order of time, without the head."""
+    config, now = Config(timezone=TZ), datetime(2024, 1, 15, 12)
+    lines = format_lines(recall(Corpus(events(spark, d)), "what did I purchase on 2024-01-15", config, now), config, now)
+    rows = [(x,) for x in lines if x.startswith("[20")]
+    return spark.createDataFrame(rows, "line string")
+
+
+# --------------------------------------------------------------- conversion and upkeep
+
+
+@query(f"WITH {MREC} SELECT strftime((make_timestamp(ts_us) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%Y-%m-%d') AS day, count(*) AS n, sum(length(text))::BIGINT AS chars, min(md5(text)) AS lo, max(md5(text)) AS hi FROM mrec WHERE ts_us IS NOT NULL GROUP BY ALL")
+def days_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Day files written from two thirds of the lines and brought up to date with the rest, late rows and repeated ones among them."""
+    rows = ingest.day_rows(messages(spark, d).where("ts is not null"), TZ)
+    first = rows.where("pmod(hash(origin), 3) <> 0")
+    again = rows.where("pmod(hash(origin), 3) = 0 or pmod(hash(origin), 9) = 1")
+    merged = ingest.merge(first, again)
+    untouched = first.join(again.select("day").distinct(), "day", "left_anti").select(*merged.columns)
+    return merged.unionByName(untouched).groupBy("day").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min(F.md5(F.col("text").cast("binary"))).alias("lo"), F.max(F.md5(F.col("text").cast("binary"))).alias("hi"))
+
+
+@query(f"WITH {MREC} SELECT CASE WHEN starts_with(src, 'main/') THEN src ELSE 'corpus/' || regexp_replace(src, '^corpus/', '') END AS src, count(*) AS n, max(line_no) AS last FROM mrec GROUP BY ALL")
+def corpus_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Day files and corpora written and scanned again."""
+    folder = scratch(spark, "corpus")
+    ingest.write_corpus(messages(spark, d), folder)
+    return ingest.read_corpus(spark, folder).groupBy("src").agg(F.count("*").alias("n"), F.max("line_no").alias("last"))
+
+
+@query("SELECT count(DISTINCT src_file) AS files, count(*) AS lines FROM sample_log")
+def source_print(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "sample_log").select("src_file", "line_no", F.col("text").alias("line"))
+    return ingest.fingerprint(log).select("files", "lines")
+
+
+def _upkeep(spark: SparkSession, d: str) -> Indexes:
+    """Indexes of an earlier state, some sources shorter, other or not there, one that is gone since, brought to the present."""
+    now = stored(spark, d)
+    last = F.substring("src", -1, 1)
+    then = now.where((F.col("line_no") < 30) & (last != "3")).withColumn("text", F.when((last == "7") & (F.col("line_no") == 0), "other").otherwise(F.col("text")))
+    gone = now.limit(1).withColumn("src", F.lit("main/0000-00-00"))
+    index = Indexes(spark, scratch(spark, "upkeep"))
+    index.tick(cut(then.unionByName(gone)), "then")
+    index.tick(now, "now")
+    return index
+
+
+@query(SQL["bigram_postings"])
+def postings_kept_up(spark: SparkSession, d: str) -> DataFrame:
+    """Postings brought up to date must be those of a full build."""
+    return _upkeep(spark, d).postings().groupBy("gram").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+@query(bm25_sql(_AND, 50).replace("r.type <> 'meta' AND ", ""))
+def bm25_kept_up(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(_upkeep(spark, d).bm25(_AND))
+
+
+@query(f"WITH {MREC}, {TOK} SELECT count(*) AS records, count(DISTINCT src) AS sources, sum(len(t))::BIGINT AS terms FROM mts")
+def index_totals(spark: SparkSession, d: str) -> DataFrame:
+    return _upkeep(spark, d).totals()
+
+
 # --------------------------------------------------------------- state
 
 
@@ -496,6 +614,20 @@ def headlines(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).select("src", "line_no", state.headline(F.col("text")).alias("headline"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT ts, CASE WHEN event_type = 'signup' THEN 'topic ' || (event_id % 7) ELSE event_type || ' ' || props END AS text, event_type = 'signup' AS marker FROM events WHERE user_id % 2 = 0 AND ts <= TIMESTAMP '2024-01-20 12:00:00' AND ts >= TIMESTAMP '2024-01-20 08:00:00'),
+        o AS (SELECT ts, row_number() OVER (ORDER BY ts) AS rn FROM (SELECT DISTINCT ts FROM e)), b AS (SELECT rn, ts, ts AS st, 1 AS blk FROM o WHERE rn = 1 UNION ALL SELECT o.rn, o.ts, CASE WHEN epoch_us(o.ts) - epoch_us(b.ts) > 300000000 OR epoch_us(o.ts) - epoch_us(b.st) > 900000000 THEN o.ts ELSE b.st END, b.blk + CASE WHEN epoch_us(o.ts) - epoch_us(b.ts) > 300000000 OR epoch_us(o.ts) - epoch_us(b.st) > 900000000 THEN 1 ELSE 0 END FROM b JOIN o ON o.rn = b.rn + 1),
+        x AS (SELECT e.*, blk, contains(text, 'click') AS hot, row_number() OVER (PARTITION BY blk ORDER BY e.ts) AS k FROM e JOIN b USING (ts)), h AS (SELECT *, marker OR hot AS exempt, ts >= TIMESTAMP '2024-01-20 11:00:00' AS recent, row_number() OVER (PARTITION BY blk ORDER BY ts, marker, text) AS j FROM x WHERE k = 1 OR marker OR hot),
+        f AS (SELECT *, row_number() OVER (PARTITION BY epoch_us(ts) // 1800000000, recent OR exempt ORDER BY ts, text) AS n FROM h)
+        SELECT epoch_us(ts) AS ts_us, CASE WHEN hot AND NOT marker AND j > 1 THEN '!' ELSE '' END AS mark, CASE WHEN marker THEN text ELSE substr(substr(text, 1, 30), 1, 25) END AS headline FROM f WHERE recent OR exempt OR n = 1""")
+def current_index(spark: SparkSession, d: str) -> DataFrame:
+    """The last four hours of half the users on one timeline; clicks are what is hot, signups are markers."""
+    e = table(spark, d, "events").where("user_id % 2 = 0")
+    rows = e.where("event_type <> 'signup'").select("ts", F.concat_ws(" ", "event_type", "props").alias("text"), F.lit("").alias("mark")).distinct()
+    markers = e.where("event_type = 'signup'").select("ts", F.concat(F.lit("topic "), (F.col("event_id") % 7).cast("string")).alias("topic"), F.lit(False).alias("done")).distinct()
+    now = datetime(2024, 1, 20, 12)
+    return current.index_rows(current.timeline(rows, markers, now), now, heat=["click"], topic_words=[]).select(us("ts").alias("ts_us"), "mark", "headline")
+
+
 @query("""WITH e AS (SELECT user_id, ts, event_type = 'signup' AS w, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)
         SELECT user_id, epoch_us(coalesce(max(ts) FILTER (WHERE w AND coalesce(gap, 3600000000) >= 3600000000), max(ts) FILTER (WHERE gap >= 18000000000), min(ts))) AS start_us FROM e GROUP BY user_id""")
 def stretch_start(spark: SparkSession, d: str) -> DataFrame:
