@@ -7,9 +7,7 @@ Statistics are those of the whole corpus, also when a filter restricts what is r
 
 from __future__ import annotations
 
-import math
 import unicodedata
-from dataclasses import dataclass
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -104,40 +102,31 @@ def write_index(records: DataFrame, path: str, keys: list[str], text: str = "tex
     records.select(*keys, token_count(condensed(F.col(text))).alias("n")).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
-@dataclass(frozen=True)
-class Statistics:
-    """Of the whole corpus: records, their mean length in tokens, records that hold a token."""
+def statistics(records: DataFrame, wanted: list[str], text: str = "text") -> DataFrame:
+    """One row, computed with the query that uses it: ``n`` records, their ``mean`` length, and ``df`` of each distinct token in order."""
+    held = [F.count_if(holds(F.col("c"), g)) for g in dict.fromkeys(wanted)]
+    return records.select(condensed(F.col(text)).alias("c")).agg(F.count("*").alias("n"), F.coalesce(F.avg(token_count(F.col("c"))), F.lit(1.0)).alias("mean"), F.array(*held).alias("df"))
 
-    n: int
-    mean: float
-    df: dict[str, int]
 
-    def idf(self, gram: str) -> float:
-        df = self.df.get(gram, 0)
-        value = math.log((self.n - df + 0.5) / (df + 0.5))
-        return value if value > 0 else IDF_FLOOR
-
-
-def statistics(records: DataFrame, wanted: list[str], text: str = "text") -> Statistics:
-    """One pass over the corpus; what comes to the driver is one number for each token of the query."""
-    grams = list(dict.fromkeys(wanted))
-    held = [F.count_if(holds(F.col("c"), g)).alias(f"df{i}") for i, g in enumerate(grams)]
-    row = records.select(condensed(F.col(text)).alias("c")).agg(F.count("*").alias("n"), F.avg(token_count(F.col("c"))).alias("mean"), *held).first()
-    return Statistics(row.n, row["mean"] or 1.0, {g: row[f"df{i}"] for i, g in enumerate(grams)})
-
-
-def bm25(records: DataFrame, groups: list[list[str]], stats: Statistics, text: str = "text", out: str = "score") -> DataFrame:
+def bm25(records: DataFrame, groups: list[list[str]], stats: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
     """Records with a score. ``groups`` holds the tokens of each keyword: a record needs one of each group. A repeated token counts as often as it stands.
-
-    Weights are literals, so that the compiled stage stays small.
-    """
+    ``stats`` is the row of :func:`statistics` for the same tokens in the same order."""
     flat = [t for g in groups for t in g]
     if not flat or not all(groups):
         return records.where(F.lit(False)).withColumn(out, F.lit(0.0))
-    kept = records.withColumn("_c", condensed(F.col(text)))
-    kept = kept.where(reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (holds(F.col("_c"), t) for t in dict.fromkeys(g))) for g in groups)))
-    part = [F.array(F.lit(float(flat.count(g)) * stats.idf(g) * (K1 + 1)), times(F.col("_c"), g).cast("double")) for g in dict.fromkeys(flat)]
-    kept = kept.withColumns({"_tf": F.array(*part), "_norm": F.lit(K1 * (1 - B)) + F.lit(K1 * B / stats.mean) * token_count(F.col("_c"))}).drop("_c")
+    grams = list(dict.fromkeys(flat))
+    # One expression, so that the text is condensed once for all tokens; a condition outside it would repeat that for each.
+    counts = F.transform(F.array(condensed(F.col(text))), lambda c: F.struct(F.array(*[times(c, g) for g in grams]).alias("tf"), token_count(c).alias("n")))
+    has = lambda f: reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (F.get(f["tf"], grams.index(t)) > 0 for t in dict.fromkeys(g))) for g in groups))
+    kept = records.select("*", F.explode(F.filter(counts, has)).alias("_f"))
+    kept = kept.crossJoin(F.broadcast(stats.select(F.col("n").alias("_n"), F.col("mean").alias("_mean"), F.col("df").alias("_df"))))  # one row
+
+    def part(i: int, g: str) -> Column:
+        df = F.get("_df", i)
+        idf = F.ln((F.col("_n") - df + 0.5) / (df + 0.5))
+        return F.array(float(flat.count(g)) * F.when(idf > 0, idf).otherwise(IDF_FLOOR) * (K1 + 1), F.get(F.col("_f.tf"), i).cast("double"))
+
+    kept = kept.withColumns({"_tf": F.array(*[part(i, g) for i, g in enumerate(grams)]), "_norm": F.lit(K1 * (1 - B)) + F.lit(K1 * B) / F.col("_mean") * F.col("_f.n")}).drop("_f", "_n", "_mean", "_df")
     total = F.aggregate("_tf", F.lit(0.0), lambda s, x: s + x[0] * x[1] / (x[1] + F.col("_norm")))
     return kept.withColumn(out, total).select(*records.columns, out)
 

@@ -27,27 +27,36 @@ class Embedder(Protocol):
 
 
 class HashedNgrams:
-    """Character n-grams hashed to signed buckets, L2-normalised. Needs no model and gives the same everywhere."""
+    """Character n-grams hashed to signed buckets, L2-normalised. Needs no model and gives the same everywhere.
 
-    dim, q_prefix, p_prefix, near, far = 384, "", "", 0.51, 0.60
+    ``near`` and ``far`` are its own distances: a text that holds all words of a short question lies within 1.1, texts without common n-grams lie at 1.41.
+    """
+
+    dim, q_prefix, p_prefix, near, far = 384, "", "", 1.10, 1.30
 
     def __init__(self, low: int = 2, high: int = 4):
         self.low, self.high = low, high
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
-        mask = np.uint64(0xFFFFFFFFFFFFFFFF)
-        for i, text in enumerate(texts):
-            cp = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
-            for n in range(self.low, self.high + 1):
-                if len(cp) < n:
-                    break
-                h = np.zeros(len(cp) - n + 1, np.uint64)
-                for k in range(n):
-                    h = (h * np.uint64(0x100000001B3) ^ cp[k : k + len(h)]) & mask
-                h ^= h >> np.uint64(29)
-                h *= np.uint64(0xBF58476D1CE4E5B9)
-                np.add.at(out[i], (h >> np.uint64(33)) % np.uint64(self.dim), np.where(h >> np.uint64(63), 1.0, -1.0))
+        """All texts of a batch at once: n-grams over their code points laid end to end, those across a border left out."""
+        low = [t.lower() for t in texts]
+        size = np.array([len(t) for t in low], np.int64)
+        cp = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(len(low)), size)
+        out = np.zeros(len(low) * self.dim)
+        for n in range(self.low, self.high + 1):
+            if len(cp) < n:
+                break
+            h = np.zeros(len(cp) - n + 1, np.uint64)
+            for k in range(n):
+                h = h * np.uint64(0x100000001B3) ^ cp[k : k + len(h)]
+            inside = row[: len(h)] == row[n - 1 :]
+            h, own = h[inside], row[: len(h)][inside]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            at = own * self.dim + ((h >> np.uint64(33)) % np.uint64(self.dim)).astype(np.int64)
+            out += np.bincount(at, np.where(h >> np.uint64(63), 1.0, -1.0), len(out))
+        out = out.reshape(len(low), self.dim).astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm)
 
@@ -88,42 +97,79 @@ def knn(vectors: DataFrame, query: list[float], k: int, key: str, vector: str =
     return near.orderBy("distance", key).limit(k)
 
 
+#: Vectors that centroids are fitted on at most; every vector is indexed whatever their number.
+SAMPLE = 50_000
+
+
+def _nearest_of(rows: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    d = (centres * centres).sum(1)[None, :] - 2 * rows @ centres.T
+    return np.argpartition(d, min(n, len(centres)) - 1, axis=1)[:, :n] if n < len(centres) else np.tile(np.arange(len(centres)), (len(rows), 1))
+
+
+def centroids(vectors: DataFrame, lists: int, vector: str = "embedding", rounds: int = 8, seed: int = 7, sample: int = SAMPLE) -> np.ndarray:
+    """Centres of ``lists`` clusters, fitted in the driver on at most ``sample`` vectors picked by a hash of their content."""
+    rows = vectors.where(F.col(vector).isNotNull()).select(vector).orderBy(F.xxhash64(vector)).limit(sample).toPandas()[vector]
+    if not len(rows):
+        return np.zeros((1, 1))
+    x = np.stack(rows.to_numpy()).astype(np.float64)
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
+    for _ in range(rounds):
+        own = _nearest_of(x, c, 1)[:, 0]
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        n = np.bincount(own, minlength=len(c))
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def listed(vectors: DataFrame, centres: np.ndarray, key: str, vector: str = "embedding", probes: int = 1) -> DataFrame:
+    """``key, vector, list``: every vector once for each of its ``probes`` nearest lists."""
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                near = _nearest_of(np.stack(f[vector].to_numpy()).astype(np.float64), centres, probes)
+                out = f.loc[f.index.repeat(near.shape[1])].copy()
+                out["list"] = near.ravel().astype(np.int32)
+                yield out
+
+    return vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector)).mapInPandas(run, f"`{key}` {kind}, `{vector}` array<double>, list int")
+
+
+def knn_lists(vectors: DataFrame, queries: DataFrame, k: int, key: str, q_key: str, centres: np.ndarray, probes: int, vector: str = "embedding", per_task: int = 20_000, block: int = 256) -> DataFrame:
+    """``q_key, key, distance``: the ``k`` nearest of each query among the vectors of its ``probes`` nearest lists; with as many probes as lists, exactly.
+
+    Vectors and queries meet by list, an equi-exchange; large lists are spread over pieces of about ``per_task`` vectors, to each of which the queries of the list go. What comes out of a
+    piece is ``k`` rows a query. Nothing is sent to all tasks but the centres.
+    """
+    held = listed(vectors, centres, key, vector)
+    size = held.groupBy("list").agg(F.ceil(F.count("*") / per_task).cast("int").alias("pieces"))
+    v = held.join(size, "list").select("list", F.pmod(F.xxhash64(key), F.col("pieces")).cast("int").alias("piece"), F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    q = listed(queries, centres, q_key, vector, probes).join(size, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col(q_key).cast("bigint").alias("id"), F.col(vector).alias("v"))
+
+    def near(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"q": [], "k": [], "d": []}).astype({"q": "int64", "k": "int64", "d": "float64"})
+        x, ids = np.stack(left["v"].to_numpy()), left["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        x, ids = x[order], ids[order]
+        norm = (x * x).sum(1)
+        found = []
+        for a in range(0, len(right), block):  # queries compared at once
+            y, own = np.stack(right["v"].to_numpy()[a : a + block]), right["id"].to_numpy()[a : a + block]
+            d = np.sqrt(np.maximum((y * y).sum(1)[:, None] + norm[None, :] - 2 * y @ x.T, 0))
+            best = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :k]
+            found.append(pd.DataFrame({"q": np.repeat(own, best.shape[1]), "k": ids[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel()}))
+        return pd.concat(found)
+
+    met = v.groupBy("list", "piece").cogroup(q.groupBy("list", "piece")).applyInPandas(near, "q bigint, k bigint, d double")
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.round("d", 9), "k"))
+    return met.withColumn("r", best).where(F.col("r") <= k).select(F.col("q").alias(q_key), F.col("k").alias(key), F.col("d").alias("distance"))
+
+
 def knn_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, q_key: str, vector: str = "embedding", block: int = 256) -> DataFrame:
-    """``q_key, key, distance``: the ``k`` nearest of each query of a stated set, exactly. Queries are broadcast in blocks of bounded size."""
-    rows = queries.select(q_key, vector).orderBy(q_key)
-    found = []
-    held = rows.toLocalIterator()
-    batch: list = []
-
-    def run_block(batch: list) -> DataFrame:
-        q = np.array([r[vector] for r in batch], np.float64)
-        ids = np.array([r[q_key] for r in batch])
-        norm = (q * q).sum(1)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best_d, best_k = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-            for f in frames:
-                if not len(f):
-                    continue
-                x = np.stack(f["v"].to_numpy()).astype(np.float64)
-                d = np.sqrt(np.maximum(norm[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0))
-                d, key_ = np.concatenate([best_d, d], 1), np.concatenate([best_k, np.broadcast_to(f["k"].to_numpy(np.int64), d.shape)], 1)
-                order = np.lexsort((key_, np.round(d, 9)), axis=1)[:, :k]
-                best_d, best_k = np.take_along_axis(d, order, 1), np.take_along_axis(key_, order, 1)
-            if best_d.shape[1]:
-                yield pd.DataFrame({"q": np.repeat(ids, best_d.shape[1]), "k": best_k.ravel(), "d": best_d.ravel()})
-
-        return vectors.select(F.col(key).cast("bigint").alias("k"), F.col(vector).alias("v")).mapInPandas(run, "q bigint, k bigint, d double")
-
-    for row in held:
-        batch.append(row)
-        if len(batch) == block:
-            found.append(run_block(batch))
-            batch = []
-    if batch or not found:
-        found.append(run_block(batch) if batch else vectors.sparkSession.createDataFrame([], "q bigint, k bigint, d double"))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    best = F.row_number().over(Window.partitionBy("q").orderBy("d", "k"))
-    return every.withColumn("r", best).where(F.col("r") <= k).select(F.col("q").alias(q_key), F.col("k").alias(key), F.col("d").alias("distance"))
+    """``q_key, key, distance``: the ``k`` nearest of each query of a stated set, exactly: every query visits every list."""
+    centres = centroids(vectors, 16, vector, rounds=1, sample=1_000)
+    return knn_lists(vectors, queries, k, key, q_key, centres, len(centres), vector, block=block)

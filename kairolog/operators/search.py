@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kairolog.functions import grams
 from kairolog.functions.grammar import QueryPlan
 from kairolog.functions.textprep import all_keywords, is_meta, is_negative
+from kairolog.sources.records import with_ts
 
 KEY = ["src", "line_no"]
 #: With fewer matches than this, a level of search gives way to the next.
@@ -104,36 +105,49 @@ def newest(records: DataFrame, plan: QueryPlan, limit: int, actor: str | None =
     return rows.where("ts is not null").orderBy("negative", F.col("ts").desc(), *KEY).limit(limit)
 
 
-def search(records: DataFrame, plan: QueryPlan, limit: int = 5, actor: str | None = None) -> DataFrame:
-    """The cascade with ``stage``: all keywords; any bigram of the query; the newest. The first stage that finds anything answers."""
+def search(records: DataFrame, plan: QueryPlan, limit: int = 5, actor: str | None = None, untimed: DataFrame | None = None) -> DataFrame:
+    """The cascade with ``stage``: all keywords; any bigram of the query; the newest. The first stage that finds anything answers.
+
+    ``untimed`` may be the same records without their time read, for stages that no time narrows; the time of what they find is read then.
+    """
+    words = records if untimed is None or plan.utc or plan.hours else untimed
     every = [[t for w in g for t in grams.query_tokens(w)] for g in plan.keywords]
     loose = [t for g in plan.keywords for w in g[:1] for t in grams.query_tokens(w)]
     stages = []
     if len(plan.keywords) >= 2 and all(every):
-        stages.append(ranked(records, every, plan, limit, actor))
+        stages.append(ranked(words, every, plan, limit, actor))
     if loose:
-        stages.append(ranked(records, [loose], plan, limit, actor))
+        stages.append(ranked(words, [loose], plan, limit, actor))
     stages.append(newest(records, plan, limit, actor))
-    for i, found in enumerate(stages):
-        if i == len(stages) - 1 or not found.isEmpty():
-            return found.withColumn("stage", F.lit(len(stages) - i))
-    raise AssertionError
+    for i, found in enumerate(stages[:-1]):
+        rows = found.collect()  # at most `limit`; a stage runs once, and later ones not at all if it finds anything
+        if rows:
+            few = records.sparkSession.createDataFrame(rows, found.schema)
+            return (few if words is records else with_ts(few.drop("ts")).select(*found.columns)).withColumn("stage", F.lit(len(stages) - i))
+    return stages[-1].withColumn("stage", F.lit(1))
 
 
-def positions(records: DataFrame) -> DataFrame:
-    """``pos``: place of each record over all sources. Ranks are taken within a source and shifted by the sizes of earlier ones."""
-    size = records.groupBy("src").agg(F.count("*").alias("_n"))
-    base = size.select("src", F.coalesce(F.sum("_n").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each source
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("line_no"))
-    return records.withColumn("_r", rank).join(base, "src").withColumn("pos", F.col("_base") + F.col("_r") - 1).drop("_r", "_base")
+def bases(records: DataFrame) -> DataFrame:
+    """``src, base, size``: where each source begins in the order of all records. A row for each source, no text is read."""
+    size = records.groupBy("src").agg(F.count("*").alias("size"))
+    return size.select("src", F.coalesce(F.sum("size").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), "size")
 
 
-def with_context(records: DataFrame, hits: DataFrame, around: int) -> DataFrame:
-    """Hits and their neighbours within ``around`` places of the same session, with ``is_hit``. Each hit asks for few places, and these join exactly."""
-    placed = positions(records)
-    wanted = placed.join(hits.select(*KEY).distinct(), KEY, "left_semi").select(F.col("session").alias("_s"), F.explode(F.sequence(F.col("pos") - around, F.col("pos") + around)).alias("pos"), F.col("pos").alias("_at"))
-    wanted = wanted.groupBy("pos", "_s").agg(F.max(F.col("pos") == F.col("_at")).alias("is_hit"))
-    near = placed.join(wanted, "pos").where(F.col("session").eqNullSafe(F.col("_s")))
+def with_context(records: DataFrame, hits: DataFrame, around: int, cell: int = 1_000) -> DataFrame:
+    """Hits and their neighbours within ``around`` places of the same session, with ``is_hit``.
+
+    Places are counted over all sources, but only the sources of hits are ranked to find theirs, and only the sources that hold a wanted place
+    to fetch it. Which source holds a place is an equi-join by cells of ``cell`` places.
+    """
+    base = bases(records)
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("line_no"))
+    named = hits.select(*KEY).distinct()
+    own = records.select(*KEY, "session").join(named.select("src").distinct(), "src", "left_semi").withColumn("_r", rank)
+    at = own.join(named, KEY).join(base, "src").select(F.col("session").alias("_s"), (F.col("base") + F.col("_r") - 1).alias("_at"))
+    wanted = at.select("_s", "_at", F.explode(F.sequence(F.col("_at") - around, F.col("_at") + around)).alias("pos")).groupBy("pos", "_s").agg(F.max(F.col("pos") == F.col("_at")).alias("is_hit"))
+    spread = base.select("src", "base", "size", F.explode(F.sequence(F.floor(F.col("base") / cell), F.floor((F.col("base") + F.col("size") - 1) / cell))).alias("_cell"))
+    placed = wanted.withColumn("_cell", F.floor(F.col("pos") / cell)).join(spread, "_cell").where((F.col("pos") >= F.col("base")) & (F.col("pos") < F.col("base") + F.col("size"))).select("src", (F.col("pos") - F.col("base") + 1).alias("_r"), "_s", "is_hit")
+    near = records.join(placed.select("src").distinct(), "src", "left_semi").withColumn("_r", rank).join(placed, ["src", "_r"]).where(F.col("session").eqNullSafe(F.col("_s")))
     return near.select(*records.columns, "is_hit")
 
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 from functools import reduce
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from kairolog.functions import vocabulary as v
 from kairolog.session import cut
@@ -22,30 +26,107 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def live_branches(nodes: DataFrame, window_minutes: int = 15, most_rounds: int = 40) -> DataFrame:
-    """``nodes`` (``tree, id, parent, ts``) with ``alive`` and ``newest``: whether the path from a live leaf passes through them.
+#: Nodes of a tree up to which it is walked within one task.
+SMALL_TREE = 200_000
 
-    A leaf is nobody's parent, and live if it is at most ``window_minutes`` older than the newest leaf of its tree. Paths are marked by
-    doubling: in round k each marked node marks its ancestor 2^k steps up, so a path of a million nodes takes twenty rounds. Each
-    round is two equi-joins, cut off from the last.
+
+def live_branches(nodes: DataFrame, window_minutes: int = 15, small: int = SMALL_TREE) -> DataFrame:
+    """``nodes`` (``tree, id, parent, ts`` and whatever else) with ``alive`` and ``newest``: whether the path from a live leaf passes through them.
+
+    A leaf is nobody's parent, and live if it is at most ``window_minutes`` older than the newest leaf of its tree. Trees of up to ``small`` nodes
+    are walked in batches of whole trees, after one exchange; larger ones by doubling over joins. Rows without tree or id are not alive. A cycle of parents has no
+    leaf, so nothing in it is alive unless a branch hangs on it.
     """
-    base = nodes.select("tree", "id", "parent", "ts")
+    large = nodes.groupBy("tree").agg(F.count("*").alias("n")).where(F.col("n") > small).select("tree")
+    if large.isEmpty():
+        return _walked(nodes, window_minutes)
+    large = cut(large)
+    return _walked(nodes.join(large, "tree", "left_anti"), window_minutes).unionByName(_doubled(nodes.join(large, "tree", "left_semi"), window_minutes))
+
+
+def _walked(nodes: DataFrame, window_minutes: int) -> DataFrame:
+    def mark(tree: np.ndarray, id_: np.ndarray, parent: np.ndarray, us: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of tree, id and parent (-1: none) of whole trees: which rows are alive, and on the newest branch."""
+        width = max(int(id_.max(initial=0)), int(parent.max(initial=0))) + 2
+        known, at = np.unique(np.where(id_ >= 0, tree * width + id_ + 1, tree * width), return_inverse=True)  # node 0 of a tree: no id
+        named = np.zeros(len(known), bool)
+        named[at] = id_ >= 0
+        key = tree * width + parent + 1
+        slot = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        has = (parent >= 0) & (id_ >= 0) & (known[slot] == key)
+        up = np.arange(len(known))
+        up[at[has]] = slot[has]
+        leaf = named.copy()
+        leaf[slot[has]] = False
+        when, of = np.full(len(known), np.iinfo(np.int64).min), np.zeros(len(known), np.int64)
+        np.maximum.at(when, at, us)
+        of[at] = tree
+        last = np.full(int(tree.max(initial=0)) + 1, np.iinfo(np.int64).min)
+        np.maximum.at(last, of[leaf], when[leaf])
+        alive = leaf & (when >= last[of] - window_minutes * MINUTE_US)
+        newest = leaf & (when == last[of])
+        for _ in range(max(1, int(len(known)).bit_length())):
+            for flag in (alive, newest):
+                flag[up[flag]] = True
+            up = up[up]
+        return alive[at] & (id_ >= 0), newest[at] & (id_ >= 0)
+
+    names = nodes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flagged(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            tree = t["tree"].combine_chunks().dictionary_encode()
+            ids = pa.concat_arrays([t["id"].combine_chunks(), t["parent"].combine_chunks().cast(t["id"].type)]).dictionary_encode().indices
+            ids = ids.fill_null(-1).to_numpy().astype(np.int64)
+            n = len(t)
+            alive, newest = mark(tree.indices.fill_null(-1).to_numpy().astype(np.int64) + 1, np.where(tree.indices.is_null().to_numpy(zero_copy_only=False), -1, ids[:n]), ids[n:], t["_us"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64))
+            yield from t.drop_columns(["_us"]).append_column("alive", pa.array(alive)).append_column("newest", pa.array(newest)).combine_chunks().to_batches()
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            tree = batch.column(names.index("tree"))
+            same = pc.equal(tree, tree[len(tree) - 1]).fill_null(False).to_numpy(zero_copy_only=False)
+            last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if last:
+                yield from flagged(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            elif held and not pc.equal(held[-1].column(names.index("tree"))[-1], tree[0]).as_py():
+                yield from flagged(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from flagged(pa.Table.from_batches(held))
+
+    ordered = nodes.withColumn("_us", F.coalesce(micros(F.col("ts")), F.lit(-(1 << 62)))).repartition("tree").sortWithinPartitions("tree")
+    schema = StructType([*(StructField(f.name, f.dataType, True) for f in nodes.schema), StructField("alive", BooleanType()), StructField("newest", BooleanType())])
+    return ordered.mapInArrow(run, schema)
+
+
+def _doubled(nodes: DataFrame, window_minutes: int) -> DataFrame:
+    """The same for trees of any size: in round k each marked node marks its ancestor 2^k steps up, so a path of a million nodes takes twenty rounds. A node
+    without further ancestors, or one that leads back to itself, drops out; more rounds than a path can need are an error."""
+    base = nodes.where("tree is not null and id is not null").select("tree", "id", "parent", "ts")
     parents = base.where("parent is not null").select("tree", F.col("parent").alias("id")).distinct()
     leaves = base.join(parents, ["tree", "id"], "left_anti")
-    top = Window.partitionBy("tree")
-    leaves = leaves.withColumn("_last", F.max("ts").over(top)).where(micros(F.col("_last")) - micros(F.col("ts")) <= window_minutes * MINUTE_US)
-    marked = leaves.select("tree", "id", (F.col("ts") == F.col("_last")).alias("newest"))
-    up = cut(base.where("parent is not null").select("tree", "id", F.col("parent").alias("anc")))
-    marked = cut(marked)
-    for _ in range(most_rounds):
+    last = leaves.groupBy("tree").agg(F.max("ts").alias("_last"))
+    leaves = leaves.join(last, "tree").where(micros(F.col("_last")) - micros(F.col("ts")) <= window_minutes * MINUTE_US)
+    marked = cut(leaves.select("tree", "id", (F.col("ts") == F.col("_last")).alias("newest")))
+    up = cut(base.where("parent is not null").select("tree", "id", F.col("parent").alias("anc")).distinct())
+    most = max(1, up.count().bit_length()) + 1
+    for turn in range(most + 1):
+        if up.isEmpty():
+            break
+        if turn == most:
+            raise ValueError("parents of nodes run in a cycle")
         step = up.join(marked, ["tree", "id"]).select("tree", F.col("anc").alias("id"), "newest")
         marked = cut(marked.unionByName(step).groupBy("tree", "id").agg(F.max("newest").alias("newest")))
         again = up.alias("a").join(up.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.anc") == F.col("b.id"))).select("a.tree", "a.id", "b.anc")
-        up = cut(again)
-        if up.isEmpty():
-            break
+        up = cut(again.where("id <> anc"))
     flags = marked.select("tree", "id", F.lit(True).alias("alive"), "newest")
-    return nodes.join(flags, ["tree", "id"], "left").withColumns({"alive": F.coalesce("alive", F.lit(False)), "newest": F.coalesce("newest", F.lit(False))})
+    return nodes.join(flags, ["tree", "id"], "left").withColumns({"alive": F.coalesce("alive", F.lit(False)), "newest": F.coalesce("newest", F.lit(False))}).select(*nodes.columns, "alive", "newest")
 
 
 def user_events(rows: DataFrame) -> DataFrame:
@@ -60,21 +141,44 @@ def user_events(rows: DataFrame) -> DataFrame:
 def topic_blocks(events: DataFrame, key: str, at: str, gap_minutes: int = 5, block_minutes: int = 15) -> DataFrame:
     """``events`` with ``block``, from 1 within ``key``: a block ends at a gap longer than ``gap_minutes`` or ``block_minutes`` after its start.
 
-    Stretches between gaps do not depend on each other, so each is folded on its own, not the whole key; the numbers of blocks in
-    earlier stretches are added afterwards.
+    Rows without time are left out. The others are exchanged and sorted once and stream through: what is kept of a key is where its block began, the last time and the block's number.
+    A block's end is looked up in the sorted times, so the work is one step for each block.
     """
-    order = Window.partitionBy(key).orderBy("_us", "_i")
-    step = events.withColumns({"_us": micros(F.col(at)), "_i": F.xxhash64(*events.columns)})
-    fresh = F.coalesce((F.col("_us") - F.lag("_us").over(order) > gap_minutes * MINUTE_US).cast("int"), F.lit(1))
-    step = step.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    times = step.groupBy(key, "_stretch").agg(F.array_sort(F.collect_set("_us")).alias("_t"))
-    start = F.struct(F.lit(0).cast("bigint").alias("s"), F.array().cast("array<bigint>").alias("starts"))
-    fold = lambda a, t: F.when((F.size(a["starts"]) == 0) | (t - a["s"] > block_minutes * MINUTE_US), F.struct(t.alias("s"), F.concat(a["starts"], F.array(t)).alias("starts"))).otherwise(a)
-    starts = times.select(key, "_stretch", F.aggregate("_t", start, fold)["starts"].alias("_starts"))
-    before = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.withColumn("_base", F.coalesce(F.sum(F.size("_starts")).over(before), F.lit(0)))
-    out = step.join(starts, [key, "_stretch"]).withColumn("block", (F.col("_base") + F.size(F.filter("_starts", lambda s: s <= F.col("_us")))).cast("int"))
-    return out.select(*events.columns, "block")
+    gap, most, names = gap_minutes * MINUTE_US, block_minutes * MINUTE_US, events.columns
+    where = names.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, start, last, number = None, 0, 0, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, us = batch.column(where), batch.column(batch.num_columns - 1).to_numpy()
+            same = pc.fill_null(pc.equal(keys.slice(1), keys.slice(0, len(keys) - 1)), False).to_numpy(zero_copy_only=False)
+            edges = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(keys)]])
+            block = np.empty(len(keys), np.int32)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                t = us[a:b]
+                if a or number == 0 or keys[0].as_py() != open_:
+                    start, last, number = int(t[0]), int(t[0]), 1
+                gaps = np.append(np.flatnonzero(np.diff(t, prepend=last) > gap), len(t))
+                i = g = 0
+                while i < len(t):
+                    if gaps[g] == i and gaps[g] < len(t):
+                        g += 1
+                        start, number = int(t[i]), number + 1
+                    elif t[i] - start > most:
+                        start, number = int(t[i]), number + 1
+                    end = min(int(gaps[g]), int(np.searchsorted(t, start + most, side="right")))
+                    block[a + i : a + max(end, i + 1)] = number
+                    i = max(end, i + 1)
+                last = int(t[-1])
+            open_ = keys[len(keys) - 1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(block)], [*names, "block"])
+
+    timed = events.where(F.col(at).isNotNull()).withColumn("_us", micros(F.col(at)))
+    ordered = timed.repartition(key).sortWithinPartitions(key, "_us")
+    schema = StructType([*(StructField(f.name, f.dataType, True) for f in events.schema), StructField("block", IntegerType())])
+    return ordered.mapInArrow(run, schema)
 
 
 def block_heads(blocks: DataFrame, key: str, at: str, heat: Column) -> DataFrame:

@@ -46,6 +46,7 @@ NOTATIONS = [
     (rf"^{_DAY}(\d{{1,2}})(?:st|nd|rd|th)? +([A-Za-z]{{3,9}})\.?,? +(\d{{4}}),? +{_CLOCK}(?: *([AaPp][Mm]))? *{_ZONE}$", "$3|$2|$1|$8|$4|$5|$6|$7|$9"),
 ]
 
+_ISO, _ISO_OFFSET = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?", r"(?:Z|[+-]\d\d:\d\d)"
 _OUTER = "^[\\s\\u00a0\\u3000\\ufeff]+|[\\s\\u00a0\\u3000\\ufeff]+$"
 
 
@@ -61,20 +62,23 @@ def wall_to_utc_micros(wall: Column, zone: Column) -> Column:
     return ntz_micros(F.convert_timezone(zone, F.lit("UTC"), wall))
 
 
-def _staged(rows: DataFrame, ts: str) -> DataFrame:
+def _staged(rows: DataFrame, ts: str, utc: bool = False) -> DataFrame:
     """``rows`` with the parts of a timestamp: ``_wall`` (without zone), ``_offset`` (seconds), ``_named`` (a zone as written), ``_unix`` (micros).
 
-    Each step is a projection of its own, so that what a later step uses several times is computed once.
+    Each step is a projection of its own, so that what a later step uses several times is computed once. The plain ISO notation with an offset (with
+    ``utc`` also without) is read by Spark's own parser and skips the steps, as they get null.
     """
     kept = [F.col(f"`{c}`") for c in rows.columns]
     c = F.col
-    step = rows.select(*kept, F.translate(F.regexp_replace(c(f"`{ts}`"), _OUTER, ""), "−‐‑–", "----").alias("_clean"))
+    iso = c(f"`{ts}`").rlike(_ISO + (_ISO_OFFSET + "?$" if utc else _ISO_OFFSET + "$"))
+    zoned = F.when(c(f"`{ts}`").rlike(_ISO_OFFSET + "$"), c(f"`{ts}`")).otherwise(F.concat(c(f"`{ts}`"), F.lit("Z")))
+    step = rows.select(*kept, F.when(iso, F.unix_micros(zoned.try_cast("timestamp"))).alias("_fast"), F.when(~iso, F.translate(F.regexp_replace(c(f"`{ts}`"), _OUTER, ""), "−‐‑–", "----")).alias("_clean"))
     form = reduce(lambda rest, n: F.when(c("_clean").rlike(n[0]), F.regexp_replace("_clean", n[0], n[1])).otherwise(rest), reversed(NOTATIONS), F.lit(None).cast("string"))
-    step = step.select(*kept, "_clean", F.split(form, r"\|").alias("_part"))
+    step = step.select(*kept, "_fast", "_clean", F.split(form, r"\|").alias("_part"))
     at = lambda i: F.get("_part", i)
     digits = r"^(?:UTC|GMT)?[+-](\d{1,2}):?(\d{2})?"
     step = step.select(
-        *kept, "_clean", at(0).try_cast("int").alias("_y"), F.lower(F.substring(at(1), 1, 3)).alias("_mon"), at(1).try_cast("int").alias("_mo"), at(2).try_cast("int").alias("_d"), F.lower(at(3)).alias("_half"),
+        *kept, "_fast", "_clean", at(0).try_cast("int").alias("_y"), F.lower(F.substring(at(1), 1, 3)).alias("_mon"), at(1).try_cast("int").alias("_mo"), at(2).try_cast("int").alias("_d"), F.lower(at(3)).alias("_half"),
         at(4).try_cast("int").alias("_h"), at(5).try_cast("int").alias("_mi"), F.coalesce(at(6).try_cast("int"), F.lit(0)).alias("_s"), F.rpad(F.coalesce(at(7), F.lit("")), 6, "0").try_cast("int").alias("_us"), at(8).alias("_z"),
         F.when(c("_clean").rlike(r"^-?\d{1,19}(?:\.\d+)?$"), F.regexp_extract("_clean", r"^-?(\d+)", 1)).try_cast("bigint").alias("_n"),
     )
@@ -90,7 +94,7 @@ def _staged(rows: DataFrame, ts: str) -> DataFrame:
         *kept, "_y", "_d", "_mi", "_us", "_s", "_z", F.coalesce("_mo", F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), c("_mon")).cast("int"), F.lit(0))).alias("_mo"),
         F.when(fits & (c("_s") <= 59), F.when(half == "", hour).otherwise(hour % 12 + F.when(half.isin("pm", "午後"), 12).otherwise(0))).alias("_h"),
         F.regexp_extract("_z", digits, 1).try_cast("int").alias("_oh"), F.coalesce(F.regexp_extract("_z", digits, 2).try_cast("int"), F.lit(0)).alias("_om"),
-        F.try_element_at(known, F.upper(F.regexp_extract("_z", r"^([A-Za-z]{1,5})(?:\[|$)", 1))).alias("_short"), F.nullif(F.regexp_extract("_z", r"\[(.+)\]$", 1), F.lit("")).alias("_named"), unix.alias("_unix"),
+        F.try_element_at(known, F.upper(F.regexp_extract("_z", r"^([A-Za-z]{1,5})(?:\[|$)", 1))).alias("_short"), F.nullif(F.regexp_extract("_z", r"\[(.+)\]$", 1), F.lit("")).alias("_named"), F.coalesce("_fast", unix).alias("_unix"),
     )
     sign = F.when(c("_z").rlike("^(?:UTC|GMT)?-"), -1).otherwise(1)
     exact = c("_s").cast("decimal(16,6)") + (c("_us").cast("decimal(16,6)") / F.lit(1_000_000).cast("decimal(16,0)")).cast("decimal(16,6)")
@@ -127,7 +131,7 @@ def zone_key(zone: Column) -> Column:
     return F.lower(F.regexp_replace(zone, _OUTER, ""))
 
 
-_INNER = set("_clean _part _y _mon _mo _d _half _h _mi _s _us _z _n _oh _om _short _named _unix _offset _wall _parts _declared _key _zone_key _zone_id _at".split())
+_INNER = set("_fast _clean _part _y _mon _mo _d _half _h _mi _s _us _z _n _oh _om _short _named _unix _offset _wall _parts _declared _key _zone_key _zone_id _at".split())
 
 
 def _apart(rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -141,7 +145,7 @@ def with_utc_instant(rows: DataFrame, ts: str, out: str = "utc_us") -> DataFrame
     rows, back = _apart(rows)
     kept = [F.col(f"`{c}`") for c in rows.columns if c != out]
     instant = F.coalesce(F.col("_unix"), ntz_micros(F.col("_wall")) - F.coalesce("_offset", F.lit(0)).cast("bigint") * 1_000_000)
-    return _staged(rows, ts).select(*kept, instant.alias(out)).withColumnsRenamed(back)
+    return _staged(rows, ts, utc=True).select(*kept, instant.alias(out)).withColumnsRenamed(back)
 
 
 def with_instant(rows: DataFrame, ts: str, zone: Column | None = None, out: str = "utc_us") -> DataFrame:
