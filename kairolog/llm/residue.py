@@ -58,7 +58,7 @@ DEFAULTS = [
 SALUTATION = re.compile(r"(?:^|[.!?,\n:] ?)(?:dear|hello|hi|hallo|liebe[rs]?|sehr geehrte[rs]?(?: (?:herr|frau))?|guten tag|bonjour|cher|chère|hola|estimad[oa]|querid[oa]|уважаем(?:ый|ая)|здравствуйте,?|attn\.?|name ?:|to ?:|from ?:) ?(?:mr\.? |ms\.? |mrs\.? )?$", re.I)
 HONORIFIC = re.compile(r" ?(?:様|さん|殿|先生)")
 #: What opens a page or an output that says something failed, and in how many records such a text must stand.
-FAILURE = re.compile(r"(?:[^\w]*)(?:(?:http |fatal |internal |unexpected |system |unknown )?(?:errors?|failure|exception|warning)\b|fehler\b|erreur\b|errore?\b|erro\b|ошибка|エラー|サーバー?エラー|(?:http )?[45]\d\d\b|access |zugriff |accès |acceso |доступ |アクセス|service |server |serveur |servidor |сервис |сервер )", re.I)
+FAILURE = re.compile(r"\W*(?:(?:http|fatal|internal|unexpected|system|unknown) )?(?:errors?|failure|exception)\b|\W*(?:fehler|erreur|errore|erro)\b|\W*(?:ошибка|エラー|サーバーエラー)", re.I)
 REPEATED = 3
 
 #: Names of the environment, which are no slots even where they stand once (fixed values).
