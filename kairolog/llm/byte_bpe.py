@@ -84,6 +84,8 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab = model["vocab"]
+        if max(vocab.values(), default=0) >= 1 << 16:
+            raise ValueError("pairs of ids are packed in 16 bits each; this vocabulary is larger")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.byte_id = np.zeros(256, np.int32)
         for ch, b in _byte_alphabet().items():

@@ -570,3 +570,12 @@ def test_classes_and_pairs_of_a_large_class(spark):
     classes = {r.rowid: (r["class"], r.links) for r in lookalike.same_looking_classes(df).collect()}
     assert classes == {i: (0, 60 if i % 3 == 0 else 30) for i in range(90)}
     assert lookalike.same_looking_classes(df.limit(0)).count() == 0
+
+
+def test_a_vocabulary_too_large_for_packed_pairs_is_refused(tmp_path):
+    import json
+
+    file = tmp_path / "large.json"
+    file.write_text(json.dumps({"model": {"vocab": {"a": 1 << 16}, "merges": []}}))
+    with pytest.raises(ValueError):
+        byte_bpe.ByteBpe(str(file))
