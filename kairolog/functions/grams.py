@@ -10,7 +10,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -96,10 +96,12 @@ def postings(records: DataFrame, keys: list[str], text: str = "text") -> DataFra
 
 
 def write_index(records: DataFrame, path: str, keys: list[str], text: str = "text", files: int = 64) -> None:
-    """Postings sorted by gram, so that a query reads the row groups of its grams, and lengths of the records."""
-    post = postings(records, keys, text)
-    post.repartitionByRange(files, "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/postings")
-    records.select(*keys, token_count(condensed(F.col(text))).alias("n")).write.mode("overwrite").parquet(f"{path}/lengths")
+    """Postings sorted by gram, so that a query reads the row groups of its grams, each with the length of its record, and one row about the whole corpus. A
+    common gram is spread over several files."""
+    length = token_count(condensed(F.col(text))).alias("len")
+    post = records.select(*keys, length, F.explode(tokens(F.col(text))).alias("gram")).groupBy(*keys, "len", "gram").agg(F.count("*").alias("tf"))
+    post.repartitionByRange(files, "gram", F.xxhash64(*keys)).sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/postings")
+    records.select(length).agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("mean")).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
 def statistics(records: DataFrame, wanted: list[str], text: str = "text") -> DataFrame:
@@ -131,16 +133,20 @@ def bm25(records: DataFrame, groups: list[list[str]], stats: DataFrame, text: st
     return kept.withColumn(out, total).select(*records.columns, out)
 
 
-def bm25_indexed(path: str, spark: object, groups: list[list[str]], keys: list[str]) -> DataFrame:
-    """``keys, score`` from a written index: the postings of the query's grams alone are read."""
-    post, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+def bm25_postings(postings: DataFrame, corpus: DataFrame, groups: list[list[str]], keys: list[str]) -> DataFrame:
+    """``keys, score`` of the records that hold a token of each group, from postings ``keys, gram, tf, len`` and the row ``n, mean``: postings of other grams are not read."""
     flat = [t for g in groups for t in g]
-    wanted = post.where(F.col("gram").isin(list(dict.fromkeys(flat))))
-    df = wanted.groupBy("gram").agg(F.count("*").alias("df"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("n").alias("mean"))
-    weight = F.create_map(*[F.lit(x) for g in dict.fromkeys(flat) for x in (g, flat.count(g))])
-    member = F.create_map(*[F.lit(x) for g in dict.fromkeys(flat) for x in (g, sum(1 << i for i, q in enumerate(groups) if g in q))])
-    hits = wanted.join(F.broadcast(df), "gram").join(lengths.withColumnRenamed("n", "len"), keys).join(F.broadcast(stats))
+    wanted = postings.where(F.col("gram").isin(list(dict.fromkeys(flat)))) if flat and all(groups) else postings.where(F.lit(False))
+    df = F.broadcast(wanted.groupBy("gram").agg(F.count("*").alias("df")))  # a row for each token of the query
+    stats = F.broadcast(corpus.select("n", "mean"))  # one row
+    weight = F.create_map(*[F.lit(x) for g in dict.fromkeys(flat) for x in (g, float(flat.count(g)))] or [F.lit(""), F.lit(0.0)])
+    member = F.create_map(*[F.lit(x) for g in dict.fromkeys(flat) for x in (g, sum(1 << i for i, q in enumerate(groups) if g in q))] or [F.lit(""), F.lit(0)])
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     term = weight[F.col("gram")] * F.when(idf <= 0, IDF_FLOOR).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    hits = wanted.join(df, "gram").join(stats)
     return hits.groupBy(*keys).agg(F.sum(term).alias("score"), F.bit_or(member[F.col("gram")]).alias("_m")).where(F.col("_m") == (1 << len(groups)) - 1).drop("_m")
+
+
+def bm25_indexed(path: str, spark: SparkSession, groups: list[list[str]], keys: list[str]) -> DataFrame:
+    """The same from an index of :func:`write_index`."""
+    return bm25_postings(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/corpus"), groups, keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,10 +93,17 @@ def range_totals(records: DataFrame, plan: QueryPlan, actor: str | None = None)
     return scope.agg(F.count("*").alias("total"), F.count_if(F.coalesce(all_keywords(F.col("text"), plan.keywords), F.lit(False))).alias("kw_total"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
 
 
-def ranked(records: DataFrame, groups: list[list[str]], plan: QueryPlan, limit: int, actor: str | None = None) -> DataFrame:
-    """Best ``limit`` records by score, negative answers last. The range filters before the cut; statistics are of all records."""
-    stats = grams.statistics(records, [t for g in groups for t in g])
-    scored = grams.bm25(in_time(searchable(records, actor), plan), groups, stats)
+class WordIndex(Protocol):
+    """What scores records by a written index: ``src, line_no, score`` of those that hold a token of each group."""
+
+    def bm25(self, groups: list[list[str]]) -> DataFrame: ...
+
+
+def ranked(records: DataFrame, groups: list[list[str]], plan: QueryPlan, limit: int, actor: str | None = None, index: WordIndex | None = None) -> DataFrame:
+    """Best ``limit`` records by score, negative answers last. The range filters before the cut; statistics are of all records. With an ``index`` no text is
+    read but that of records it finds."""
+    kept = in_time(searchable(records, actor), plan)
+    scored = kept.join(index.bm25(groups), KEY) if index else grams.bm25(kept, groups, grams.statistics(records, [t for g in groups for t in g]))
     low = is_negative(F.col("text"))
     return scored.withColumn("negative", low).orderBy("negative", F.col("score").desc(), *KEY).limit(limit)
 
@@ -105,7 +113,7 @@ def newest(records: DataFrame, plan: QueryPlan, limit: int, actor: str | None =
     return rows.where("ts is not null").orderBy("negative", F.col("ts").desc(), *KEY).limit(limit)
 
 
-def search(records: DataFrame, plan: QueryPlan, limit: int = 5, actor: str | None = None, untimed: DataFrame | None = None) -> DataFrame:
+def search(records: DataFrame, plan: QueryPlan, limit: int = 5, actor: str | None = None, untimed: DataFrame | None = None, index: WordIndex | None = None) -> DataFrame:
     """The cascade with ``stage``: all keywords; any bigram of the query; the newest. The first stage that finds anything answers.
 
     ``untimed`` may be the same records without their time read, for stages that no time narrows; the time of what they find is read then.
@@ -115,9 +123,9 @@ def search(records: DataFrame, plan: QueryPlan, limit: int = 5, actor: str | Non
     loose = [t for g in plan.keywords for w in g[:1] for t in grams.query_tokens(w)]
     stages = []
     if len(plan.keywords) >= 2 and all(every):
-        stages.append(ranked(words, every, plan, limit, actor))
+        stages.append(ranked(words, every, plan, limit, actor, index))
     if loose:
-        stages.append(ranked(words, [loose], plan, limit, actor))
+        stages.append(ranked(words, [loose], plan, limit, actor, index))
     stages.append(newest(records, plan, limit, actor))
     for i, found in enumerate(stages[:-1]):
         rows = found.collect()  # at most `limit`; a stage runs once, and later ones not at all if it finds anything

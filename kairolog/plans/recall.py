@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import argparse
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import UTC, date, datetime
 from zoneinfo import ZoneInfo
@@ -40,12 +40,13 @@ class RecallResult:
 
 @dataclass
 class Corpus:
-    """What is searched: records, and vectors of them if there are any; rows not yet indexed, if any."""
+    """What is searched: records, and vectors of them if there are any; rows not yet indexed, if any; an index of words, if there is one."""
 
     records: DataFrame
     vectors: DataFrame | None = None
     fresh: DataFrame | None = None
     embedder: Embedder | None = None
+    index: s.WordIndex | None = None
 
 
 def nearest(corpus: Corpus, text: str, k: int) -> DataFrame | None:
@@ -103,7 +104,7 @@ def _in_time(corpus: Corpus, result: RecallResult, limit: int, actor: str | None
 
 def _by_words(corpus: Corpus, result: RecallResult, config: Config, now: datetime, limit: int, actor: str | None, around: int, exact_only: bool, recency: bool) -> None:
     plan, fan = result.plan, max(limit, 8)
-    hits = s.search(corpus.records, plan, max(fan, 4) if around else fan, actor)
+    hits = s.search(corpus.records, plan, max(fan, 4) if around else fan, actor, index=corpus.index)
     result.mode = "words"
     near = None if actor or exact_only else nearest(corpus, plan.text, fan)
     if near is not None:
@@ -130,30 +131,37 @@ def tag(row: object, config: Config) -> str:
 
 def format_lines(result: RecallResult, config: Config, now: datetime, full: bool = False) -> list[str]:
     """Lines to read: now, what was searched, each row in order of time, and whatever a reader must know."""
+    return list(lines_of(result, config, now, full))
+
+
+def lines_of(result: RecallResult, config: Config, now: datetime, full: bool = False) -> Iterator[str]:
+    """The lines of :func:`format_lines` one by one: rows come to the driver a partition at a time, however many there are."""
     zone = ZoneInfo(config.timezone)
     local = lambda t: t.replace(tzinfo=UTC).astimezone(zone).strftime("%Y-%m-%d %H:%M") if t else "---- -- --:--"
-    lines = [f"[NOW] {local(now)}"]
+    yield f"[NOW] {local(now)}"
     if result.errors:
-        return lines + [f"search failed: {e}" for e in result.errors]
-    rows = result.rows.orderBy(F.col("ts").asc_nulls_first(), *s.KEY).collect()  # what is displayed, in the driver
+        yield from (f"search failed: {e}" for e in result.errors)
+        return
     plan = result.plan
     if plan.days:
+        shown = result.rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
         first, last = plan.days
         head = f"{first}" if first == last else f"{first} to {last}"
-        lines.append(f"{head}{' %d-%dh' % plan.hours if plan.hours else ''}: {result.totals.get('total', len(rows))} rows, {result.totals.get('kw_total', 0)} with all words, {sum(len(r.text or '') for r in rows)} characters shown")
+        yield f"{head}{' %d-%dh' % plan.hours if plan.hours else ''}: {result.totals.get('total', shown.n)} rows, {result.totals.get('kw_total', 0)} with all words, {shown.chars} characters shown"
         if first > plan.today:
-            lines.append("this range lies in the future")
-    lines += [f"({n})" for n in result.notes]
-    for r in rows:
+            yield "this range lies in the future"
+    yield from (f"({n})" for n in result.notes)
+    days: dict[str, int] = {}
+    for r in result.rows.orderBy(F.col("ts").asc_nulls_first(), *s.KEY).toLocalIterator(prefetchPartitions=True):
         text = " ".join((r.text or "").split("\n"))
         sure = "[maybe] " if "confirm" in r.__fields__ and r["confirm"] else ""
-        lines.append(f"[{local(r.ts)}] {sure}{tag(r, config)}: {text if full or len(text) <= DISPLAY_CHARS else text[:DISPLAY_CHARS] + '…'}")
-    days: dict[str, int] = {}
-    for r in rows:
-        days[local(r.ts)[:10]] = days.get(local(r.ts)[:10], 0) + 1
+        when = local(r.ts)
+        days[when[:10]] = days.get(when[:10], 0) + 1
+        yield f"[{when}] {sure}{tag(r, config)}: {text if full or len(text) <= DISPLAY_CHARS else text[:DISPLAY_CHARS] + '…'}"
     if len(days) > 1:
-        lines.append("days: " + ", ".join(f"{d} ({n})" for d, n in sorted(days.items())))
-    return lines if rows else [*lines, "no rows"]
+        yield "days: " + ", ".join(f"{d} ({n})" for d, n in sorted(days.items()))
+    if not days:
+        yield "no rows"
 
 
 def compacted(records: DataFrame, session: str, n: int) -> DataFrame:
@@ -188,7 +196,8 @@ def main(args: Sequence[str] | None = None) -> int:
     else:
         actor = config.user_name if a.user else config.ai_name if a.ai else None
         result = recall(Corpus(records), " ".join(a.query), config, now, actor=actor, around=a.around, recency=not a.all_time)
-    print("\n".join(format_lines(result, config, now, a.full)))
+    for line in lines_of(result, config, now, a.full):
+        print(line)
     return 1 if result.errors else 0
 
 

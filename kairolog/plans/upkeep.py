@@ -89,17 +89,6 @@ class Indexes:
         return self.lengths().agg(F.count("*").alias("records"), F.count_distinct("src").alias("sources"), F.coalesce(F.sum("len"), F.lit(0)).alias("terms"))
 
     def bm25(self, groups: list[list[str]]) -> DataFrame:
-        """``src, line_no, score`` of the records that hold a token of each group. Of the postings only row groups of the query's grams are read; lengths
-        stand with the postings, and what is known of the whole corpus is one row."""
-        flat = [t for g in groups for t in g]
-        if not flat or not all(groups):
-            return self.lengths().where(F.lit(False)).select(*KEY, F.lit(0.0).alias("score"))
-        wanted = self.postings().where(F.col("gram").isin(list(dict.fromkeys(flat))))
-        stats = F.broadcast(self.lengths().agg(F.count("*").alias("n"), F.avg("len").alias("mean")))  # one row
-        df = F.broadcast(wanted.groupBy("gram").agg(F.count("*").alias("df")))  # a row for each token of the query
-        idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = F.create_map(*[F.lit(x) for g in dict.fromkeys(flat) for x in (g, float(flat.count(g)))])
-        member = F.create_map(*[F.lit(x) for g in dict.fromkeys(flat) for x in (g, sum(1 << i for i, q in enumerate(groups) if g in q))])
-        term = weight[F.col("gram")] * F.when(idf <= 0, grams.IDF_FLOOR).otherwise(idf) * F.col("tf") * (grams.K1 + 1) / (F.col("tf") + grams.K1 * (1 - grams.B + grams.B * F.col("len") / F.col("mean")))
-        hits = wanted.join(df, "gram").join(stats)
-        return hits.groupBy(*KEY).agg(F.sum(term).alias("score"), F.bit_or(member[F.col("gram")]).alias("_m")).where(F.col("_m") == (1 << len(groups)) - 1).drop("_m")
+        """``src, line_no, score`` of the records that hold a token of each group."""
+        corpus = self.lengths().agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("mean"))
+        return grams.bm25_postings(self.postings(), corpus, groups, KEY)

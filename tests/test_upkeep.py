@@ -102,3 +102,24 @@ def test_a_batch_of_texts_is_encoded_as_each_is():
     texts = ["the heating bill", "", "x", "予算の話", "The Heating bill"]
     whole = e.encode(texts)
     assert np.allclose(whole, np.concatenate([e.encode([t]) for t in texts])) and np.allclose(whole[0], whole[4]) and e.encode([]).shape == (0, 384)
+
+
+def test_search_by_index_equals_search_by_scan(spark, tmp_path):
+    from kairolog.operators import search
+    from kairolog.plans.recall import Corpus, format_lines, recall
+    from kairolog.plans.upkeep import Indexes
+    from kairolog.sources.records import FIELDS, with_ts
+
+    texts = ["the budget for Friday", "Friday again", "a budget", "nothing at all", "budget Friday budget", "meta budget Friday"]
+    rows = [(f"2026-03-0{1 + i}T10:00:00Z", "Sam", "user", "meta" if i == 5 else "text", t, None, "s", f"main/{i % 2}", i) for i, t in enumerate(texts)]
+    records = with_ts(spark.createDataFrame(rows, "ts_raw string, actor string, role string, type string, text string, model string, session string, src string, line_no int")).select(*FIELDS)
+    index = Indexes(spark, f"file://{tmp_path}/index")
+    index.tick(records, "v")
+    today = datetime(2026, 3, 9)
+    for q in ("budget Friday", "budget", "what did we say on 2026-03-01 about budget", "zebra"):
+        p = parse(q, today.date())
+        pick = lambda f: [(r.src, r.line_no, round(r.score, 9), r.stage) for r in f.collect()]
+        assert pick(search.search(records, p, 4)) == pick(search.search(records, p, 4, index=index))
+    config = cfg.Config(user_name="Sam")
+    both = [format_lines(recall(Corpus(records, index=i), "budget Friday", config, today), config, today) for i in (None, index)]
+    assert both[0] == both[1] and len(both[0]) > 2 and index.bm25([]).count() == 0
