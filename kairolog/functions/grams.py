@@ -99,7 +99,8 @@ def write_index(records: DataFrame, path: str, keys: list[str], text: str = "tex
     """Postings sorted by gram, so that a query reads the row groups of its grams, each with the length of its record, and one row about the whole corpus. A
     common gram is spread over several files."""
     length = token_count(condensed(F.col(text))).alias("len")
-    post = records.select(*keys, length, F.explode(tokens(F.col(text))).alias("gram")).groupBy(*keys, "len", "gram").agg(F.count("*").alias("tf"))
+    measured = records.select(*keys, length, tokens(F.col(text)).alias("_t"))  # once for a record, not for each of its grams
+    post = measured.select(*keys, "len", F.explode("_t").alias("gram")).groupBy(*keys, "len", "gram").agg(F.count("*").alias("tf"))
     post.repartitionByRange(files, "gram", F.xxhash64(*keys)).sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/postings")
     records.select(length).agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("mean")).write.mode("overwrite").parquet(f"{path}/corpus")
 

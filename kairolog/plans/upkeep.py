@@ -72,7 +72,8 @@ class Indexes:
         todo = records.join(changes.where("status in ('new', 'appended', 'rewritten')").select("src"), "src", "left_semi")
         once = todo.dropDuplicates(KEY)
         length = grams.token_count(grams.condensed(F.col("text")))
-        terms = once.select(*KEY, length.cast("int").alias("len"), F.explode(grams.tokens(F.col("text"))).alias("gram")).groupBy(*KEY, "len", "gram").agg(F.count("*").alias("tf"))
+        measured = once.select(*KEY, length.cast("int").alias("len"), grams.tokens(F.col("text")).alias("_t"))  # once for a record, not for each of its grams
+        terms = measured.select(*KEY, "len", F.explode("_t").alias("gram")).groupBy(*KEY, "len", "gram").agg(F.count("*").alias("tf"))
         self._write(terms.select("gram", "line_no", "tf", "len", "src"), "postings", "gram")
         self._write(once.select("line_no", length.cast("int").alias("len"), "src"), "lengths", "line_no")
         if self.embedder is not None:
