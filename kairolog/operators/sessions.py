@@ -54,6 +54,7 @@ def actor_sessions(meta: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame
 
 
 def session_stream(events: DataFrame, key: str, at: str, gap: str, watermark: str) -> DataFrame:
-    """The same for a stream: sessions come out once the watermark has passed their end; events late by less still merge."""
+    """The same for a stream: sessions come out once the watermark has passed their end; events late by less still merge. As in a batch,
+    events exactly one gap apart belong together."""
     state = events.withWatermark(at, watermark).groupBy(key, F.session_window(at, gap).alias("w"))
     return state.agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n_rows")).select(key, "start", "end", "n_rows")

@@ -654,7 +654,7 @@ def compaction_ranges(spark: SparkSession, d: str) -> DataFrame:
     return search.compaction_ranges(e).select("session", "n", us("start").alias("start_us"), us("end").alias("end_us"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id AS u, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 7200000000 THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY u ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM o)
+@query("""WITH RECURSIVE o AS (SELECT user_id AS u, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 7200000000 THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY u ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM o)
         SELECT u AS user_id, min(t) AS start_us, max(t) AS end_us, count(*) AS n_rows FROM s GROUP BY u, k""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of a stream with a watermark, all that are open or closed when what is there has been read."""

@@ -150,3 +150,13 @@ def test_progress_of_failed_runs_does_not_count(spark):
     srcs = spark.createDataFrame([], "src string, nlines int, sig string, run_id int")
     got = ledger.remaining_lines(lines, days, srcs, runs)
     assert sorted((r.side, r.line_no) for r in got.collect()) == [*(("day", i) for i in range(3, 8)), *(("src", i) for i in range(8))]
+
+
+def test_stream_and_batch_join_events_exactly_one_gap_apart(spark, tmp_path):
+    rows = [("a", datetime(2026, 1, 1, 0)), ("a", datetime(2026, 1, 1, 2)), ("a", datetime(2026, 1, 1, 4, 0, 1)), ("b", datetime(2026, 1, 1))]
+    spark.createDataFrame(rows, "k string, at timestamp").write.parquet(f"file://{tmp_path}/in")
+    source = spark.readStream.schema("k string, at timestamp").parquet(f"file://{tmp_path}/in")
+    out = f"file://{tmp_path}/out"
+    run = sessions.session_stream(source, "k", "at", "2 hours", "1 hour").writeStream.outputMode("complete").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted((r.k, r.n_rows) for r in spark.read.parquet(out).collect()) == [("a", 1), ("a", 2), ("b", 1)]
