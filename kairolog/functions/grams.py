@@ -8,12 +8,18 @@ Statistics are those of the whole corpus, also when a filter restricts what is r
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Postings of a source under one gram, and how many bytes of text and records are counted at once; a record's place among them takes 21 bits.
+LISTS, RUN_BYTES, RUN_RECORDS, PLACE = "gram string, src string, line_no array<int>, tf array<int>, len array<int>", 2_000_000, 100_000, 21
 
 
 @lru_cache(maxsize=1)
@@ -105,6 +111,65 @@ def write_index(records: DataFrame, path: str, keys: list[str], text: str = "tex
     records.select(length).agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("mean")).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Stretches of the records, each as long as is counted at once, or one record if that is longer."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("c")), 0).to_numpy(zero_copy_only=False))
+        row, byte = 0, 0
+        while row < len(ends):
+            fits = int(np.searchsorted(ends, byte + RUN_BYTES - size, side="right"))
+            upto = max(row if held else row + 1, min(fits, row + RUN_RECORDS - sum(map(len, held))))
+            if upto > row:
+                held.append(batch.slice(row, upto - row))
+                size, row, byte = size + int(ends[upto - 1]) - byte, upto, int(ends[upto - 1])
+            if row < len(ends):
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _counted(run: pa.Table) -> pa.RecordBatch | None:
+    """Posting lists of a run in order of their grams. A pair of code points is a number, so one sort of these with the places of their records counts all."""
+    sources = run.column("src").combine_chunks().dictionary_encode()
+    source, line = sources.indices.to_numpy(zero_copy_only=False), run.column("line_no").to_numpy()
+    order = np.lexsort((line, source))
+    texts = run.column("c").to_pylist()
+    c = np.frombuffer(("\n" + "\n".join(texts[i] or "" for i in order) + "\n").encode("utf-32-le"), np.uint32).astype(np.int64)  # no line ends in condensed texts
+    gap, blank = c == 10, c == 32
+    place = np.cumsum(gap) - 1
+    a, b = c[:-1], c[1:]
+    gram = np.where(blank[:-1], b, a) << 21 | np.where(blank[:-1] | blank[1:], 0, b)
+    pairs = (gram << PLACE | place[:-1])[~gap[:-1] & ~gap[1:]]
+    alone = np.flatnonzero(~gap[1:-1] & ~blank[1:-1] & gap[:-2] & gap[2:]) + 1
+    key = np.sort(np.concatenate([pairs, c[alone] << 21 + PLACE | place[alone]]))
+    if not len(key):
+        return None
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    tf = np.diff(np.append(first, len(key)))
+    gram, at = key[first] >> PLACE, order[key[first] & (1 << PLACE) - 1]
+    other = np.append(True, gram[1:] != gram[:-1])
+    start = np.flatnonzero(other | np.append(True, source[at][1:] != source[at][:-1]))
+    names = pa.array([chr(g >> 21) + (chr(g & 0x1FFFFF) if g & 0x1FFFFF else "") for g in gram[other].tolist()])
+    length = pc.fill_null(run.column("len"), 0).to_numpy()
+    bounds = pa.array(np.append(start, len(at)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (line[at], tf, length[at])]
+    return pa.RecordBatch.from_arrays([names.take(pa.array((np.cumsum(other) - 1)[start])), sources.dictionary.take(pa.array(source[at[start]])), *lists], ["gram", "src", "line_no", "tf", "len"])
+
+
+def posting_lists(measured: DataFrame) -> DataFrame:
+    """The postings of records ``src, line_no, len, c``, of which each is there once and ``c`` is the condensed text: a row for a gram and what a task holds of a
+    source, so records of a source belong together. Rows come in runs sorted by gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches):
+            if (out := _counted(part)) is not None:
+                yield out
+
+    return measured.select("src", "line_no", "len", "c").mapInArrow(run, LISTS)
+
+
 def statistics(records: DataFrame, wanted: list[str], text: str = "text") -> DataFrame:
     """One row, computed with the query that uses it: ``n`` records, their ``mean`` length, and ``df`` of each distinct token in order."""
     held = [F.count_if(holds(F.col("c"), g)) for g in dict.fromkeys(wanted)]

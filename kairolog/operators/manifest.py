@@ -26,14 +26,22 @@ def snapshot(lines: DataFrame) -> DataFrame:
 
 def classify(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     """``src, status, nlines, sig, from_line``: what happened to each source since ``manifest``, and the first line to index."""
-    old = manifest.select("src", F.col("nlines").alias("old_n"), F.col("sig").alias("old_sig"))
-    once = lines.select("src", "line_no", "line").distinct().join(old.select("src", "old_n"), "src", "left")
-    digest = line_digest(F.col("line_no"), F.col("line"))
-    now = once.groupBy("src").agg(F.count_distinct("line_no").alias("nlines"), F.sum(digest).alias("sig"), F.sum(F.when(F.col("line_no") < F.col("old_n"), digest)).alias("prefix"))
+    once = lines.select("src", "line_no", "line").distinct()
+    digests = once.select("src", "line_no", line_digest(F.col("line_no"), F.col("line")).alias("digest"))
+    return compare(digests, manifest.select("src", "nlines", "sig", F.col("nlines").alias("end"))).drop("last")
+
+
+def compare(digests: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The same and the ``last`` line of each source, from the digest of each line, there once. ``end`` is the line after those the manifest knows: more than
+    their number where lines are left out."""
+    old = manifest.select("src", F.col("nlines").alias("old_n"), F.col("sig").alias("old_sig"), "end")
+    once = digests.join(old.select("src", "end"), "src", "left")
+    now = once.groupBy("src").agg(F.count_distinct("line_no").alias("nlines"), F.sum("digest").alias("sig"), F.sum(F.when(F.col("line_no") < F.col("end"), F.col("digest"))).alias("prefix"), F.max("line_no").alias("last"))
     both = now.join(old, "src", "full_outer")
     same = F.coalesce(F.col("prefix"), F.lit(0)) == F.col("old_sig")
     status = F.when(F.col("nlines").isNull(), "gone").when(F.col("old_n").isNull(), "new").when((F.col("nlines") == F.col("old_n")) & same, "unchanged").when((F.col("nlines") > F.col("old_n")) & same, "appended").otherwise("rewritten")
-    return both.select("src", status.alias("status"), "nlines", "sig", F.when(status == "appended", F.col("old_n")).when(status == "unchanged", F.col("nlines")).otherwise(F.lit(0)).cast("bigint").alias("from_line"))
+    from_line = F.when(status == "appended", F.col("end")).when(status == "unchanged", F.col("nlines")).otherwise(F.lit(0)).cast("bigint")
+    return both.select("src", status.alias("status"), "nlines", "sig", from_line.alias("from_line"), "last")
 
 
 def damaged(index: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,19 +1,44 @@
 """Indexes of words and of meaning that follow the records, source by source.
 
-Postings and vectors are stored in folders by source. A pass finds the sources that changed, are damaged or gone, writes those anew and leaves all others
-alone. What is known of the sources is published last, so a pass that dies is simply done again: it writes the same folders with the same rows.
+Each pass that finds a change writes one segment: the new lines of sources that are new, grew, were rewritten or are damaged. Of a source that was rewritten,
+is damaged or gone, rows of earlier segments no longer count; its name is noted with the number of the segment from which its rows do. Vectors look at
+neighbours, so those of a source that grew are written anew as well. Segments are few, as the smallest neighbours are merged, and so are files, whatever the
+number of sources. What is known of the sources, with the name of all that belongs to it, is published last, so a pass that dies leaves what readers see and is
+simply done again.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairolog.functions import grams, semantic
-from kairolog.operators.manifest import Versions, classify, damaged, snapshot
+from kairolog.operators.manifest import Versions, compare, damaged, line_digest
 from kairolog.session import cut
 
 KEY = ["src", "line_no"]
+#: Segments at most, sources whose earlier rows don't count before all is merged, and changed sources up to which their names go to all tasks.
+SEGMENTS, DEAD, FEW = 8, 100_000, 10_000
+KINDS = {"postings": grams.LISTS, "lengths": "line_no int, len int, src string", "vectors": "line_no int, embedding array<float>, src string"}
+
+
+class Segment(NamedTuple):
+    number: int
+    folder: str
+    records: int
+
+
+class State(NamedTuple):
+    """What the published version ``name`` consists of; ``dead`` is the number of names noted."""
+
+    name: str
+    number: int
+    segments: list[Segment]
+    dead: int
 
 
 class Indexes:
@@ -26,65 +51,125 @@ class Indexes:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _files(self, name: str) -> tuple[object, object]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(schema).parquet(self._path(name)) if there else self.spark.createDataFrame([], schema)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _state(self) -> State:
+        """The published state; folders of another layout count as none and are built anew."""
+        name = self.manifest.current() or ""
+        if not re.match(r"\d{8}-", name):
+            return State("", 0, [], 0)
+        row = self.spark.read.parquet(self._path(f"state/{name}")).first()
+        return State(name, int(name[:8]), [Segment(*s) for s in row.segments], row.dead)
+
+    def _rows(self, kind: str, state: State, segments: list[Segment]) -> DataFrame:
+        """Rows of some segments, without those that no longer count."""
+        columns = [f.split()[0] for f in KINDS[kind].split(", ")]
+        parts = []
+        for s in segments:
+            fs, path = self._files(f"{kind}/{s.folder}")
+            if not fs.exists(path):  # vectors, where there was no embedder
+                continue
+            rows = self.spark.read.schema(KINDS[kind]).parquet(self._path(f"{kind}/{s.folder}"))
+            if state.dead and s is not state.segments[-1]:
+                dead = self.spark.read.parquet(self._path(f"dead/{state.name}")).where(F.col("before") > s.number)
+                dead = (dead if kind == "vectors" else dead.where("not grown")).select("src")
+                rows = rows.join(F.broadcast(dead) if state.dead <= DEAD else dead, "src", "left_anti").select(*columns)  # names are few, else all is merged
+            parts.append(rows)
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], KINDS[kind])
+
+    def _read(self, kind: str) -> DataFrame:
+        state = self._state()
+        return self._rows(kind, state, state.segments)
 
     def postings(self) -> DataFrame:
         """``gram, line_no, tf, len, src``: a term of a record, how often, and the record's length in terms."""
-        return self._read("postings", "gram string, line_no int, tf bigint, len int, src string")
+        return self._read("postings").select("gram", "src", F.inline(F.arrays_zip("line_no", "tf", "len"))).select("gram", "line_no", F.col("tf").cast("bigint").alias("tf"), "len", "src")
+
+    def terms(self) -> DataFrame:
+        """``gram, tf, df`` of every term, how often and in how many records it stands, summed list by list."""
+        held = F.aggregate("tf", F.lit(0).cast("bigint"), lambda s, x: s + x)
+        return self._read("postings").groupBy("gram").agg(F.sum(held).alias("tf"), F.sum(F.size("tf")).alias("df"))
 
     def lengths(self) -> DataFrame:
         """``src, line_no, len`` of every indexed record."""
-        return self._read("lengths", "line_no int, len int, src string")
+        return self._read("lengths")
 
     def vectors(self) -> DataFrame:
-        return self._read("vectors", "line_no int, embedding array<float>, src string")
-
-    def _write(self, rows: DataFrame, name: str, order: str) -> None:
-        spread = rows.repartition("src").sortWithinPartitions("src", order)
-        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("src").parquet(self._path(name))
+        return self._read("vectors")
 
-    def _drop(self, sources: list[str]) -> None:
-        jvm = self.spark._jvm
-        for name in ("postings", "lengths", "vectors"):
-            for src in sources:  # gone sources, few in any pass
-                part = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(src)
-                path = jvm.org.apache.hadoop.fs.Path(f"{self._path(name)}/src={part}")
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def _known(self) -> DataFrame:
+        known = self.manifest.read() if self._state().name else None
+        return known if known is not None else self.spark.createDataFrame([], "src string, nlines bigint, sig bigint, last int")
 
     def changes(self, records: DataFrame) -> DataFrame:
-        """``src, status`` of every source: a damaged one counts as rewritten."""
-        lines = records.select(*KEY, F.to_json(F.struct("ts_raw", "type", "text")).alias("line"))
-        known = self.manifest.read()
-        known = known if known is not None else self.spark.createDataFrame([], "src string, nlines bigint, sig bigint, last int")
-        found = classify(lines, known)
-        bad = damaged(self.lengths().select(*KEY), known.select("src", (F.col("last") + 1).alias("nlines")))
+        """``src, status, nlines, sig, from_line, last`` of every source: a damaged one counts as rewritten."""
+        line = F.to_json(F.struct("ts_raw", "type", "text"))
+        digests = records.select(*KEY, line_digest(F.col("line_no"), line).alias("digest")).distinct()
+        known = self._known().withColumn("end", F.col("last") + 1)
+        found = compare(digests, known)
+        bad = damaged(self.lengths().select(*KEY), known.select("src", F.col("end").alias("nlines")))
         return found.join(bad.withColumn("_bad", F.lit(True)), "src", "left").withColumn("status", F.when(F.col("_bad") & (F.col("status") != "gone"), "rewritten").otherwise(F.col("status"))).drop("_bad")
 
+    def _merged(self, state: State, folder: str) -> list[Segment]:
+        """Segments to go on with: two small neighbours become one where there are too many, all where too many names are noted."""
+        old = state.segments
+        if state.dead > DEAD:
+            at, upto = 0, len(old)
+        elif len(old) >= SEGMENTS:
+            at = min(range(len(old) - 1), key=lambda i: old[i].records + old[i + 1].records)
+            upto = at + 2
+        else:
+            return old
+        for kind in KINDS:
+            rows = self._rows(kind, state, old[at:upto])
+            (rows.sortWithinPartitions("gram") if kind == "postings" else rows).write.mode("overwrite").parquet(self._path(f"{kind}/{folder}"))
+        number = self.spark.read.parquet(self._path(f"lengths/{folder}")).count()
+        return [*old[:at], Segment(old[upto - 1].number, folder, number), *old[upto:]]
+
+    def _changed(self, rows: DataFrame, changes: DataFrame, some: int) -> DataFrame:
+        """Rows of sources that changed, with ``status`` and ``from_line``, each source in one task."""
+        add = changes.where("status in ('new', 'appended', 'rewritten')").select("src", "status", "from_line")
+        return rows.join(F.broadcast(add), "src").repartition("src") if some <= FEW else rows.repartition("src").join(add, "src")
+
     def tick(self, records: DataFrame, version: str) -> dict[str, int]:
         """Brings the indexes to the present records and says how many sources changed how."""
+        state = self._state()
         changes = cut(self.changes(records))
         counts = {r.status: r.n for r in changes.groupBy("status").agg(F.count("*").alias("n")).collect()}
         if not set(counts) - {"unchanged"}:
             return counts
-        todo = records.join(changes.where("status in ('new', 'appended', 'rewritten')").select("src"), "src", "left_semi")
-        once = todo.dropDuplicates(KEY)
-        length = grams.token_count(grams.condensed(F.col("text")))
-        measured = once.select(*KEY, length.cast("int").alias("len"), grams.tokens(F.col("text")).alias("_t"))  # once for a record, not for each of its grams
-        terms = measured.select(*KEY, "len", F.explode("_t").alias("gram")).groupBy(*KEY, "len", "gram").agg(F.count("*").alias("tf"))
-        self._write(terms.select("gram", "line_no", "tf", "len", "src"), "postings", "gram")
-        self._write(once.select("line_no", length.cast("int").alias("len"), "src"), "lengths", "line_no")
+        number = state.number + 1
+        name, folder, some = f"{number:08d}-{version}", f"{number:08d}", sum(n for status, n in counts.items() if status not in ("unchanged", "gone"))
+        segments = self._merged(state, f"{folder}-merged")
+        fresh = self._changed(records.select(*KEY, "text"), changes, some).where("status <> 'appended' or line_no >= from_line").dropDuplicates(KEY)
+        condensed = fresh.select(*KEY, grams.condensed(F.col("text")).alias("c"))
+        measured = cut(condensed.select(*KEY, grams.token_count(F.col("c")).cast("int").alias("len"), "c"))  # once for both
+        grams.posting_lists(measured).write.mode("overwrite").parquet(self._path(f"postings/{folder}"))
+        measured.select("line_no", "len", "src").write.mode("overwrite").parquet(self._path(f"lengths/{folder}"))
         if self.embedder is not None:
-            context = semantic.context_window(once)
-            self._write(context.select("line_no", semantic.embed_column(F.col("context"), self.embedder).alias("embedding"), "src"), "vectors", "line_no")
-        self._drop([r.src for r in changes.where("status = 'gone'").collect()])
-        lines = records.select(*KEY, F.to_json(F.struct("ts_raw", "type", "text")).alias("line"))
-        last = records.groupBy("src").agg(F.max("line_no").alias("last"))
-        self.manifest.publish(snapshot(lines).join(last, "src"), version)
+            context = semantic.context_window(self._changed(records, changes, some).dropDuplicates(KEY))
+            context.select("line_no", semantic.embed_column(F.col("context"), self.embedder).alias("embedding"), "src").write.mode("overwrite").parquet(self._path(f"vectors/{folder}"))
+        dead = changes.where(F.col("status").isin("gone", "rewritten", *["appended"] * (self.embedder is not None))).select("src", F.lit(number).alias("before"), (F.col("status") == "appended").alias("grown"))
+        if state.dead:
+            dead = dead.unionByName(self.spark.read.parquet(self._path(f"dead/{state.name}"))).groupBy("src", "grown").agg(F.max("before").alias("before"))
+        dead.where(F.col("before") > (segments[0].number if segments else number)).write.mode("overwrite").parquet(self._path(f"dead/{name}"))
+        noted = self.spark.read.parquet(self._path(f"dead/{name}")).count()
+        segments = [*segments, Segment(number, folder, measured.count())]
+        self.spark.createDataFrame([(segments, noted)], "segments array<struct<number: int, folder: string, records: bigint>>, dead bigint").write.mode("overwrite").parquet(self._path(f"state/{name}"))
+        self.manifest.publish(changes.where("status <> 'gone'").select("src", "nlines", "sig", "last"), name)
+        self._drop({s.folder for s in (*state.segments, *segments)}, {state.name, name})
         return counts
 
+    def _drop(self, folders: set[str], names: set[str]) -> None:
+        """Removes what neither this version nor the one before, which may still be read, consists of."""
+        for kind, kept in [*((k, folders) for k in KINDS), ("dead", names), ("state", names)]:
+            fs, path = self._files(kind)
+            for f in fs.listStatus(path) if fs.exists(path) else []:
+                if f.getPath().getName() not in kept:
+                    fs.delete(f.getPath(), True)
+
     def totals(self) -> DataFrame:
         """One row: ``records, sources, terms``."""
         return self.lengths().agg(F.count("*").alias("records"), F.count_distinct("src").alias("sources"), F.coalesce(F.sum("len"), F.lit(0)).alias("terms"))

@@ -538,7 +538,7 @@ def source_print(spark: SparkSession, d: str) -> DataFrame:
 
 def _upkeep(spark: SparkSession, d: str) -> Indexes:
     """Indexes of an earlier state, some sources shorter, other or not there, one that is gone since, brought to the present."""
-    now = stored(spark, d)
+    now = stored(spark, d, False)
     last = F.substring("src", -1, 1)
     then = now.where((F.col("line_no") < 30) & (last != "3")).withColumn("text", F.when((last == "7") & (F.col("line_no") == 0), "other").otherwise(F.col("text")))
     gone = now.limit(1).withColumn("src", F.lit("main/0000-00-00"))
@@ -551,7 +551,7 @@ def _upkeep(spark: SparkSession, d: str) -> Indexes:
 @query(SQL["bigram_postings"])
 def postings_kept_up(spark: SparkSession, d: str) -> DataFrame:
     """Postings brought up to date must be those of a full build."""
-    return _upkeep(spark, d).postings().groupBy("gram").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    return _upkeep(spark, d).terms()
 
 
 @query(bm25_sql(_AND, 50).replace("r.type <> 'meta' AND ", ""))

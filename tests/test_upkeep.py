@@ -4,6 +4,7 @@ import json
 from datetime import datetime
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from kairolog import config as cfg
 from kairolog.functions import semantic
@@ -123,3 +124,53 @@ def test_search_by_index_equals_search_by_scan(spark, tmp_path):
     config = cfg.Config(user_name="Sam")
     both = [format_lines(recall(Corpus(records, index=i), "budget Friday", config, today), config, today) for i in (None, index)]
     assert both[0] == both[1] and len(both[0]) > 2 and index.bm25([]).count() == 0
+
+
+def _records(spark, rows):
+    from kairolog.sources.records import FIELDS, with_ts
+
+    schema = "ts_raw string, actor string, role string, type string, text string, model string, session string, src string, line_no int"
+    return with_ts(spark.createDataFrame([("2026-03-01T10:00:00Z", "Sam", "user", "text", t, None, "s", src, i) for src, i, t in rows], schema)).select(*FIELDS)
+
+
+def _states():
+    """Records of six passes: sources grow (with a hole in their lines), change, shrink, go, and come back."""
+    one = [(f"main/{k}", i, f"the Budget of {k} and {i}, Écho 𝔘x") for k in range(12) for i in (0, 1, 3)]
+    two = [*[r for r in one if r[0] != "main/2"], *[(f"main/{k}", i, f"later {i} budget") for k in (0, 1, 5) for i in (4, 6)], ("new", 0, "x"), ("new", 1, " ?! "), ("new", 2, None), ("new", 3, "予算の話")]
+    three = [(s, i, "Friday now" if (s, i) == ("main/0", 1) else t) for s, i, t in two if (s, i) != ("main/5", 6)]
+    four = [*three, ("main/2", 0, "back again"), ("main/1", 5, "late in a hole")]
+    return [one, two, three, four, [*four, ("main/1", 7, "budget Friday")], [r for r in four if r[0] == "main/1"]]
+
+
+def _files(folder):
+    return sum(1 for _ in folder.rglob("*.parquet") if _.is_file())
+
+
+def test_ranking_by_an_index_that_followed_equals_that_of_a_full_build(spark, tmp_path, monkeypatch):
+    from kairolog.plans import upkeep
+
+    monkeypatch.setattr(upkeep, "SEGMENTS", 2)  # so that segments are merged
+    e = semantic.HashedNgrams()
+    index, groups = upkeep.Indexes(spark, f"file://{tmp_path}/index", e), [["bu", "ud"], ["la", "fr"]]
+    for k, rows in enumerate(_states()):
+        index.tick(_records(spark, rows), "v")
+        if k not in (3, 5):
+            continue
+        full = upkeep.Indexes(spark, f"file://{tmp_path}/full{k}", e)
+        full.tick(_records(spark, rows), "v")
+        for pick in (lambda x: x.postings(), lambda x: x.lengths(), lambda x: x.vectors(), lambda x: x.bm25(groups).withColumn("score", F.round("score", 9))):
+            a, b = (sorted(map(str, pick(x).collect())) for x in (index, full))
+            assert a == b, k
+        assert len(index._state().segments) == 2
+    assert _files(tmp_path / "index" / "postings") <= 24
+
+
+def test_a_source_that_grew_gets_only_its_new_lines(spark, tmp_path):
+    from kairolog.plans.upkeep import Indexes
+
+    one, two, *_ = _states()
+    index = Indexes(spark, f"file://{tmp_path}/index")
+    assert index.tick(_records(spark, one), "v") == {"new": 12}
+    assert index.tick(_records(spark, one), "v") == {"unchanged": 12}  # line 2 is left out everywhere
+    assert index.tick(_records(spark, two), "v") == {"gone": 1, "new": 1, "appended": 3, "unchanged": 8}
+    assert [s.records for s in index._state().segments] == [36, 10]
