@@ -174,3 +174,14 @@ def test_a_source_that_grew_gets_only_its_new_lines(spark, tmp_path):
     assert index.tick(_records(spark, one), "v") == {"unchanged": 12}  # line 2 is left out everywhere
     assert index.tick(_records(spark, two), "v") == {"gone": 1, "new": 1, "appended": 3, "unchanged": 8}
     assert [s.records for s in index._state().segments] == [36, 10]
+
+
+def test_totals_need_few_files_whatever_the_number_of_sources(spark, tmp_path):
+    from kairolog.plans.upkeep import Indexes
+
+    rows = [(f"main/{k}", i, f"the budget of {k}") for k in range(300) for i in range(2)]
+    index = Indexes(spark, f"file://{tmp_path}/index")
+    index.tick(_records(spark, rows), "v1")
+    index.tick(_records(spark, [("main/0", 0, "other"), *rows[1:-2]]), "v2")
+    terms = sum(len(f"thebudgetof{k}") + 2 for k in range(299)) * 2  # four words, three blanks between: as many tokens as characters less one
+    assert tuple(index.totals().first())[:2] == (598, 299) and _files(tmp_path / "index" / "lengths") <= 16
