@@ -185,3 +185,31 @@ def test_totals_need_few_files_whatever_the_number_of_sources(spark, tmp_path):
     index.tick(_records(spark, [("main/0", 0, "other"), *rows[1:-2]]), "v2")
     terms = sum(len(f"thebudgetof{k}") + 2 for k in range(299)) * 2  # four words, three blanks between: as many tokens as characters less one
     assert tuple(index.totals().first())[:2] == (598, 299) and _files(tmp_path / "index" / "lengths") <= 16
+
+
+def test_posting_lists_equal_the_postings_of_each_record(spark, monkeypatch):
+    from kairolog.functions import grams
+
+    texts = ["the Budget, the budget", "a", "", None, " ?!", "é", "x y", "予算の話", "aaa aaa", "Ünï-cødé\n\tb", "b" * 500, "?a", "a?"]
+    rows = spark.createDataFrame([(f"s{i % 3}", i, t) for i, t in enumerate(texts * 4)], "src string, line_no int, text string").repartition(2)
+    c = grams.condensed(F.col("text"))
+    want = sorted(map(tuple, grams.postings(rows, ["src", "line_no"]).select("gram", "src", "line_no", "tf").collect()))
+    parts = rows.select("src", "line_no", grams.token_count(c).cast("int").alias("len"), c.alias("c")).toArrow().to_batches(5)
+    for size, most in ((grams.RUN_BYTES, grams.RUN_RECORDS), (40, 100), (10_000, 3)):
+        monkeypatch.setattr(grams, "RUN_BYTES", size), monkeypatch.setattr(grams, "RUN_RECORDS", most)
+        out = [x.to_pylist() for r in grams._runs(iter(parts)) if (x := grams._counted(r))]
+        found = [(x["gram"], x["src"], i, n) for run in out for x in run for i, n in zip(x["line_no"], x["tf"], strict=True)]
+        assert sorted(found) == want and all([x["gram"] for x in run] == sorted(x["gram"] for x in run) for run in out)
+    (one,) = grams.posting_lists(spark.createDataFrame([("s", 7, 2, "𝔘𝔘𝔘")], "src string, line_no int, len int, c string")).collect()
+    assert tuple(one) == ("𝔘𝔘", "s", [7], [2], [2])  # characters beyond 16 bits are one
+
+
+def test_terms_of_an_index_are_those_of_its_postings(spark, tmp_path):
+    from kairolog.plans.upkeep import Indexes
+
+    index = Indexes(spark, f"file://{tmp_path}/index")
+    for rows in _states()[:3]:
+        index.tick(_records(spark, rows), "v")
+    each = index.postings().groupBy("gram").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    assert sorted(map(tuple, index.terms().collect())) == sorted(map(tuple, each.collect()))
+    assert _files(tmp_path / "index" / "postings") <= 24
