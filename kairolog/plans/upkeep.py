@@ -124,7 +124,7 @@ class Indexes:
             return old
         for kind in KINDS:
             rows = self._rows(kind, state, old[at:upto])
-            (rows.sortWithinPartitions("gram") if kind == "postings" else rows).write.mode("overwrite").parquet(self._path(f"{kind}/{folder}"))
+            (rows.sortWithinPartitions("gram") if kind == "postings" else rows).write.mode("overwrite").option("compression", "zstd" if kind == "postings" else "snappy").parquet(self._path(f"{kind}/{folder}"))
         number = self.spark.read.parquet(self._path(f"lengths/{folder}")).count()
         return [*old[:at], Segment(old[upto - 1].number, folder, number), *old[upto:]]
 
@@ -145,8 +145,9 @@ class Indexes:
         segments = self._merged(state, f"{folder}-merged")
         fresh = self._changed(records.select(*KEY, "text"), changes, some).where("status <> 'appended' or line_no >= from_line").dropDuplicates(KEY)
         condensed = fresh.select(*KEY, grams.condensed(F.col("text")).alias("c"))
-        measured = cut(condensed.select(*KEY, grams.token_count(F.col("c")).cast("int").alias("len"), "c"))  # once for both
-        grams.posting_lists(measured).write.mode("overwrite").parquet(self._path(f"postings/{folder}"))
+        condensed.select(*KEY, grams.token_count(F.col("c")).cast("int").alias("len"), "c").write.mode("overwrite").parquet(self._path(f"measured/{folder}"))  # once for both
+        measured = self.spark.read.parquet(self._path(f"measured/{folder}"))
+        grams.posting_lists(measured).write.mode("overwrite").option("compression", "zstd").parquet(self._path(f"postings/{folder}"))
         measured.select("line_no", "len", "src").write.mode("overwrite").parquet(self._path(f"lengths/{folder}"))
         if self.embedder is not None:
             context = semantic.context_window(self._changed(records, changes, some).dropDuplicates(KEY))
@@ -164,7 +165,7 @@ class Indexes:
 
     def _drop(self, folders: set[str], names: set[str]) -> None:
         """Removes what neither this version nor the one before, which may still be read, consists of."""
-        for kind, kept in [*((k, folders) for k in KINDS), ("dead", names), ("state", names)]:
+        for kind, kept in [*((k, folders) for k in KINDS), ("measured", set()), ("dead", names), ("state", names)]:
             fs, path = self._files(kind)
             for f in fs.listStatus(path) if fs.exists(path) else []:
                 if f.getPath().getName() not in kept:
