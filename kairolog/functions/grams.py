@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Postings of a source under one gram, and how many bytes of text and records are counted at once; a record's place among them takes 21 bits.
 LISTS, RUN_BYTES, RUN_RECORDS, PLACE = "gram string, src string, line_no array<int>, tf array<int>, len array<int>", 2_000_000, 100_000, 21
+#: Occurrences of a gram in a run of records: how many, in how many records, and the steps from each record's place to the next as numbers of 16 bits, 0 where
+#: a record has another. A run has as many records as there are places in a bitmap of Spark's. ``ids`` are unpacked so many at once.
+PACKED, RUN_BITS, UNPACK = "gram string, run bigint, tf bigint, df bigint, ids binary", 15, 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -34,7 +37,7 @@ def accents() -> tuple[str, str]:
 
 
 def squeeze(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\s\p{Z}]", "")
+    return F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), r"[\s\p{Z}]", "")  # most are plain blanks, which need no pattern
 
 
 def bigrams(text: Column) -> Column:
@@ -130,20 +133,35 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _keys(texts: list[str], place: np.ndarray) -> np.ndarray:
+    """Each occurrence of a token in condensed texts as gram and place of the text, in order. A pair of code points is a number, so one sort of these with the
+    places counts all."""
+    c = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)  # no line ends in condensed texts
+    gap, blank = c == 10, c == 32
+    at = np.append(place, 0)[np.cumsum(gap, dtype=np.int32) - 1]
+    a, b = c[:-1], c[1:]
+    key = np.where(blank[:-1], b, a).astype(np.int64)
+    key <<= 21
+    key |= np.where(blank[:-1] | blank[1:], np.uint32(0), b)
+    key <<= PLACE
+    key |= at[:-1]
+    alone = np.flatnonzero(~gap[1:-1] & ~blank[1:-1] & gap[:-2] & gap[2:]) + 1
+    key = np.concatenate([key[~(gap[:-1] | gap[1:])], c[alone].astype(np.int64) << 21 + PLACE | at[alone]])
+    key.sort()
+    return key
+
+
+def _names(gram: np.ndarray) -> pa.Array:
+    return pa.array([chr(g >> 21) + (chr(g & 0x1FFFFF) if g & 0x1FFFFF else "") for g in gram.tolist()], pa.string())
+
+
 def _counted(run: pa.Table) -> pa.RecordBatch | None:
-    """Posting lists of a run in order of their grams. A pair of code points is a number, so one sort of these with the places of their records counts all."""
+    """Posting lists of a run in order of their grams."""
     sources = run.column("src").combine_chunks().dictionary_encode()
     source, line = sources.indices.to_numpy(zero_copy_only=False), run.column("line_no").to_numpy()
     order = np.lexsort((line, source))
     texts = run.column("c").to_pylist()
-    c = np.frombuffer(("\n" + "\n".join(texts[i] or "" for i in order) + "\n").encode("utf-32-le"), np.uint32).astype(np.int64)  # no line ends in condensed texts
-    gap, blank = c == 10, c == 32
-    place = np.cumsum(gap) - 1
-    a, b = c[:-1], c[1:]
-    gram = np.where(blank[:-1], b, a) << 21 | np.where(blank[:-1] | blank[1:], 0, b)
-    pairs = (gram << PLACE | place[:-1])[~gap[:-1] & ~gap[1:]]
-    alone = np.flatnonzero(~gap[1:-1] & ~blank[1:-1] & gap[:-2] & gap[2:]) + 1
-    key = np.sort(np.concatenate([pairs, c[alone] << 21 + PLACE | place[alone]]))
+    key = _keys([texts[i] or "" for i in order], np.arange(len(order)))
     if not len(key):
         return None
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -151,7 +169,7 @@ def _counted(run: pa.Table) -> pa.RecordBatch | None:
     gram, at = key[first] >> PLACE, order[key[first] & (1 << PLACE) - 1]
     other = np.append(True, gram[1:] != gram[:-1])
     start = np.flatnonzero(other | np.append(True, source[at][1:] != source[at][:-1]))
-    names = pa.array([chr(g >> 21) + (chr(g & 0x1FFFFF) if g & 0x1FFFFF else "") for g in gram[other].tolist()])
+    names = _names(gram[other])
     length = pc.fill_null(run.column("len"), 0).to_numpy()
     bounds = pa.array(np.append(start, len(at)).astype(np.int32))
     lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (line[at], tf, length[at])]
@@ -170,6 +188,98 @@ def posting_lists(measured: DataFrame) -> DataFrame:
     return measured.select("src", "line_no", "len", "c").mapInArrow(run, LISTS)
 
 
+def _packed(names: pa.Array, run: pa.Array, first: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Rows of occurrences: ``first`` says where among the places those of each row begin."""
+    step = np.diff(place.astype(np.uint16), prepend=np.uint16(0))
+    step[first] = place[first]
+    again = step == 0
+    again[first] = False
+    tf = np.diff(np.append(first, len(place)))
+    df = tf - np.add.reduceat(again, first, dtype=np.int64)
+    ids = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(first, len(place)).astype(np.int32) * 2), pa.py_buffer(step)])
+    return pa.RecordBatch.from_arrays([names, run, pa.array(tf), pa.array(df), ids], ["gram", "run", "tf", "df", "ids"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows at a time, with row and place of each occurrence in them."""
+    ids = batch.column("ids").cast(pa.binary())
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 2
+    steps = np.frombuffer(ids.buffers()[2] or b"", np.uint16, ends[-1])
+    row = 0
+    while row < len(ids):
+        upto = max(row + 1, int(np.searchsorted(ends, ends[row] + UNPACK, side="right")) - 1)
+        total = np.cumsum(steps[ends[row] : ends[upto]], dtype=np.int64)
+        n = np.diff(ends[row : upto + 1])
+        before = np.append(0, total)[ends[row:upto] - ends[row]]
+        yield batch.slice(row, upto - row), np.repeat(np.arange(upto - row), n), total - np.repeat(before, n)
+        row = upto
+
+
+def numbered(measured: DataFrame, segment: int) -> DataFrame:
+    """Records with the ``run`` they belong to and their ``place`` in it, by where they are written. Segments share no runs."""
+    i = F.col("_i")
+    run = F.lit(segment << 54 - RUN_BITS).bitwiseOR(F.shiftright(i, RUN_BITS))
+    return measured.withColumn("_i", F.monotonically_increasing_id()).withColumns({"run": run, "place": i.bitwiseAND((1 << RUN_BITS) - 1).cast("int")}).drop("_i")
+
+
+def occurrences(measured: DataFrame) -> DataFrame:
+    """``PACKED`` rows of records ``run, place, c``, of which each is there once and ``c`` is the condensed text. A gram has a row for each part of a run that is
+    counted at once; rows come in parts sorted by gram."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches):
+            run, place, texts = part.column("run").to_numpy(), part.column("place").to_numpy(), part.column("c").to_pylist()
+            bounds = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                key = _keys([t or "" for t in texts[lo:hi]], place[lo:hi])
+                if len(key):
+                    gram = key >> PLACE
+                    first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+                    yield _packed(_names(gram[first]), pa.array(np.full(len(first), run[lo])), first, key & (1 << PLACE) - 1)
+
+    return measured.select("run", "place", "c").mapInArrow(count, PACKED)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """``gram, run, place, tf`` of ``PACKED`` rows."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, row, place in _unpacked(batch):
+                first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+                at = pa.array(row[first])
+                tf = np.diff(np.append(first, len(row)))
+                yield pa.RecordBatch.from_arrays([part.column("gram").take(at), part.column("run").take(at), pa.array(place[first].astype(np.int32)), pa.array(tf)], ["gram", "run", "place", "tf"])
+
+    return rows.select("gram", "run", "ids").mapInArrow(each, "gram string, run bigint, place int, tf bigint")
+
+
+def living(rows: DataFrame, dead: DataFrame) -> DataFrame:
+    """``PACKED`` rows without occurrences in the records ``run, place`` of ``dead``, which come as one bitmap a run."""
+    bits = dead.groupBy("run").agg(F.bitmap_construct_agg(F.col("place").cast("bigint")).alias("ids"))
+    both = rows.select("gram", "run", "ids").unionByName(bits.select(F.lit(None).cast("string").alias("gram"), "run", "ids"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lost, of = np.zeros(1 << RUN_BITS, bool), None
+        for batch in batches:
+            run = batch.column("run").to_numpy()
+            bounds = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                if lo < hi and of != run[lo]:
+                    lost, of = np.zeros(1 << RUN_BITS, bool), run[lo]
+                if lo < hi and not batch.column("gram")[lo].is_valid:  # sorts before the grams of its run
+                    lost, lo = np.unpackbits(np.frombuffer(batch.column("ids")[lo].as_py(), np.uint8), bitorder="little").astype(bool), lo + 1
+                for part, row, place in _unpacked(batch.slice(lo, hi - lo)) if lo < hi else ():
+                    left = ~lost[place]
+                    row, place = row[left], place[left]
+                    if len(row):
+                        first = np.flatnonzero(np.diff(row, prepend=-1) != 0)
+                        at = pa.array(row[first])
+                        yield _packed(part.column("gram").take(at), part.column("run").take(at), first, place)
+
+    return both.repartition("run").sortWithinPartitions("run", "gram").mapInArrow(keep, PACKED)
+
+
 def statistics(records: DataFrame, wanted: list[str], text: str = "text") -> DataFrame:
     """One row, computed with the query that uses it: ``n`` records, their ``mean`` length, and ``df`` of each distinct token in order."""
     held = [F.count_if(holds(F.col("c"), g)) for g in dict.fromkeys(wanted)]

@@ -18,6 +18,12 @@ def line_digest(line_no: Column, line: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.sha1(F.concat_ws("\u0000", line_no.cast("string"), F.coalesce(line, F.lit("")))), 1, 15), 16, 10).cast("bigint"), F.lit(_PRIME))
 
 
+def row_digest(line_no: Column, *values: str) -> Column:
+    """The same of columns, nulls told from empty texts, without writing them as one line; not for signatures that others know."""
+    parts = [x for v in values for x in (F.col(v).isNull(), F.col(v))]
+    return F.pmod(F.xxhash64(line_no, *parts), F.lit(_PRIME))
+
+
 def snapshot(lines: DataFrame) -> DataFrame:
     """``src, nlines, sig`` of lines ``src, line_no, line``; lines repeated count once."""
     once = lines.select("src", "line_no", "line").distinct()
@@ -28,20 +34,20 @@ def classify(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     """``src, status, nlines, sig, from_line``: what happened to each source since ``manifest``, and the first line to index."""
     once = lines.select("src", "line_no", "line").distinct()
     digests = once.select("src", "line_no", line_digest(F.col("line_no"), F.col("line")).alias("digest"))
-    return compare(digests, manifest.select("src", "nlines", "sig", F.col("nlines").alias("end"))).drop("last")
+    return compare(digests, manifest.select("src", "nlines", "sig", F.col("nlines").alias("end"))).drop("last", "repeated")
 
 
 def compare(digests: DataFrame, manifest: DataFrame) -> DataFrame:
-    """The same and the ``last`` line of each source, from the digest of each line, there once. ``end`` is the line after those the manifest knows: more than
-    their number where lines are left out."""
+    """The same, the ``last`` line of each source, and whether one of its lines is ``repeated``, from the digest of each line, there once, and the number of its
+    ``copies``, if known. ``end`` is the line after those the manifest knows: more than their number where lines are left out."""
     old = manifest.select("src", F.col("nlines").alias("old_n"), F.col("sig").alias("old_sig"), "end")
     once = digests.join(old.select("src", "end"), "src", "left")
-    now = once.groupBy("src").agg(F.count_distinct("line_no").alias("nlines"), F.sum("digest").alias("sig"), F.sum(F.when(F.col("line_no") < F.col("end"), F.col("digest"))).alias("prefix"), F.max("line_no").alias("last"))
+    now = once.groupBy("src").agg(F.count_distinct("line_no").alias("nlines"), F.sum("digest").alias("sig"), F.sum(F.when(F.col("line_no") < F.col("end"), F.col("digest"))).alias("prefix"), F.max("line_no").alias("last"), F.sum("copies" if "copies" in digests.columns else F.lit(1)).alias("copies"))
     both = now.join(old, "src", "full_outer")
     same = F.coalesce(F.col("prefix"), F.lit(0)) == F.col("old_sig")
     status = F.when(F.col("nlines").isNull(), "gone").when(F.col("old_n").isNull(), "new").when((F.col("nlines") == F.col("old_n")) & same, "unchanged").when((F.col("nlines") > F.col("old_n")) & same, "appended").otherwise("rewritten")
     from_line = F.when(status == "appended", F.col("end")).when(status == "unchanged", F.col("nlines")).otherwise(F.lit(0)).cast("bigint")
-    return both.select("src", status.alias("status"), "nlines", "sig", from_line.alias("from_line"), "last")
+    return both.select("src", status.alias("status"), "nlines", "sig", from_line.alias("from_line"), "last", (F.col("copies") > F.col("nlines")).alias("repeated"))
 
 
 def damaged(index: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -538,12 +538,12 @@ def source_print(spark: SparkSession, d: str) -> DataFrame:
 
 def _upkeep(spark: SparkSession, d: str) -> Indexes:
     """Indexes of an earlier state, some sources shorter, other or not there, one that is gone since, brought to the present."""
-    now = stored(spark, d, False)
+    now = cut(r.from_meta(table(spark, d, "meta"), False, ("ts", "text")))  # what indexes and their manifest read
     last = F.substring("src", -1, 1)
     then = now.where((F.col("line_no") < 30) & (last != "3")).withColumn("text", F.when((last == "7") & (F.col("line_no") == 0), "other").otherwise(F.col("text")))
-    gone = now.limit(1).withColumn("src", F.lit("main/0000-00-00"))
+    gone = cut(now.limit(1).withColumn("src", F.lit("main/0000-00-00")))
     index = Indexes(spark, scratch(spark, "upkeep"))
-    index.tick(cut(then.unionByName(gone)), "then")
+    index.tick(then.unionByName(gone), "then")
     index.tick(now, "now")
     return index
 

@@ -126,9 +126,10 @@ def from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def from_meta(meta: DataFrame, timed: bool = True) -> DataFrame:
-    """The driver's table of indexed messages as records; lines delivered again count once, under their first row. Without ``timed`` the time is not read, ``ts`` is null."""
-    once = meta.groupBy("src_day", "line_no").agg(F.min_by(F.struct("ts", "actor", "text", "session"), "rowid").alias("r"))
+def from_meta(meta: DataFrame, timed: bool = True, wanted: tuple[str, ...] = ("ts", "actor", "text", "session")) -> DataFrame:
+    """The driver's table of indexed messages as records; lines delivered again count once, under their first row. Without ``timed`` the time is not read, ``ts`` is null,
+    as are columns that are not ``wanted``; the text always is."""
+    once = meta.groupBy("src_day", "line_no").agg(F.min_by(F.struct(*[F.col(c) if c in wanted else F.lit(None).cast("string").alias(c) for c in ("ts", "actor", "text", "session")]), "rowid").alias("r"))
     act = F.col("r.text").rlike(r"^(?:Bash|Read|Write|Search): ")
     rec = once.where(F.col("r.text").rlike(r"(?U)\S")).select(
         F.col("r.ts").alias("ts_raw"), F.col("r.actor").alias("actor"), F.lit(None).cast("string").alias("role"), F.when(is_meta(F.col("r.text")), "meta").when(act, "action").otherwise("text").alias("type"), F.col("r.text").alias("text"), F.lit(None).cast("string").alias("model"), F.col("r.session").alias("session"),

@@ -213,3 +213,41 @@ def test_terms_of_an_index_are_those_of_its_postings(spark, tmp_path):
     each = index.postings().groupBy("gram").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
     assert sorted(map(tuple, index.terms().collect())) == sorted(map(tuple, each.collect()))
     assert _files(tmp_path / "index" / "postings") <= 24
+
+
+def test_records_are_numbered_within_their_segment(spark):
+    from kairolog.functions import grams
+
+    found = grams.numbered(spark.range(70_000, numPartitions=2), 3).collect()
+    assert len({(r.run, r.place) for r in found}) == 70_000 and {r.run >> 39 for r in found} == {3} and max(r.place for r in found) == (1 << 15) - 1 and len({r.run for r in found}) == 4
+
+
+def test_changes_are_found_with_lines_exchanged_by_source_only(spark, tmp_path):
+    import re
+
+    from kairolog.plans.upkeep import Indexes
+
+    one, two, *_ = _states()
+    index = Indexes(spark, f"file://{tmp_path}/index")
+    index.tick(_records(spark, one), "v")
+    plan = index.changes(_records(spark, two))._jdf.queryExecution().executedPlan().toString()
+    by = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert by and all(re.fullmatch(r"src#\d+", b) for b in by)
+
+
+def test_repeated_lines_count_once(spark, tmp_path):
+    from kairolog.plans.upkeep import Indexes
+
+    one, two, *_ = _states()
+    index = Indexes(spark, f"file://{tmp_path}/index")
+    assert index.tick(_records(spark, one + one[:4]), "v1") == {"new": 12}
+    assert index.totals().first().records == 36
+    again = _records(spark, two + two[-5:] + [("new", 0, "x")])
+    assert {r.src for r in index.changes(again).where("repeated").collect()} >= {"new"}
+    assert index.tick(again, "v2") == {"gone": 1, "new": 1, "appended": 3, "unchanged": 8}
+    assert index.totals().first().records == 36 - 3 + 10
+    fields = _records(spark, [("a", 0, None)]).select("line_no", "ts_raw", "type", "text")
+    from kairolog.operators.manifest import row_digest
+
+    swapped = fields.withColumns({"type": F.col("text"), "text": F.col("type")})
+    assert len({r[0] for f in (fields, swapped) for r in f.select(row_digest(F.col("line_no"), "ts_raw", "type", "text")).collect()}) == 2
