@@ -251,3 +251,43 @@ def test_repeated_lines_count_once(spark, tmp_path):
 
     swapped = fields.withColumns({"type": F.col("text"), "text": F.col("type")})
     assert len({r[0] for f in (fields, swapped) for r in f.select(row_digest(F.col("line_no"), "ts_raw", "type", "text")).collect()}) == 2
+
+
+def test_an_index_has_rows_for_grams_not_for_sources(spark, tmp_path):
+    from kairolog.plans.upkeep import Indexes
+
+    rows = [(f"main/{k}", i, f"the budget of {k}, the budget") for k in range(300) for i in range(2)]
+    index = Indexes(spark, f"file://{tmp_path}/index")
+    index.tick(_records(spark, rows), "v1")
+    index.tick(_records(spark, [("main/0", 0, "other"), *rows[1:-2]]), "v2")
+    terms = index.terms().count()
+    assert terms > 100 and spark.read.parquet(f"{tmp_path}/index/postings/*").count() < 12 * terms  # a row for a gram and a file of records
+    each = index.postings().groupBy("gram").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    assert sorted(map(tuple, index.terms().collect())) == sorted(map(tuple, each.collect()))
+    assert {(r.src, r.line_no, r.tf, r.len) for r in index.postings(["ot", "f9"]).collect() if r.src in ("main/0", "main/9")} == {("main/0", 0, 1, 4), ("main/9", 0, 1, 21), ("main/9", 1, 1, 21)}
+
+
+def test_packed_occurrences_are_the_postings_of_each_record(spark, monkeypatch):
+    from kairolog.functions import grams
+
+    texts = ["the Budget, the budget", "a", "", None, " ?!", "é", "x y", "予算の話", "aaa aaa", "b" * 500, "?a", "a? a?"]
+    places = [0, 1, 2, 7, 8, 255, 256, 300, 32_766, 32_767, 900, 40]
+    rows = spark.createDataFrame([(run, p, t) for run in (5, 1 << 39, (7 << 39) + 3) for p, t in zip(places, texts, strict=True)], "run long, place int, text string").repartition(2)
+    dead = rows.where("run = 5 and place in (0, 7, 300, 32767) or run > 5 and place in (1, 32766)").select("run", "place")
+    packed = grams.occurrences(rows.select("run", "place", grams.condensed(F.col("text")).alias("c"))).cache()
+    some = lambda f: sorted(map(tuple, f.select("gram", "run", "place", "tf").collect()))
+    for have, want in ((packed, rows), (grams.living(packed, dead), rows.join(dead, ["run", "place"], "left_anti")), (grams.living(packed, dead.limit(0)), rows), (grams.living(packed, rows), rows.limit(0))):
+        want = some(grams.postings(want, ["run", "place"]))
+        assert some(grams.unpacked(have)) == want
+        assert tuple(have.agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum("df"), F.lit(0))).first()) == (sum(x[3] for x in want), len(want))
+    (one,) = grams.unpacked(grams.occurrences(spark.createDataFrame([(4, 9, "𝔘𝔘𝔘")], "run long, place int, c string"))).collect()
+    assert tuple(one) == ("𝔘𝔘", 4, 9, 2)  # characters beyond 16 bits are one
+    (batch,) = packed.coalesce(1).select("gram", "run", "ids").toArrow().combine_chunks().to_batches()
+    whole = [(int(r), int(p)) for _, row, place in grams._unpacked(batch) for r, p in zip(row, place, strict=True)]
+    monkeypatch.setattr(grams, "UNPACK", 3)
+    at, parts = 0, []
+    for part, row, place in grams._unpacked(batch):
+        parts, at = parts + [(int(r) + at, int(p)) for r, p in zip(row, place, strict=True)], at + len(part)
+    assert at == len(batch) and parts == whole
+    rest = [(int(r) + 5, int(p)) for _, row, place in grams._unpacked(batch.slice(5)) for r, p in zip(row[:1], place[:1], strict=True)][:1]
+    assert rest[0] in whole  # a slice of a batch begins at its own rows
