@@ -4,8 +4,8 @@ Each pass that finds a change writes one segment: the new lines of sources that
 is damaged or gone, rows of earlier segments no longer count; its name is noted with the number of the segment from which its rows do. Vectors look at
 neighbours, so those of a source that grew are written anew as well. Segments are few, as the smallest neighbours are merged, and so are files, whatever the
 number of sources. Records are numbered within their segment, and the occurrences of a gram are packed numbers of records, a row for a gram and some thousand
-records; a record's source, line and length stand with its number in ``lengths``. What is known of the sources, with the name of all that belongs to it, is published last, so a pass that dies leaves what readers see and is
-simply done again.
+records; a record's source, line and length stand with its number in ``lengths``. What is known of the sources, with the name of all that belongs to it, is
+published last, so a pass that dies leaves what readers see and is simply done again.
 """
 
 from __future__ import annotations
